@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import packing, sstable
+from brindle.llm import neighbours, packing, quality, secret_scan, simhash, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +17,49 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows of every embedding whose vec_id is divisible by 50."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint over three-word shingles and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words_per_shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece's place in the packed sequences."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_shards": op2_token_shards,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_nearest_neighbours": """
+        SELECT q.vec_id AS query_id,
+               CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY
+                   list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS INTEGER) AS rank,
+               c.vec_id AS vec_id,
+               list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+        FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 50 = 0
+        QUALIFY rank <= 5""",
+}

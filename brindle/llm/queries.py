@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import neighbours, packing, quality, secret_scan, simhash, sstable
+from brindle.llm import line_dedup, mixing, neighbours, packing, quality, secret_scan, simhash, sstable, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many went as boilerplate, and a digest of the rest."""
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the token shards, as read back from their files."""
     return sstable.token_shards(_table(spark, sf_dir, "documents")).drop("shard")
@@ -22,6 +28,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pass over every document in the mixture."""
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over three-word shingles and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words_per_shingle=3)
@@ -38,21 +49,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document."""
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_shards": op2_token_shards,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_source_mixing": op4_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op3_nearest_neighbours": """
         SELECT q.vec_id AS query_id,
                CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY

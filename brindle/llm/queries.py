@@ -80,6 +80,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
     "op3_nearest_neighbours": """
         SELECT q.vec_id AS query_id,
                CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY

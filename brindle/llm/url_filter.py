@@ -114,3 +114,25 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     joined = placed.drop("html").join(broadcast_if_small(bad, bad.count()), F.col("_host") == F.col("_bad"), "left")
     by_host = F.when(F.col("_bad").isNotNull(), "block").otherwise("allow")
     return joined.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), name.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
+
+
+#: Covers tables without links between hosts, like the driver's, where no score moves; propagation has its own tests.
+ORACLE = """
+    WITH placed AS (
+        SELECT page_id,
+               translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages),
+    rules(verdict, rule_host, rule_path) AS (
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+               ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    fitting AS (
+        SELECT DISTINCT host, path, first_value(rule_host || rule_path) OVER w AS rule, first_value(verdict) OVER w AS verdict
+        FROM placed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        WINDOW w AS (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC)),
+    judged AS (SELECT page_id, placed.host, placed.path, rule, verdict FROM placed LEFT JOIN fitting USING (host, path)),
+    hosts AS (
+        SELECT host, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) > 2 * avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS bad
+        FROM judged WHERE host <> '' GROUP BY host)
+    SELECT page_id, judged.host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+    FROM judged LEFT JOIN hosts ON judged.host = hosts.host"""

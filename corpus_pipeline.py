@@ -1,8 +1,81 @@
-"""The corpus pipeline: five of the training-data operators, one after the other."""
+"""The corpus pipeline: five of the training-data operators, one after the other.
 
-ORACLE_SQL = None
-STAGES = []
+Each stage is written to the shared folder as Parquet and read again as the next one's documents, so
+a lost executor costs a stage's tasks at most. All stages but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import line_dedup, mixing, packing, quality, simhash
+from brindle.llm.common import Written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    # Other columns go under names that no result has.
+    own = {c: c if c in ("text", "lang") else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    judged = quality.quality(docs.select(*[F.col(c).alias(name) for c, name in own.items()]))
+    return judged.where("kept").select(*[F.col(name).alias(c) for c, name in own.items()])
+
+
+def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without boilerplate lines; n_chars follows the text."""
+    cut = line_dedup.line_dedup(docs)
+    length = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (five-word shingles): the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.lit(1).alias("_best"))
+    # Rows that share the least identifier differ at most in their text: the least text stays.
+    chosen = docs.join(best, docs["doc_id"].eqNullSafe(best["doc_id"]), "left_semi")
+    return one_of_each(chosen)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: that of the least text hash, then the least place of its hash among its columns."""
+    ranked = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counted.where("_n > 1").select("doc_id")
+    again = docs["doc_id"].eqNullSafe(repeated["doc_id"])
+    single, several = docs.join(repeated, again, "left_anti"), docs.join(repeated, again, "left_semi")
+    return single.unionByName(several.groupBy("doc_id").agg(ranked.alias("_row")).select("_row.*"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mixture's number of passes."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's place in the packed sequences."""
+    return packing.pack(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources", source_mixture),
+    ("best-fit packing", packed),
+]
+
+#: The stages use XXH64, a tokenizer and iteration, which DuckDB's SQL can't express; tests compare with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written and read again as the next one's documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = Written(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+    return STAGES[-1][1](spark, docs, sf_dir)

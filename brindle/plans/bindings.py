@@ -1,3 +1,442 @@
 """One registered query per operator, over views of the driver tables."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import text as T
+from brindle.operators import catalog as C
+from brindle.operators import evaluation as E
+from brindle.operators import grading as G
+from brindle.operators import labels as L
+from brindle.operators import planning as P
+from brindle.operators import preparation as R
+from brindle.operators import retrieval as S
+from brindle.plans import views as V
+from brindle.sources import readers, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _answer(df: DataFrame) -> DataFrame:
+    """A run_query result with its parts as one string."""
+    return df.select("kind", "cond_class", "value", "unit", F.array_join("parts", ",").alias("parts"), "candidates")
+
+
+def _spec(**filters) -> Query:
+    spec = C.QuerySpec(**filters)
+    return lambda spark, sf: _answer(C.run_query(V.catalogue(spark, sf), spec))
+
+
+@query
+def catalog_count_package(spark, sf):
+    return _answer(C.run_query(V.parts(spark, sf), C.QuerySpec("count", package="brand#23 ")))
+
+
+@query
+def catalog_count_vds(spark, sf):
+    return _answer(C.run_query(V.parts(spark, sf), C.QuerySpec("count", vds=30.0)))
+
+
+@query
+def catalog_count_channel(spark, sf):
+    return _answer(C.run_query(V.parts(spark, sf), C.QuerySpec("count", channel="P")))
+
+
+QUERIES["catalog_min_rdson_class"] = _spec(op="min", field="rdson", channel="N", conditions="tj = 25 °C; vgs = 10 v")
+QUERIES["catalog_max_id_class"] = _spec(op="max", field="id", conditions="VGS = 10 V; Tmb = 25 °C")
+QUERIES["catalog_ambiguous_rdson"] = _spec(op="min", field="rdson")
+QUERIES["catalog_ambiguous_id"] = _spec(op="max", field="id", channel="P")
+QUERIES["catalog_empty"] = _spec(op="max", field="rdson", vds=9999.0)
+
+
+@query
+def catalog_extremum_vds(spark, sf):
+    return _answer(C.run_query(V.parts(spark, sf), C.QuerySpec("max", "vds", channel="P", conditions="ignored")))
+
+
+@query
+def catalog_explain(spark, sf):
+    spec = C.QuerySpec("min", "rdson", channel="N", conditions="Tj = 25 °C; VGS = 10 V")
+    return C.run_query(V.catalogue(spark, sf), spec).select(C.explain_column(spec).alias("sentence"))
+
+
+@query
+def catalog_pool(spark, sf):
+    return C.pool(V.catalogue(spark, sf), C.QuerySpec("min", "rdson", channel="N", conditions="VGS = 10 V; Tj = 25 °C"))
+
+
+@query
+def catalog_vocabulary(spark, sf):
+    return C.vocabulary(V.catalogue(spark, sf))
+
+
+@query
+def conservative_dedupe(spark, sf):
+    f = V.figures(V.table(spark, sf, "lineitem"))
+    m = f.select("l_partkey", T.class_of(F.col("id_conditions")).alias("cond_class"), F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("value"), F.col("id_conditions").alias("conditions"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return C.conservative_dedupe(m, ["l_partkey"]).select("l_partkey", "cond_class", "value")
+
+
+@query
+def condition_class_histogram(spark, sf):
+    f = V.figures(V.table(spark, sf, "lineitem"))
+    return f.groupBy(T.class_of(F.col("rdson_conditions")).alias("cond_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def clean_packages(spark, sf):
+    p = V.table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    raw = F.array(F.concat(F.lit("LFPAK"), F.col("p_size").cast("string"), F.lit("; Power‑SO8 (SOT"), F.lpad(key, 6, "1"), F.lit("-2)")), F.lit("SO8, to247"))
+    return p.select("p_partkey", F.array_join(T.clean_packages(raw), "|").alias("names"))
+
+
+@query
+def fnv_split(spark, sf):
+    p = V.parts(spark, sf)
+    return p.select("part", T.fnv1a(F.col("part")).alias("hash"), T.is_holdout(F.col("part")).alias("holdout"))
+
+
+@query
+def decode_name(spark, sf):
+    p = V.table(spark, sf, "part")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    name = F.when(key % 4 == 0, F.concat(F.lit("BUK7K5R"), size, F.lit("-40E"))).when(key % 4 == 1, F.concat(F.lit("PSMNR"), size, F.lit("-80CSF"))).when(key % 4 == 2, F.concat(F.lit("PSMN0"), F.lpad(size, 2, "0"), F.lit("-100BS"))).otherwise(F.concat(F.lit("PMV"), size, F.lit("EN")))
+    d = T.decode_name(name)
+    return p.select("p_partkey", d["rdson_mohm"].alias("rdson_mohm"), d["vds_v"].alias("vds_v"))
+
+
+def _questions(spark, sf):
+    p = V.parts(spark, sf)
+    key = F.col("p_partkey")
+    text = F.when(key % 3 == 0, F.concat(F.lit("How many parts come in DFN2020MD‑6 or Power-SO8?"))).when(key % 3 == 1, F.concat(F.lit("What is the rating of "), "part", F.lit(" against BUK7K5R1-30E in Power-SO8?"))).otherwise(F.concat(F.lit("Compare "), "part", F.lit(" with "), "part", F.lit(".")))
+    return p.select("p_partkey", "part", text.alias("question"))
+
+
+NAMES = ("Power-SO8", "DFN2020MD-6", "SOT669")
+
+
+@query
+def identifiers_in_text(spark, sf):
+    q = _questions(spark, sf)
+    return q.select("p_partkey", F.array_join(T.named_parts(T.without_names(F.col("question"), NAMES)), "|").alias("named"), F.array_join(T.part_numbers(F.lower("question")), "|").alias("numbers"))
+
+
+@query
+def guard_refusals(spark, sf):
+    q = _questions(spark, sf)
+    named = T.named_parts(T.without_names(F.col("question"), NAMES))
+    retrieved = F.when(F.col("p_partkey") % 2 == 0, F.array("part")).otherwise(F.array(F.lit("PN00000-0")))
+    return q.groupBy(G.guard_refuses(named, retrieved).alias("refused")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def route_questions(spark, sf):
+    return _questions(spark, sf).select("p_partkey", P.route(F.col("question"), NAMES).alias("route"))
+
+
+@query
+def measures_roundtrip(spark, sf):
+    o = V.table(spark, sf, "orders")
+    value = F.floor("o_totalprice").cast("string")
+    unit = F.element_at(F.array(*map(F.lit, ["V", "kV", "mA", "ohm", "mΩ"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    m = T.measures(F.concat(F.lit("about "), value, F.lit(" "), unit, F.lit("; Tj = 25 °C")))
+    return o.select("o_orderkey", F.round(F.get(m, F.lit(0))["value"], 6).alias("value"), F.get(m, F.lit(0))["unit"].alias("unit"), F.size(m).cast("long").alias("n"))
+
+
+def _graded(spark, sf):
+    a = V.answers(spark, sf).withColumn("m", G.value_match(F.col("text"), F.col("value"), F.lit("V")))
+    return a.withColumn("reason", G.grade(F.col("m.ok"), F.col("m.found"), F.col("refused"), F.col("holdout")))
+
+
+@query
+def grade_answers(spark, sf):
+    return _graded(spark, sf).select("qid", F.col("m.found").alias("found"), F.col("m.signed").alias("signed"), "reason")
+
+
+@query
+def grade_reason_histogram(spark, sf):
+    return _graded(spark, sf).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rates_by_dimension(spark, sf):
+    g = _graded(spark, sf)
+    right = F.col("reason").isin("match", "refused-correctly")
+    return g.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(right, 1.0).otherwise(0.0)), 6).alias("rate"), F.round(F.avg(F.col("m.signed").cast("int")), 6).alias("sign_agreement"))
+
+
+@query
+def precision_coverage(spark, sf):
+    g = _graded(spark, sf).where(~F.col("holdout"))
+    answered = F.count_if(F.col("reason") != "refused-wrongly")
+    bearing = F.count_if(F.col("reason").isin("match", "wrong-value"))
+    return g.agg(F.round(F.count_if(F.col("reason") == "match") / bearing, 6).alias("precision"), F.round(bearing / answered, 6).alias("coverage"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def outcome_summary(spark, sf):
+    d = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id")
+    key = F.col("doc_id")
+    outcome = G.set_outcome(key % 11 == 0, key % 7 == 0, F.col("toxic") == 1, (key % 5 == 0) & (F.col("lang") == "en"), F.col("quality") == 1)
+    return d.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("langs"))
+
+
+def _dense(spark, sf):
+    return S.dense_search(V.rag_queries(spark, sf).select("qid", "q_vec"), V.chunks(spark, sf))
+
+
+def _within(spark, sf):
+    q = V.rag_queries(spark, sf).where("symbol is not null").select("qid", "q_vec", F.col("symbol").alias("document_id"))
+    return S.search_within(q, V.chunks(spark, sf))
+
+
+def _rounded(df):
+    return df.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def dense_topk(spark, sf):
+    return _rounded(_dense(spark, sf))
+
+
+@query
+def search_within(spark, sf):
+    return _rounded(_within(spark, sf))
+
+
+@query
+def rank_documents(spark, sf):
+    return S.to_documents(_dense(spark, sf))
+
+
+def _symbols(spark, sf):
+    return V.rag_queries(spark, sf).where("symbol is not null").select("qid", F.col("symbol").alias("document_id"))
+
+
+@query
+def rerank_symbol(spark, sf):
+    return S.rerank_symbols(S.to_documents(_dense(spark, sf)), _symbols(spark, sf))
+
+
+def _fused(spark, sf):
+    return S.fuse([S.to_documents(_dense(spark, sf)), S.to_documents(_within(spark, sf))])
+
+
+@query
+def rrf_fusion(spark, sf):
+    return _fused(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query
+def evidence_chunks(spark, sf):
+    return S.evidence(_within(spark, sf), _dense(spark, sf))
+
+
+@query
+def citations(spark, sf):
+    return S.citations(_dense(spark, sf))
+
+
+@query
+def retrieval_metrics(spark, sf):
+    gold = V.rag_queries(spark, sf).select("qid", "gold")
+    return E.retrieval_metrics(E.gold_ranks(S.to_documents(_dense(spark, sf)), gold))
+
+
+@query
+def strategy_ablation(spark, sf):
+    gold = V.rag_queries(spark, sf).select("qid", "gold")
+    dense = S.to_documents(_dense(spark, sf))
+    ranked = {"dense": dense, "dense+symbol": S.rerank_symbols(dense, _symbols(spark, sf)), "hybrid-rrf": _fused(spark, sf)}
+    out = None
+    for name, df in ranked.items():
+        row = E.gold_ranks(df.select("qid", "document_id", "rank"), gold).withColumn("strategy", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return E.retrieval_metrics(out, "strategy")
+
+
+def _noisy(spark, sf):
+    d = V.table(spark, sf, "documents")
+    tail = F.when(F.col("doc_id") % 2 == 0, F.lit("\n12. Legal information\nnothing")).otherwise("")
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Product data sheet 3\n"), "text", F.lit("\nAll information provided in this document is subject to legal disclaimers."), tail).alias("text"))
+
+
+@query
+def strip_lines(spark, sf):
+    return _noisy(spark, sf).select("id", R.strip(F.col("text")).alias("text")).select("id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@query
+def bind_symbols(spark, sf):
+    t = V.table(spark, sf, "conversations")
+    odd = F.col("turn") % 3
+    opening = F.lit("VDS   drain-source voltage   Tj = 25 °C   -   30   V")
+    line = F.when(odd == 0, opening).when((odd == 1) & (F.col("conv_id") % 2 == 0), F.lit("")).otherwise(F.concat(F.lit("  Tj = "), F.col("turn").cast("string"), F.lit(" °C   -   25   V")))
+    return R.bind(t.select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), line.alias("line")))
+
+
+@query
+def chunk_documents(spark, sf):
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return R.chunk(d).select("id", "index", "total", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@query
+def degenerate_texts(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(R.is_degenerate(F.col("text"))).alias("degenerate"))
+
+
+def _index(spark, sf):
+    d = V.table(spark, sf, "documents")
+    total = (F.col("doc_id") % 5 + 1).cast("int")
+    rows = d.select(F.col("doc_id").cast("string").alias("document_id"), total.alias("total"), F.posexplode(F.sequence(F.lit(1), total)).alias("index", "x"), F.col("doc_id").alias("key"))
+    return rows.select(F.concat_ws("#", "document_id", "index").alias("id"), "document_id", "index", "total", "key")
+
+
+@query
+def ingest_replace(spark, sf):
+    old = _index(spark, sf).withColumn("version", F.lit(1))
+    new = old.where("key % 3 = 0 and index < 2").withColumns({"version": F.lit(2), "total": F.least("total", F.lit(2))})
+    return sinks.prune(sinks.replace_documents(old, new).select(*old.columns), new).select("id", "document_id", "version")
+
+
+@query
+def stale_ids(spark, sf):
+    return sinks.stale_ids(_index(spark, sf)).groupBy("document_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def set_questions(spark, sf):
+    q = P.set_questions(V.catalogue(spark, sf))
+    return q.select("id", "kind", F.array_join("truth_parts", ",").alias("parts"), "truth_value", "unit", "candidates")
+
+
+def _table_lines(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    volts = F.when(F.col("l_returnflag") == "R", "10").otherwise("4.5")
+    heat = F.when(F.col("l_linestatus") == "O", "25").otherwise("100")
+    first = F.concat(F.lit("RDSon  drain-source on-state resistance  VGS = "), volts, F.lit(" V; Tj = "), heat, F.lit(" °C  - "), F.col("l_quantity").cast("int").cast("string"), F.lit(" mΩ"))
+    line = F.when(F.col("l_linenumber") % 3 == 0, F.lit("ID   drain current  Tj = 25 °C  - 5 A")).otherwise(first)
+    return li.select(F.col("l_orderkey").alias("part"), F.col("l_linenumber").alias("pos"), line.alias("line"))
+
+
+@query
+def table_rows(spark, sf):
+    return L.table_rows(_table_lines(spark, sf), "RDSon").select("part", "pos", "max", "unit")
+
+
+@query
+def label_pick(spark, sf):
+    picked = L.measurements(L.reference_resistance(L.table_rows(_table_lines(spark, sf), "RDSon")))
+    return picked.select("part", "pos", "value", "conditions")
+
+
+@query
+def agreement_by_field(spark, sf):
+    c = V.parts(spark, sf)
+    key = F.col("p_partkey")
+    label = c.withColumns({"l_vds": F.when(key % 9 == 0, F.col("vds") + 1).otherwise(F.abs("vds")), "l_channel": F.when(key % 6 == 0, F.lit(None)).otherwise(F.coalesce("channel", F.lit("N"))), "l_package": F.when(key % 4 == 0, F.array(F.lit("X1"))).otherwise(F.slice("package", 1, 1))})
+    return E.agreement(label, {
+        "vds": (F.col("l_vds").isNotNull(), F.coalesce(F.abs("vds") == F.abs("l_vds"), F.lit(False))),
+        "channel": (F.col("l_channel").isNotNull(), F.coalesce(F.col("channel") == F.col("l_channel"), F.lit(False))),
+        "package": (F.size("l_package") > 0, F.size(F.array_except("l_package", "package")) == 0),
+    })
+
+
+@query
+def package_audit(spark, sf):
+    p = V.table(spark, sf, "part")
+    key = F.col("p_partkey")
+    sets = p.select("p_partkey", F.array("p_brand", F.when(key % 3 == 0, "SOT669").otherwise("LFPAK56")).alias("c"), F.array("p_brand").alias("l"), F.array("p_brand", F.lit("LFPAK56")).alias("d"))
+    a = E.sets_audit(sets, "c", "l", "d")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return a.select("p_partkey", joined("fabricated"), joined("missed_by_label"), joined("missed_by_catalogue"), "all_of_label")
+
+
+@query
+def latency_percentiles(spark, sf):
+    return E.percentiles(V.table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query
+def stride_sample(spark, sf):
+    return S.stride_sample(V.table(spark, sf, "events").select("event_id", "user_id"), 100, "event_id")
+
+
+@query
+def index_sizes_curve(spark, sf):
+    c = _index(spark, sf).withColumn("document_id", F.col("key"))
+    return E.storage_curve(readers.index_sizes(c, {"s": 5, "m": 100, "l": None}))
+
+
+@query
+def index_stats(spark, sf):
+    return readers.index_stats(V.table(spark, sf, "embeddings"))
+
+
+@query
+def parse_plan(spark, sf):
+    e = V.table(spark, sf, "events")
+    key = F.col("event_id")
+    text = F.when(key % 5 == 0, "no plan").when(key % 5 == 1, F.concat(F.lit('Sure: {"route":"catalog","op":"min","field":"rdson","filters":{"vds":-'), (key % 60).cast("string"), F.lit("}} done"))).when(key % 5 == 2, '{"route":"lookup"}').when(key % 5 == 3, '{"route":"catalog","op":"sum","field":"id"}').otherwise('{"route":"catalog","op":"count","filters":{"package":"SO8"}}')
+    return P.parse_plans(e.select(key.alias("id"), text.alias("text")))
+
+
+@query
+def parse_attributes(spark, sf):
+    p = V.table(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    good = F.concat(F.lit('ok {"channel":"N","vds":'), size, F.lit(',"rdson":{"value":'), size, F.lit(',"unit":"mΩ","conditions":"VGS = 10 V; Fig. 2"},"id":[{"value":5,"unit":"A","conditions":"Tmb = 25 °C"},{"value":7,"unit":"A"}],"package":"SO8"}'))
+    text = F.when(key % 4 == 0, "{broken").when(key % 4 == 1, F.concat(F.lit('{"channel":"Q","vds":"x","package":["A1","b c"]}'))).otherwise(good)
+    r = P.parse_attributes(p.select(key.alias("part"), text.alias("text")))
+    return r.select("part", "readable", "channel", "vds", F.size("rdson").cast("long").alias("n_rdson"), F.size("id").cast("long").alias("n_id"), F.array_join(F.transform("rdson", lambda m: m["conditions"]), "|").alias("conditions"), F.array_join("package", "|").alias("package"))
+
+
+@query
+def fetch_status(spark, sf):
+    p = V.table(spark, sf, "pages")
+    key = F.col("page_id")
+    f = p.select((key % 7 == 0).alias("cached"), F.when(key % 5 == 0, 404).otherwise(200).alias("http_status"), F.when(key % 3 == 0, "text/html").otherwise("application/pdf").alias("content_type"))
+    return readers.fetch_status(f)
+
+
+@query
+def readable_documents(spark, sf):
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("part"), "text")
+    return readers.readable(d).select("part")
+
+
+@query
+def batches(spark, sf):
+    numbered = S.numbered(V.table(spark, sf, "events").select("event_id"), "event_id")
+    return numbered.groupBy(F.floor(F.col("_i") / 64).cast("long").alias("batch")).agg(F.min("event_id").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def vocabulary_tally(spark, sf):
+    names = V.parts(spark, sf).select(F.explode("package").alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
+
+
+@query
+def best_strategy(spark, sf):
+    return strategy_ablation(spark, sf).agg(F.max_by("strategy", "mrr").alias("strategy"), F.max("mrr").alias("mrr"))
+
+
+@query
+def name_mentions(spark, sf):
+    d = V.table(spark, sf, "documents").select("doc_id", "text")
+    names = V.table(spark, sf, "labels").sparkSession.createDataFrame([("of",), ("los",), ("der",), ("que",)], "name string")
+    return d.join(F.broadcast(names), T.mentions(F.col("text"), F.col("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

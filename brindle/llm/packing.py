@@ -35,9 +35,9 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(vocabulary).encode, attempt()[0], np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in rounds(texts):
-                ids, ends = encode(texts[a:b], end_id)
+            names = batch.column(0).to_pylist()
+            for a, b, texts in rounds(batch.column(1)):
+                ids, ends = encode(texts, end_id)
                 raw, rows, begin = ids.astype("<u4"), [], 0
                 for name, end in zip(names[a:b], ends.tolist(), strict=True):
                     for piece, at in enumerate(range(begin, end, capacity)):

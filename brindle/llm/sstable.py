@@ -227,12 +227,12 @@ def write_token_shards(documents: DataFrame, folder: str, vocabulary: str, end_i
         own, final = f"{path}/.attempt-{shard:06d}-{tried}", f"{path}/shard-{shard:06d}.sst"
         encode, last, ordinal, writer = encoder(vocabulary).encode, object(), 0, None
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in rounds(texts):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in rounds(batch.column(1)):
                 if writer is None:
                     sink = store.open_output_stream(own)
                     writer = ShardWriter(sink, width)
-                ids, ends = encode(texts[a:b], end_id)
+                ids, ends = encode(texts, end_id)
                 start = 0
                 for name, end in zip(names[a:b], ends.tolist(), strict=True):
                     ordinal = ordinal + 1 if name == last else 0

@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 KEPT_PIECES = 200_000
 #: Longer pieces aren't kept.
 KEPT_CHARS = 64
-#: Characters of text that one round of array operations covers, and more only for one longer text.
-ROUND_CHARS = 12_000_000
+#: Bytes of text that one round of array operations covers, and more only for one longer text.
+ROUND_BYTES = 6_000_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -46,16 +46,15 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def rounds(texts: list, limit: int = ROUND_CHARS):
-    """Index ranges of a column whose texts hold about as many characters as the limit."""
+def rounds(column: pa.Array, limit: int = ROUND_BYTES):
+    """A column of texts in slices of about as many bytes as the limit: first row, end row, texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= limit:
-            yield start, i + 1
+    for i, size in enumerate(sizes.tolist()):
+        total += size
+        if total >= limit or i + 1 == len(sizes):
+            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
 
 
 class Encoder:

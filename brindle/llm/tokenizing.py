@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces a worker keeps in each of two generations (some 200 bytes each).
-KEPT_PIECES = 200_000
+KEPT_PIECES = 400_000
 #: Longer pieces aren't kept.
 KEPT_CHARS = 64
 #: Bytes of text that one round of array operations covers, and more only for one longer text.

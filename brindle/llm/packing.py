@@ -122,6 +122,7 @@ def packing_plan(histogram: dict[int, int], capacity: int, rounds_: int = 160, r
     if left[capacity]:
         plan.append(([capacity], int(left[capacity])))
         left[capacity] = 0
+    alone = best_fit(left, capacity)
     for chosen, share in fractional_cover(left, capacity, rounds_, rate):
         held = Counter(chosen)
         fits = min(int(left[n]) // k for n, k in held.items())
@@ -131,7 +132,12 @@ def packing_plan(histogram: dict[int, int], capacity: int, rounds_: int = 160, r
             plan.append((chosen, times))
             for n, k in held.items():
                 left[n] -= k * times
-    return plan + best_fit(left, capacity)
+    rest = best_fit(left, capacity)
+    # Rounding may cost more than the program saves when each length occurs a few times only.
+    whole = int(counts[capacity])
+    if sum(times for _, times in alone) + whole < sum(times for _, times in plan + rest):
+        return [([capacity], whole)] * bool(whole) + alone
+    return plan + rest
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

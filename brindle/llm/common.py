@@ -64,6 +64,15 @@ class Written:
         delete(self.spark, self.path)
 
 
+def shield(df: DataFrame, needed: tuple[str, ...], results: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Give all columns but the needed ones names that no operator uses; columns named like a result go.
+
+    Returns the frame and, for each column that stays, its name in it.
+    """
+    names = {c: c if c in needed else f"__brindle_{i}" for i, c in enumerate(df.columns) if c not in results or c in needed}
+    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()]), names
+
+
 #: Rows of 8 to 16 bytes that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 

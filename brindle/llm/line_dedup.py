@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WHITE, Written, broadcast_if_small
+from brindle.llm.common import WHITE, Written, broadcast_if_small, shield
 from brindle.llm.quality import let
 
 #: log2 of a sketch's registers, and its relative error times three.
@@ -59,8 +59,7 @@ def line_dedup(documents: DataFrame, site: str = "source", min_sites: int = MIN_
     the occurrence of the smallest (doc_id, place) stays, in all rows that repeat that document.
     Hot lines are counted in partial aggregates; a document's removals are one list of places.
     """
-    documents = documents.drop(*[c for c in ("n_lines", "n_removed_lines") if c in documents.columns])
-    columns = documents.columns
+    documents, names = shield(documents, ("doc_id", "text", site), ("n_lines", "n_removed_lines"))
     found = Written(boilerplate(documents, site, min_sites), "boilerplate").df
     n = found.count()
     hit = _lines(documents, site).join(broadcast_if_small(found, n), "key").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
@@ -75,7 +74,7 @@ def line_dedup(documents: DataFrame, site: str = "source", min_sites: int = MIN_
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), cut))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     n_gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in columns]
+    kept = [(text if c == "text" else F.col(name)).alias(c) for c, name in names.items()]
     return joined.select(*kept, n_lines.alias("n_lines"), n_gone.alias("n_removed_lines"))
 
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Written, broadcast_if_small
+from brindle.llm.common import Written, broadcast_if_small, shield
 from brindle.llm.quality import words_of
 
 #: Blocks that a source's documents are dealt into.
@@ -80,8 +80,9 @@ def mix(
     its quota by part of one document at most. Hot sources are only aggregated, by block; the
     documents of one block a source are ordered.
     """
-    documents = documents.drop(*[c for c in ("epoch", "block") if c in documents.columns])
+    documents, names = shield(documents, ("doc_id", "text", source), ("epoch", "block"))
     columns = documents.columns
+    again = [F.col(name).alias(c) for c, name in names.items()]
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     dealt = documents.withColumns({
         "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
@@ -95,7 +96,7 @@ def mix(
     sources = blocks.groupBy(*group).agg(F.sum("tokens").alias("total"))
     total = sources.agg(F.sum("total")).first()[0] or 0
     if not total:
-        return documents.withColumns({"epoch": F.lit(1), "block": F.lit(0)})
+        return documents.select(*again, F.lit(1).alias("epoch"), F.lit(0).alias("block"))
     shares = Written(sources.where("total > 0").withColumn("p", F.col("total") / F.lit(float(total))), "shares").df
     exponent = bisect_exponent(shares, entropy_share, max_repeats)
     weight = F.pow("p", F.lit(exponent))
@@ -118,4 +119,4 @@ def mix(
     last = placed.where(part).withColumn("_copies", F.col("whole") + (F.sum("_tokens").over(inside) - F.col("_tokens") < F.col("room")).cast("int"))
     chosen = settled.select(*columns, "block", "_copies").unionByName(last.select(*columns, "block", "_copies"))
     taken = chosen.where("_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*columns, "epoch", "block")
+    return taken.select(*again, "epoch", "block")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WHITE, Written, broadcast_if_small
+from brindle.llm.common import WHITE, Written, broadcast_if_small, shield
 
 #: Character classes, by regular expression; what none takes is the last class, "other".
 CLASSES = {
@@ -147,8 +147,10 @@ def quality(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     language, broadcast behind a check of their number; beyond it, the join shuffles and splits hot languages.
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_divergence", "words_divergence", "kept"]
-    documents = documents.drop(*[c for c in results if c in documents.columns])
-    columns = documents.columns if keep is None else keep
+    chosen = documents if keep is None else documents.select(*dict.fromkeys([*keep, "text", "lang"]))
+    documents, names = shield(chosen, ("text", "lang"), tuple(results))
+    names = names if keep is None else {c: name for c, name in names.items() if c in keep}
+    columns = list(names.values())
     common = Written(common_words(documents.where("lang is not null")), "common").df
     n = common.count()
     judged = measured(documents.join(broadcast_if_small(common, n), documents["lang"] == common["_lang"], "left").drop("_lang"))
@@ -164,4 +166,4 @@ def quality(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     })
     chars, words = (F.coalesce(c, F.lit(0.0)) for c in ("chars_divergence", "words_divergence"))
     near = (chars <= MAX_CHARS_DIVERGENCE) & (chars + words <= MAX_DIVERGENCE)
-    return found.select(*columns, *results[:-1], (~F.col("base_failed") & near).alias("kept"))
+    return found.select(*[F.col(name).alias(c) for c, name in names.items()], *results[:-1], (~F.col("base_failed") & near).alias("kept"))

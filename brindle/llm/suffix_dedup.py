@@ -15,6 +15,9 @@ one for each 80 bytes. Runs, as (key, digest of the run's text), are the sampled
    bytes, and the windows of a key meet in an index family: each new batch gets a suffix array, which is
    merge-scanned against the arrays of all levels, and arrays of equal size merge into one of the next level.
 
+A key with very many differing runs would make one family, and its task, as large as the corpus. Windows of
+such keys are spread instead by their own digests and counted in partial aggregates.
+
 Windows found twice become byte intervals, which go back to their documents.
 """
 
@@ -35,6 +38,8 @@ GRAM = 40
 CHUNK = 1 << 18
 #: Windows of a batch of the index family.
 BATCH_WINDOWS = 1 << 16
+#: Differing runs of a key (80 windows each, on average) beyond which its windows are spread by digest.
+HOT_RUNS = 4096
 
 _POWERS = 8
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -280,6 +285,31 @@ def repeated_edges(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "row_id long, row_mark long, start long, end long")
 
 
+def hot_edges(places: DataFrame, length: int) -> DataFrame:
+    """Intervals of windows that stand twice among the runs asked for, whatever the size of their keys.
+
+    places: row_id, row_mark, doc_id, text, asked. Each window travels as its digest; equal ones are counted in
+    each task first, and adaptive execution splits a digest that stands in very many runs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row_id, mark, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+                first = np.array([x["place"] >> 9 for x in wanted])
+                count = np.array([x["place"] >> 1 & 255 for x in wanted])
+                for at in range(0, len(first), HOT_RUNS):
+                    f, c = first[at : at + HOT_RUNS], count[at : at + HOT_RUNS]
+                    digests = window_digests([text[i : i + n + length - 1] for i, n in zip(f.tolist(), c.tolist(), strict=True)], length)
+                    start = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(len(digests))
+                    n = len(digests)
+                    columns = [digests.real.astype(np.int64), digests.imag.astype(np.int64), np.full(n, row_id), np.full(n, mark), start]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["high", "low", "row_id", "row_mark", "start"])
+
+    windows = Written(places.mapInArrow(run, "high long, low long, row_id long, row_mark long, start long"), "hot-windows").df
+    twice = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
+    return windows.join(twice, ["high", "low"], "left_semi").select("row_id", "row_mark", "start", (F.col("start") + F.lit(length)).alias("end"))
+
+
 def _identified(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("row_id"),
@@ -289,14 +319,23 @@ def _identified(documents: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
+def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that some spans (start and end in one number) cover."""
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    opens = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return start[opens], end[np.append(opens[1:], len(end)) - 1]
+
+
+def remove_repeats(documents: DataFrame, length: int = 200, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that also starts anywhere else.
 
     Takes doc_id and text; other columns don't matter. Null texts count as empty; texts shorter than the
     length stay whole. A row is known by its doc_id and its text's hash; rows that repeat another are
     copies of it, so all their windows repeat and the shared intervals are right for each. Result:
     doc_id, n_bytes, n_removed, n_spans, kept (binary). Memory: one text and one batch; the
-    family of one key holds 24 bytes for each window of the key's differing runs.
+    family of one key holds 24 bytes for each window of the key's differing runs, of which there are at most
+    hot_runs. Windows of keys with more are spread by digest.
     """
     if not GRAM < length < 256:
         raise ValueError(f"the length must be over {GRAM} and under 256")
@@ -308,13 +347,16 @@ def remove_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     texts = shared.df.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "row_mark", "place")).alias("one"))
     texts = Written(texts, "run-texts").df
     kinds = texts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    mixed = kinds.where("kinds > 1 or least = 1").select("key")
-    asked = texts.join(mixed, "key").select("key", "one.*")
+    mixed = Written(kinds.where("kinds > 1 or least = 1").select("key", (F.col("kinds") > hot_runs).alias("hot")), "mixed").df
+    any_hot = not mixed.where("hot").isEmpty()
     whole = shared.df.join(texts.where("n > 1").select("key", "digest"), ["key", "digest"], "left_semi")
     first, count = F.shiftright("place", 9), F.shiftright("place", 1).bitwiseAND(F.lit(255).cast("long"))
     certain = whole.select("row_id", "row_mark", first.alias("start"), (first + count + F.lit(length - 1)).alias("end"))
 
-    lists = asked.groupBy("row_id", "row_mark").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    def places(hot: bool) -> DataFrame:
+        asked = texts.join(mixed.where(F.col("hot") == hot), "key").select("key", "one.*")
+        lists = asked.groupBy("row_id", "row_mark").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+        return rows.join(lists, ["row_id", "row_mark"]).select("row_id", "row_mark", "doc_id", "text", "asked")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "row_id", "row_mark", "place", "bytes"]
@@ -327,24 +369,24 @@ def remove_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
                 columns = [pa.array(key), pa.array([row_id] * n), pa.array([mark] * n), pa.array(place), pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    strings = rows.join(lists, ["row_id", "row_mark"]).select("row_id", "row_mark", "doc_id", "text", "asked").mapInArrow(fetch, "key long, row_id long, row_mark long, place long, bytes binary")
-    edges = repeated_edges(strings, length)
-    spans = certain.unionByName(edges).groupBy("row_id", "row_mark").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    strings = places(False).mapInArrow(fetch, "key long, row_id long, row_mark long, place long, bytes binary")
+    found = certain.unionByName(repeated_edges(strings, length))
+    if any_hot:
+        found = found.unionByName(hot_edges(places(True), length))
+    # A span is one number, so that a set of them is hashed and not searched.
+    spans = found.groupBy("row_id", "row_mark").agg(F.collect_set(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, spans_ in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, spans_ in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2), strict=True):
                 kept, removed, n, at = [], 0, 0, 0
-                merged: list[list[int]] = []
-                for start, end in sorted((x["start"], x["end"]) for x in spans_ or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                for start, end in merged:
-                    kept.append(text[at:start])
-                    removed, n, at = removed + end - start, n + 1, end
+                if spans_.is_valid:
+                    starts, ends = _merged(spans_.values.to_numpy())
+                    removed, n = int((ends - starts).sum()), len(starts)
+                    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                        kept.append(text[at:start])
+                        at = end
                 kept.append(text[at:])
                 out.append((doc_id, len(text), removed, n, b"".join(kept)))
             if out:

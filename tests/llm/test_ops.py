@@ -193,12 +193,13 @@ def repeats(texts, length):
 
 
 @pytest.mark.parametrize("length", [60, 200])
-def test_suffix_dedup(docs, empty, length):
+@pytest.mark.parametrize("hot_runs", [suffix_dedup.HOT_RUNS, 2, 0])
+def test_suffix_dedup(docs, empty, length, hot_runs):
     rows = [(i, t.encode()) for i, t in of(docs)]
     want = [(repr(i), len(t), sum(m), len(re.findall(rb"\x01+", bytes(m))), bytes(b for b, x in zip(t, m, strict=True) if not x)) for (i, t), m in zip(rows, repeats([t for _, t in rows], length), strict=True)]
-    found = suffix_dedup.remove_repeats(docs, length).collect()
+    found = suffix_dedup.remove_repeats(docs, length, hot_runs).collect()
     assert sorted((repr(a), b, c, d, bytes(e)) for a, b, c, d, e in found) == sorted(want)
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert suffix_dedup.remove_repeats(empty, hot_runs=hot_runs).count() == 0
 
 
 def test_index_family():

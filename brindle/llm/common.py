@@ -82,6 +82,23 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key with more than this part of all rows is hot, so there are at most so many hot keys; their rows go to so many tasks.
+HOT_PART, SALTS = 2_000, 64
+
+
+def spread_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Rows whose key is among the keys, with the rows of hot keys dealt over many tasks.
+
+    keys: each key once, with its weight; weights add up to total at most. That bounds the hot keys, which
+    are broadcast: 2,000 at most, each of which stands once a salt on the other side.
+    """
+    hot = F.col(weight) > total / HOT_PART
+    known = keys.where(hot).select(*on, F.lit(True).alias("_hot"))
+    salted = rows.join(F.broadcast(known), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keys.select(*on, F.explode(salts).alias("_salt")), [*on, "_salt"], "left_semi").select(*rows.columns)
+
+
 def attempt() -> tuple[int, int]:
     """Partition id and unique attempt id of the running task."""
     context = TaskContext.get()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Written
+from brindle.llm.common import Written, spread_semi_join
 
 #: Bytes of the strings whose least hash is a window's key.
 GRAM = 40
@@ -341,15 +341,19 @@ def remove_repeats(documents: DataFrame, length: int = 200, hot_runs: int = HOT_
         raise ValueError(f"the length must be over {GRAM} and under 256")
     rows = _identified(documents)
     suffixes = Written(sampled_suffixes(rows, length), "suffixes")
+    total = suffixes.df.count()
     times = suffixes.df.groupBy("key").agg(F.sum(F.lit(1) + F.col("place").bitwiseAND(F.lit(1).cast("long"))).alias("times"))
-    shared = Written(suffixes.df.join(times.where("times > 1").select("key"), "key", "left_semi"), "shared")
+    times = Written(times.where("times > 1"), "times")
+    # A run counts twice in times at most, so they add up to no more than twice the runs.
+    shared = Written(spread_semi_join(suffixes.df, times.df, ["key"], "times", 2 * total), "shared")
+    times.drop()
     suffixes.drop()
     texts = shared.df.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "row_mark", "place")).alias("one"))
     texts = Written(texts, "run-texts").df
     kinds = texts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     mixed = Written(kinds.where("kinds > 1 or least = 1").select("key", (F.col("kinds") > hot_runs).alias("hot")), "mixed").df
     any_hot = not mixed.where("hot").isEmpty()
-    whole = shared.df.join(texts.where("n > 1").select("key", "digest"), ["key", "digest"], "left_semi")
+    whole = spread_semi_join(shared.df, texts.where("n > 1"), ["key", "digest"], "n", total)
     first, count = F.shiftright("place", 9), F.shiftright("place", 1).bitwiseAND(F.lit(255).cast("long"))
     certain = whole.select("row_id", "row_mark", first.alias("start"), (first + count + F.lit(length - 1)).alias("end"))
 

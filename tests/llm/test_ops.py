@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import components, line_dedup, mixing, neighbours, packing, quality, queries, secret_scan, simhash, sstable, suffix_dedup, tokenizing, url_filter
+from brindle.llm import common, components, line_dedup, mixing, neighbours, packing, quality, queries, secret_scan, simhash, sstable, suffix_dedup, tokenizing, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -202,6 +202,13 @@ def test_suffix_dedup(docs, empty, length, hot_runs):
     assert suffix_dedup.remove_repeats(empty, hot_runs=hot_runs).count() == 0
 
 
+def test_spread_semi_join(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS key", "id AS x")
+    keys = rows.groupBy("key").count().where("count > 1 or key % 10 = 2")
+    want = [tuple(r) for r in rows.collect() if r.key == 7 or r.key % 10 == 2]
+    assert sorted(map(tuple, common.spread_semi_join(rows, keys, ["key"], "count", 3000).collect())) == sorted(want)
+
+
 def test_index_family():
     rng = np.random.default_rng(1)
     family, every = suffix_dedup.IndexFamily(), []

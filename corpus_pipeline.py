@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import line_dedup, mixing, packing, quality, simhash
+from brindle.llm import line_dedup, mixing, packing, quality, similar
 from brindle.llm.common import Written
 
 
@@ -32,11 +32,18 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (five-word shingles): the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.lit(1).alias("_best"))
+    """One document of each component of near duplicates (five-word shingles): the smallest doc_id.
+
+    Linked are prints within 2 bits and texts of Jaccard similarity 0.8 or more.
+    """
+    key = F.xxhash64("text").alias("key")
+    sketched = Written(similar.sketches(docs.select("text", key, F.col("doc_id").cast("long").alias("id"))), "sketches").df
+    labels = similar.groups(sketched, docs.select(key, "text"))
+    label = F.coalesce("label", "fp").alias("label")
+    found = sketched.join(labels, F.col("fp") == F.col("node"), "left").select("id", label)
+    best = found.groupBy("label").agg(F.min("id").alias("_best")).select("_best").distinct()
     # Rows that share the least identifier differ at most in their text: the least text stays.
-    chosen = docs.join(best, docs["doc_id"].eqNullSafe(best["doc_id"]), "left_semi")
+    chosen = docs.join(best, docs["doc_id"].eqNullSafe(best["_best"]), "left_semi")
     return one_of_each(chosen)
 
 

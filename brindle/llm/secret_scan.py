@@ -23,14 +23,14 @@ WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Character classes of candidates, the first that fits: whole-string pattern, bits from which a window is random.
 CLASSES = (("^[0-9+/_=-]+$", 99.0), ("^[0-9a-fA-F]+$", 3.0), ("^[a-z_=+/-]+$|^[A-Z_=+/-]+$", 4.1), (".*", 3.85))
-#: Candidates that are no secrets: identifiers of known shapes, paths, placeholders, runs of separators.
+#: Whole candidates that are no secrets: identifiers of known shapes, runs of separators, paths.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]|dummy|sample|test[_-]?key",
-    r"^[-_=+/]+|(.)\1{7,}",
+    r"^[-_=+/]+$",
     r"^/?([a-z0-9_-]{1,19}/)+[a-z0-9_-]*$",
-    r"(?i)abcdefghij|0123456789",
 )
+#: Parts of candidates that are no secrets, placeholders and runs: windows that overlap one don't count.
+ALLOWED_PART = r"(?i:example|placeholder|changeme|your[_-]|dummy|sample|test[_-]?key|abcdefghij|0123456789)|(.)\1{7,}"
 
 
 def _sum(x: Column) -> Column:
@@ -93,7 +93,7 @@ def highest_entropy(candidate: Column) -> Column:
 
 
 def random_strings(text: Column) -> Column:
-    """Candidates that hold a random window and that no allow-list pattern suppresses, as spans."""
+    """Candidates, as spans, that aren't allowed as a whole and hold a random window apart from allowed parts."""
 
     def suspicious(x: Column) -> Column:
         least = F.when(x["found"].rlike(CLASSES[0][0]), CLASSES[0][1])
@@ -102,7 +102,8 @@ def random_strings(text: Column) -> Column:
         allowed = x["found"].rlike(ALLOWED[0])
         for pattern in ALLOWED[1:]:
             allowed = allowed | x["found"].rlike(pattern)
-        return F.when(allowed, F.lit(False)).otherwise(highest_entropy(x["found"]) >= least)
+        parts = F.filter(F.split(x["found"], ALLOWED_PART), lambda part: F.length(part) >= WINDOW)
+        return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, lambda part: highest_entropy(part) >= least))
 
     return F.filter(matches(text, CANDIDATE), suspicious)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ RULES: tuple[Rule, ...] = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-#: Rounds end when no host's score changes by more than this, or after so many.
-TOLERANCE, MAX_ROUNDS = 1e-6, 20
+#: Rounds end when no host's score changes by more than this.
+TOLERANCE = 1e-6
 #: A host is blocked if its distrust is over this many times its trust.
 DISTRUST_RATIO = 2.0
 
@@ -67,7 +68,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     seeds: host, trust, distrust (the teleport vectors); links: src, dst, n. A link hands on its share
     of its source's trust, and its share of its target's distrust. Result: host, trust, distrust.
     Links are kept once a direction; a round is one join on the giving host, whose unique
-    scores meet links that adaptive execution can split, and one partial sum.
+    scores meet links that adaptive execution can split, and one partial sum. Each round's changes add up to
+    DAMPING times the last one's at most, so rounds end by the bound that the seeds' sum gives; beyond it is an error.
     """
     outs = links.groupBy("src").agg(F.sum("n").alias("out"))
     ins = links.groupBy("dst").agg(F.sum("n").alias("in"))
@@ -79,8 +81,9 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     base = Written(every.select("host", *[(F.coalesce(c, F.lit(0.0)) * (1 - DAMPING)).alias(c) for c in ("trust", "distrust")]), "seeds").df
     if edges.isEmpty():
         return base
-    scores, old = base, None
-    for _ in range(MAX_ROUNDS):
+    mass = max(1.0, *(x or 0.0 for x in base.agg(F.sum("trust"), F.sum("distrust")).first()))
+    scores, old, rounds = base, None, 1 + ceil(log(TOLERANCE / mass) / log(DAMPING))
+    for _ in range(rounds):
         given = edges.join(scores, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
         plus = lambda c, own: F.col(c) + DAMPING * F.coalesce(own, F.lit(0.0))
         new = Written(base.join(given, "host", "left").select("host", plus("trust", "t").alias("trust"), plus("distrust", "d").alias("distrust")), "scores")
@@ -92,8 +95,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
             old.drop()
         scores, old = new.df, new
         if change is None or change <= TOLERANCE:
-            break
-    return scores
+            return scores
+    raise RuntimeError(f"scores of hosts still change by {change} after {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -1,9 +1,10 @@
 """Cases in which operators once did less than the whole job."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import secret_scan
+from brindle.llm import secret_scan, url_filter
 
 
 @pytest.mark.parametrize("first", ["-", "_", "=", "+", "/", "==", "--client-key="])
@@ -23,3 +24,23 @@ def test_allowed_parts_suppress_only_their_windows(one, part):
 
 def test_separators_alone_are_no_secret(one):
     assert one(F.size(secret_scan.random_strings(F.lit("=-_+/" * 10)))) == 0
+
+
+def test_distrust_reaches_along_a_chain(spark):
+    n = 30
+    page = lambda i, to: (i, f"http://h{i}.net/" if i else "http://h0.com/de/", f'<a href="http://{to}/">x</a>')
+    name = lambda i: "h0.com" if i == 0 else f"h{i}.net"
+    pages = [(0, "http://h0.com/de/", "")] + [page(i, name(i - 1)) for i in range(1, n)]
+    verdict = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(verdict.values()) == {"block"} and len(verdict) == n
+
+
+def test_propagation_converges(spark):
+    n = 30
+    links = [(f"h{i}", f"h{(i + 1) % n}", 1) for i in range(n)]
+    seeds = [("h0", 1.0, 0.0), ("h7", 0.0, 1.0)]
+    found = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long")).collect()}
+    step = np.roll(np.eye(n), 1, axis=0)
+    solve = lambda m, at: np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * np.eye(n)[at])
+    trust, distrust = solve(step, 0), solve(step.T, 7)
+    assert all(abs(found[f"h{i}"][0] - trust[i]) < 1e-5 and abs(found[f"h{i}"][1] - distrust[i]) < 1e-5 for i in range(n))

@@ -32,29 +32,21 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five-word shingles): the smallest doc_id.
+    """One row of each component of near duplicates (five-word shingles): the smallest doc_id, then the least text hash.
 
-    Linked are prints within 2 bits and texts of Jaccard similarity 0.8 or more.
+    Linked are prints within 2 bits and texts of Jaccard similarity 0.8 or more. Identifiers may be null or
+    repeated: a row goes only where another of its component stays.
     """
+    # The hash of a row tells which columns are null, so that rows of one hash are equal.
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
     key = F.xxhash64("text").alias("key")
-    sketched = Written(similar.sketches(docs.select("text", key, F.col("doc_id").cast("long").alias("id"))), "sketches").df
+    sketched = Written(similar.sketches(docs.select("text", key, row.alias("row"), F.col("doc_id").cast("long").alias("id"))), "sketches").df
     labels = similar.groups(sketched, docs.select(key, "text"))
-    label = F.coalesce("label", "fp").alias("label")
-    found = sketched.join(labels, F.col("fp") == F.col("node"), "left").select("id", label)
-    best = found.groupBy("label").agg(F.min("id").alias("_best")).select("_best").distinct()
-    # Rows that share the least identifier differ at most in their text: the least text stays.
-    chosen = docs.join(best, docs["doc_id"].eqNullSafe(best["_best"]), "left_semi")
-    return one_of_each(chosen)
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: that of the least text hash, then the least place of its hash among its columns."""
-    ranked = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))
-    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = counted.where("_n > 1").select("doc_id")
-    again = docs["doc_id"].eqNullSafe(repeated["doc_id"])
-    single, several = docs.join(repeated, again, "left_anti"), docs.join(repeated, again, "left_semi")
-    return single.unionByName(several.groupBy("doc_id").agg(ranked.alias("_row")).select("_row.*"))
+    found = sketched.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "row")).alias("best"))
+    chosen = best.select(F.col("best.key").alias("__near_key"), F.col("best.row").alias("__near_row"))
+    keyed = docs.withColumns({"__near_key": F.xxhash64("text"), "__near_row": row})
+    return keyed.join(chosen, ["__near_key", "__near_row"], "left_semi").dropDuplicates(["__near_key", "__near_row"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

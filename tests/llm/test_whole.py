@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brindle.llm import secret_scan, url_filter
 
 
@@ -44,3 +45,13 @@ def test_propagation_converges(spark):
     solve = lambda m, at: np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * np.eye(n)[at])
     trust, distrust = solve(step, 0), solve(step.T, 7)
     assert all(abs(found[f"h{i}"][0] - trust[i]) < 1e-5 and abs(found[f"h{i}"][1] - distrust[i]) < 1e-5 for i in range(n))
+
+
+def test_null_and_shared_identifiers_are_no_duplicates(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(12)]
+    rows = [(None if k < 4 else 7 if k < 8 else k, t) for k, t in enumerate(texts)]
+    rows += [rows[0], rows[5], (99, texts[1]), (3, texts[11])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    assert {r.text: r.doc_id for r in kept} == {t: {1: 99, 11: 3}.get(k, rows[k][0]) for k, t in enumerate(texts)}

@@ -97,10 +97,13 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_tiles(query: tuple, candidate: tuple, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The k nearest of a candidate tile for each row of a query tile: query ids, candidate ids, cosines."""
+    """The k nearest identifiers of a candidate tile for each row of a query tile: query ids, candidate ids, best cosines."""
     q_ids, q_x, q_codes, q_scale, q_error, q_size = query
     c_ids, c_x, c_codes, c_scale, c_error, c_size = candidate
     right = c_codes.T.astype(np.float32)
+    # Rows that repeat an identifier are one neighbour: the first place of each in the order by identifier.
+    by_id = np.argsort(c_ids, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(c_ids[by_id]) != 0)[: len(c_ids)])
     for at in range(0, len(q_ids), SLICE):
         rows = slice(at, at + SLICE)
         # Sums of products of int8 codes stay under 2**24 up to 1,040 components: exact in float32.
@@ -111,9 +114,16 @@ def nearest_in_tiles(query: tuple, candidate: tuple, k: int) -> Iterator[tuple[n
         bound = q_size[rows, None] * c_error[None, :] + q_error[rows, None] * (c_size + c_error)[None, :] + 1e-9
         own = q_ids[rows, None] == c_ids[None, :]
         low = np.where(own, -np.inf, near - bound)
+        if len(starts) < len(c_ids):
+            low = np.maximum.reduceat(low[:, by_id], starts, axis=1)
         least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
         i, j = np.nonzero((near + bound >= least[:, None]) & ~own)
         score = cosines(q_x[rows][i], c_x[j])
+        if len(starts) < len(c_ids):
+            order = np.lexsort((-score, c_ids[j], i))
+            i, j, score = i[order], j[order], score[order]
+            best = np.append(True, (i[1:] != i[:-1]) | (c_ids[j[1:]] != c_ids[j[:-1]]))[: len(i)]
+            i, j, score = i[best], j[best], score[best]
         order = np.lexsort((c_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         first = np.searchsorted(i, i, "left")

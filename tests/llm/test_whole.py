@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import secret_scan, url_filter
+from brindle.llm import neighbours, secret_scan, url_filter
 
 
 @pytest.mark.parametrize("first", ["-", "_", "=", "+", "/", "==", "--client-key="])
@@ -55,3 +55,19 @@ def test_null_and_shared_identifiers_are_no_duplicates(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.text for r in kept) == sorted(texts)
     assert {r.text: r.doc_id for r in kept} == {t: {1: 99, 11: 3}.get(k, rows[k][0]) for k, t in enumerate(texts)}
+
+
+
+def test_repeated_candidates_take_one_place(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(1, 40)]
+    query = rng.normal(size=8)
+    hot = [(100 + k, (query + 0.01 * (k + 1) * rng.normal(size=8)).tolist()) for k in range(2)]
+    rows = [(0, query.tolist()), *vectors, *hot * 6, (100, [-x for x in query.tolist()])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2.0), float(neighbours.cosines(query[None], np.array([v]))[0]))
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    found = neighbours.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == want and all(abs(r.score - best[r.vec_id]) < 1e-12 for r in found)

@@ -3,9 +3,9 @@
 Pieces are at most one sequence long, so their length histogram has at most that many entries
 whatever the corpus. Only it reaches the driver. Configurations (multisets of lengths that fit one
 sequence) cover the histogram; multiplicative weights price the lengths, a knapsack dynamic program
-finds the best configuration at those prices, and the fractional cover is rounded down. Lengths that
-remain are packed best-fit decreasing, by counts. The plan then goes back to the pieces by each
-piece's rank among those of its length.
+finds the best configuration at those prices, and its share of the cover is rounded to whole
+sequences. The last few sequences' worth is packed best-fit decreasing, by counts. The plan then goes back to the pieces
+by each piece's rank among those of its length.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import Written, attempt
 from brindle.llm.tokenizing import encoder, rounds
 
+#: Pieces that a knapsack chooses from at least; steps in which the cover is made but for rounding; how fast prices follow the
+#: cover; sequences whose worth is left to best fit; seed of the draws.
+DRAW, STEPS, RATE, REST, SEED = 64, 1000, 0.5, 20, 42
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -52,92 +56,101 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: i
     return documents.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def best_configuration(prices: np.ndarray, counts: np.ndarray, capacity: int) -> list[int]:
-    """Knapsack dynamic program: a multiset of lengths of the highest price that fits.
+def drawn(left: np.ndarray, pieces: int, offset: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and counts of about so many of the pieces that are left, drawn in order of length.
 
-    prices and counts are by length (index 0 unused); a length is used no more often than it occurs.
+    Half are drawn at even steps through the pieces, half through their tokens, so that long ones are among them.
     """
-    lengths = np.flatnonzero(counts)
-    value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = prices[lengths]
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, "right")
-        if n:
-            total = worth[:n] + value[room - lengths[:n]]
-            best = int(total.argmax())
-            if total[best] > value[room - 1]:
-                value[room], pick[room] = total[best], lengths[best]
-                continue
-        value[room] = value[room - 1]
-    chosen: list[int] = []
-    room, left = capacity, {}
-    while room > 0:
-        n = int(pick[room])
-        if not n:
-            room -= 1
-            continue
-        if left.setdefault(n, int(counts[n])) > 0:
-            left[n] -= 1
-            chosen.append(n)
-        room -= n
-    return chosen
-
-
-def fractional_cover(counts: np.ndarray, capacity: int, rounds_: int, rate: float) -> list[tuple[list[int], float]]:
-    """Multiplicative weights for the covering program: configurations and how many sequences of each.
-
-    Each round prices every length by its weight over its count, adds the best configuration, and
-    lowers the weights of the lengths it covers, by how far it covers their counts. Scaling by the
-    least-covered length makes the sum a cover; lengths it leaves too scarce are dealt with in rounding.
+    chosen = np.zeros(len(left), np.int64)
+    for mass in (left, left * np.arange(len(left))):
+        upto = np.cumsum(mass)
+        at = ((np.arange(pieces // 2) + offset) * (upto[-1] / (pieces // 2))).astype(np.int64)
+        chosen += np.bincount(np.searchsorted(upto, at, "right"), minlength=len(left))
+    chosen = np.minimum(chosen, left)
+    lengths = np.flatnonzero(chosen)
+    return lengths, chosen[lengths]
+
+
+def best_configuration(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
+    """Bounded knapsack by dynamic program: the best-priced of the multisets of lengths that fill a sequence most.
+
+    A length is used no more often than it is counted: its copies are items of 1, 2, 4, ... of them at once.
     """
-    lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return []
-    weights, found = np.ones(capacity + 1), []
-    total = int((counts * np.arange(capacity + 1)).sum())
-    bins = max(1.0, total / capacity)
-    for _ in range(rounds_):
-        prices = np.zeros(capacity + 1)
-        # Weight by length keeps long pieces, which few configurations hold, from coming last.
-        prices[lengths] = weights[lengths] * lengths
-        chosen = best_configuration(prices, counts, capacity)
-        if not chosen:
-            break
-        held = Counter(chosen)
-        # As many sequences at once as a fixed share of the bins, or as the scarcest length allows.
-        step = min(max(1.0, bins / rounds_), min(counts[n] / k for n, k in held.items()))
-        found.append((chosen, step))
+    items = []
+    for n, k, price in zip(lengths.tolist(), counts.tolist(), prices.tolist(), strict=True):
+        k, times = min(k, capacity // n), 1
+        while k > 0:
+            some = min(times, k)
+            items.append((n, some, price * some))
+            k, times = k - some, times * 2
+    # value[room]: the best price of items that take up exactly this room.
+    value, takes = np.full(capacity + 1, -np.inf), np.zeros((len(items), capacity + 1), bool)
+    value[0] = 0.0
+    for take, (n, some, price) in zip(takes, items, strict=True):
+        with_it = value[: capacity + 1 - n * some] + price
+        np.greater(with_it, value[n * some :], out=take[n * some :])
+        np.maximum(with_it, value[n * some :], out=value[n * some :])
+    room, held = int(np.flatnonzero(value > -np.inf)[-1]), Counter()
+    for take, (n, some, _) in zip(takes[::-1], items[::-1], strict=True):
+        if take[room]:
+            held[n] += some
+            room -= n * some
+    return held
+
+
+def configuration_program(counts: np.ndarray, capacity: int) -> tuple[list[tuple[list[int], int]], np.ndarray, np.ndarray]:
+    """Multiplicative weights for the covering program: configurations with whole numbers of sequences, the counts left, last prices.
+
+    A length costs its tokens, somewhat more for long ones, times a weight, the exponential of how far its cover lags behind
+    that of all tokens; each configuration that is used multiplies the weights of its lengths by how
+    far it covers them. A knapsack over a draw of the remaining pieces, a wider one where no
+    choice fills a sequence, finds the best configuration at these prices. It is used for a fixed share of the sequences still needed, rounded at once to a whole number, one at
+    least, and as its scarcest length allows, so later prices see the rounded cover. The loop ends when the rest is worth few
+    sequences: steps grow with the logarithm of the corpus.
+    """
+    left, tokens = counts.copy(), np.arange(capacity + 1)
+    least, total = np.maximum(counts, 1), int((counts * tokens).sum())
+    rng, plan, todo = np.random.default_rng(SEED), [], total
+    while todo > REST * capacity:
+        pieces = int(left.sum())
+        for wider in (1, 4, 16):
+            lengths, some = drawn(left, wider * max(DRAW, 4 * capacity * pieces // todo), rng.random())
+            prices = lengths * (1 + lengths / capacity) * np.exp(RATE * (left[lengths] / least[lengths] - todo / total))
+            held = best_configuration(lengths, some, prices, capacity)
+            if sum(n * k for n, k in held.items()) == capacity or int(some.sum()) == pieces:
+                break
+        times = max(1, min(todo // capacity // STEPS, *(int(left[n]) // k for n, k in held.items())))
         for n, k in held.items():
-            weights[n] *= np.exp(-rate * k * step / counts[n] * len(lengths) ** 0.5)
-    return found
+            left[n] -= k * times
+            todo -= n * k * times
+        plan.append((sorted(held.elements(), reverse=True), times))
+    return plan, left, tokens * (1 + tokens / capacity) * np.exp(RATE * (left / least - todo / max(1, total)))
+
+
+def least_sequences(counts: np.ndarray, prices: np.ndarray, capacity: int) -> int:
+    """Lower bound on the sequences by duality: no sequence holds more than the best configuration's price.
+
+    An unbounded knapsack over all lengths, so its price is no less than that of any configuration.
+    """
+    lengths, value = np.flatnonzero(counts), np.zeros(capacity + 1)
+    for room in range(1, capacity + 1):
+        fit = lengths[: np.searchsorted(lengths, room, "right")]
+        value[room] = max(value[room - 1], (prices[fit] + value[room - fit]).max(initial=0.0))
+    return int(np.ceil((prices * counts).sum() / value[capacity] - 1e-6)) if value[capacity] > 0 else 0
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, rounds_: int = 160, rate: float = 1.0) -> list[tuple[list[int], int]]:
+def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Configurations and the number of sequences of each; together they hold every piece once."""
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in histogram.items():
         counts[n] = k
-    plan: list[tuple[list[int], int]] = []
-    left = counts.copy()
-    if left[capacity]:
-        plan.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
-    alone = best_fit(left, capacity)
-    for chosen, share in fractional_cover(left, capacity, rounds_, rate):
-        held = Counter(chosen)
-        fits = min(int(left[n]) // k for n, k in held.items())
-        times = min(int(share), fits)
-        # Only configurations that waste little are worth fixing; the rest is left to best fit.
-        if times > 0 and sum(chosen) >= 0.995 * capacity:
-            plan.append((chosen, times))
-            for n, k in held.items():
-                left[n] -= k * times
-    rest = best_fit(left, capacity)
-    # Rounding may cost more than the program saves when each length occurs a few times only.
-    whole = int(counts[capacity])
-    if sum(times for _, times in alone) + whole < sum(times for _, times in plan + rest):
-        return [([capacity], whole)] * bool(whole) + alone
-    return plan + rest
+    whole, counts[capacity] = int(counts[capacity]), 0
+    full = [([capacity], whole)] * bool(whole)
+    plan, left, _ = configuration_program(counts, capacity)
+    plan += best_fit(left, capacity)
+    # Rounding may cost a sequence or two more than best fit when each length occurs a few times only.
+    alone = best_fit(counts, capacity)
+    return full + (plan if sum(times for _, times in plan) <= sum(times for _, times in alone) else alone)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

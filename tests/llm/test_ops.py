@@ -182,6 +182,38 @@ def test_plan_is_a_cover():
     assert sum(times for _, times in packing.packing_plan(histogram, 4096)) <= best * 1.001 + 1
 
 
+def test_configuration_program_places_most_pieces():
+    """On the lengths of prose: the program's share, the rounding's cost, and a bound from the prices."""
+    rng = np.random.default_rng(12)
+    counts = np.bincount(np.minimum(rng.lognormal(6.3, 1.2, 9000).astype(int) + 1, 4095), minlength=4097)
+    plan, left, prices = packing.configuration_program(counts, 4096)
+    rest, alone = packing.best_fit(left, 4096), packing.best_fit(counts, 4096)
+    fixed, others = (sum(times for _, times in x) for x in (plan, rest))
+    assert fixed > 0.9 * (fixed + others) and sum(times * len(c) for c, times in plan) > 0.9 * counts.sum()
+    material = packing.least_sequences(counts, np.arange(4097.0), 4096)
+    assert material == math.ceil((counts * np.arange(4097)).sum() / 4096)
+    bound = max(material, packing.least_sequences(counts, prices, 4096))
+    assert bound <= fixed + others <= min(bound * 1.001 + 1, sum(times for _, times in alone))
+    # Pieces over half a sequence stand alone: the bound comes from prices, not from tokens.
+    halves = np.zeros(4097, np.int64)
+    halves[2100] = 50
+    assert packing.least_sequences(halves, (np.arange(4097) > 2048).astype(float), 4096) == 50
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_knapsack_is_the_best_of_the_fullest(seed):
+    import itertools
+
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 40, 5))
+    counts, prices = rng.integers(1, 4, len(lengths)), rng.random(len(lengths))
+    best = max((sum(n * k for n, k in zip(lengths, c, strict=True)), sum(p * k for p, k in zip(prices, c, strict=True))) for c in itertools.product(*[range(k + 1) for k in counts]) if sum(n * k for n, k in zip(lengths, c, strict=True)) <= 60)
+    held = packing.best_configuration(lengths, counts, prices, 60)
+    assert all(held[n] <= k for n, k in zip(lengths.tolist(), counts.tolist(), strict=True))
+    got_ = sum(n * k for n, k in held.items()), sum(prices[lengths.tolist().index(n)] * k for n, k in held.items())
+    assert got_[0] == best[0] and math.isclose(got_[1], best[1])
+
+
 def repeats(texts, length):
     count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:

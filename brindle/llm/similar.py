@@ -15,15 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brindle.llm.common import Written
+from brindle.llm.common import HOT_PART, SALTS, Written, spread_semi_join
 from brindle.llm.components import connected_components
 from brindle.llm.simhash import SEED, SLICE, ball_links, fingerprint
 
 WORDS = 5
 #: Bands of so many minimal hashes each.
 BANDS, ROWS = 24, 4
-#: A bucket's first text meets all others; in later rounds, so many times more of the next ones do.
-WIDEN = 4
+#: A bucket's first text meets all others. Later rounds compare all pairs left if they are so many for each text and band at most;
+#: else so many times more of the next texts meet the others.
+PAIRS_A_MEMBER, WIDEN = 10, 8
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,38 +85,64 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (fp, label) after links between labels (a, b) merge some of them."""
+    merged = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("_least"))
+    return Written(labels.join(merged, "label", "left").select("fp", F.coalesce("_least", "label").alias("label")), "near-labels").df
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame, compared: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Members, with labels, of the buckets that still hold uncompared texts of different labels; those buckets, the largest one's size, their pairs of different labels."""
+    labelled = members.join(labels, "fp")
+    alike = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
+    sizes = Written(sizes.where((F.col("kinds") > 1) & (F.col("n") > compared + 1)).select("bucket", "n", ((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")), "bucket-sizes").df
+    total, largest, pairs = sizes.agg(F.sum("n"), F.max("n"), F.sum("pairs")).first()
+    kept = Written(spread_semi_join(labelled.select("bucket", "key", "fp", "n_shingles", "label"), sizes, ["bucket"], "n", total or 0), "buckets").df
+    return kept, sizes, largest or 0, int(pairs or 0)
+
+
+def _pairs(members: DataFrame, sizes: DataFrame, compared: int, width: int) -> DataFrame:
+    """Pairs of a bucket's next texts with the later ones, where labels differ and sizes allow the similarity. Hot buckets are salted."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+    heads = members.withColumn("_rank", rank).where(F.col("_rank") <= compared + width).where(F.col("_rank") > compared)
+    total = sizes.agg(F.sum("n")).first()[0]
+    hot = F.broadcast(sizes.where(F.col("n") > total / HOT_PART).select("bucket", F.lit(True).alias("_hot")))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heads = heads.join(hot, "bucket", "left").select("bucket", F.explode(salts).alias("_salt"), *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "label")])
+    salted = members.join(hot, "bucket", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
+    near_size = 5 * F.least("n_shingles", "a_n_shingles") >= 4 * F.greatest("n_shingles", "a_n_shingles")
+    met = salted.join(heads, ["bucket", "_salt"]).where((F.col("key") > F.col("a_key")) & (F.col("label") != F.col("a_label")) & near_size)
+    return met.select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
+
+
 def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
-    """Label of each fingerprint that is linked, by SimHash within the radius or by Jaccard similarity.
+    """Label of every fingerprint: the least one that links reach, by SimHash within the radius or by Jaccard similarity.
 
     sketched: key (hash of the text), fp, n_shingles, bands; texts: key and text. Rows may repeat. Texts that meet in a
-    band are a bucket. The bucket's first text is compared with all others, so a group of near copies makes as many
-    pairs as it has texts; then further ones are, with those that aren't in their component yet, until no two
-    texts of a bucket are both uncompared and apart. So every pair that meets is linked if it is similar.
-    Result: node, label as of connected_components.
+    band are a bucket. A bucket's first text is compared with all others, so a group of near copies makes as many
+    pairs as it has texts. Then only buckets that still hold different labels stay open. All pairs of different labels in
+    them are compared at once where they are few for each member; else some more first texts are, and so on.
+    So every pair that meets is linked if it is similar. Result: fp, label.
     """
-    links = Written(ball_links(sketched.select("fp").distinct(), radius), "ball-links").df
-    labels = Written(connected_components(links), "near-labels").df
-    members = sketched.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles").distinct()
-    in_bucket = Window.partitionBy("bucket")
-    placed = members.withColumn("place", F.row_number().over(in_bucket.orderBy("key")) - 1).withColumn("n", F.count(F.lit(1)).over(in_bucket))
-    buckets = Written(placed.where("n > 1"), "buckets").df
-    start, width, largest = 0, 1, buckets.agg(F.max("n")).first()[0] or 0
-    sets = None
-    while start < largest - 1:
-        labelled = buckets.join(labels, F.col("fp") == F.col("node"), "left").select("bucket", "key", "fp", "n_shingles", "place", F.coalesce("label", "fp").alias("label"))
-        first = labelled.where((F.col("place") >= start) & (F.col("place") < start + width)).select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "fp", "n_shingles", "place", "label")])
-        near_size = 5 * F.least("n_shingles", "a_n_shingles") >= 4 * F.greatest("n_shingles", "a_n_shingles")
-        apart = labelled.where(F.col("place") > start).join(first, "bucket").where((F.col("place") > F.col("a_place")) & (F.col("label") != F.col("a_label")) & near_size)
-        pairs = Written(apart.select(F.col("a_key"), F.col("a_fp"), F.col("key").alias("b_key"), F.col("fp").alias("b_fp")).distinct(), "pairs")
+    distinct = sketched.select("key", "fp", "n_shingles", "bands").distinct()
+    prints = sketched.select("fp").distinct()
+    found = connected_components(ball_links(prints, radius)).select(F.col("node").alias("fp"), F.col("label").alias("_least"))
+    labels = Written(prints.join(found, "fp", "left").select("fp", F.coalesce("_least", "fp").alias("label")), "near-labels").df
+    members, compared, width, sets = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles"), 0, 1, None
+    n_members = distinct.count() * BANDS
+    while True:
+        members, sizes, largest, remaining = _open_buckets(members, labels, compared)
+        if not largest:
+            return labels
+        if compared:
+            width = largest if remaining <= PAIRS_A_MEMBER * n_members else width * WIDEN
+        pairs = Written(_pairs(members, sizes, compared, width), "pairs")
+        members, compared = members.select("bucket", "key", "fp", "n_shingles"), compared + width
         if not pairs.df.isEmpty():
             if sets is None:
-                wanted = buckets.select("key").distinct()
-                sets = Written(_sets(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
+                sets = Written(_sets(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
             side = lambda x: sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_shingles"))
             whole = pairs.df.join(side("a"), "a_key").join(side("b"), "b_key").where(similar(F.col("a_shingles"), F.col("b_shingles")))
-            found = Written(whole.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct(), "similar").df
-            links = links.unionByName(found)
-            labels = Written(connected_components(links), "near-labels").df
+            labels = _relabelled(labels, whole.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
         pairs.drop()
-        start, width = start + width, width * WIDEN
-    return labels

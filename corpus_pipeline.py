@@ -42,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.xxhash64("text").alias("key")
     sketched = Written(similar.sketches(docs.select("text", key, row.alias("row"), F.col("doc_id").cast("long").alias("id"))), "sketches").df
     labels = similar.groups(sketched, docs.select(key, "text"))
-    found = sketched.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
-    best = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "row")).alias("best"))
+    # Copies share a print: they come down to a row of it before they meet its label.
+    of_print = sketched.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("best"))
+    best = of_print.join(labels, "fp").groupBy("label").agg(F.min("best").alias("best"))
     chosen = best.select(F.col("best.key").alias("__near_key"), F.col("best.row").alias("__near_row"))
     keyed = docs.withColumns({"__near_key": F.xxhash64("text"), "__near_row": row})
     return keyed.join(chosen, ["__near_key", "__near_row"], "left_semi").dropDuplicates(["__near_key", "__near_row"]).select(*[f"`{c}`" for c in docs.columns])

@@ -359,7 +359,7 @@ def test_url_propagation(spark):
         out[a] += n
         into[b] += n
     t, d = ({h: 0.15 * x.get(h, 0) for h in hosts} for x in (t0, d0))
-    for _ in range(20):
+    for _ in range(200):
         t, d = ({h: 0.15 * t0.get(h, 0) + 0.85 * sum(t[a] * n / out[a] for (a, b), n in links.items() if b == h) for h in hosts},
                 {h: 0.15 * d0.get(h, 0) + 0.85 * sum(d[b] * n / into[b] for (a, b), n in links.items() if a == h) for h in hosts})
     assert all(abs(found[h][0] - t[h]) < 1e-5 and abs(found[h][1] - d[h]) < 1e-5 for h in found)

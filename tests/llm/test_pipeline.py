@@ -4,6 +4,7 @@ import collections
 
 import corpus_pipeline
 from tests.llm.test_ops import base_of, reach, simhash_of
+from tests.llm.test_similar import shingles_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +23,11 @@ def test_stages(spark, tmp_path):
     lined = rows["line dedup"]
     assert {r.doc_id for r in lined} == kept
     prints = {r.doc_id: simhash_of(r.text, 5) for r in lined}
-    label = reach(set(prints.values()), [(a, b) for a in set(prints.values()) for b in set(prints.values()) if (a ^ b).bit_count() <= 2])
+    near = [(a, b) for a in set(prints.values()) for b in set(prints.values()) if (a ^ b).bit_count() <= 2]
+    # Texts of five-word similarity 0.8 or more are linked too, however far apart their prints are.
+    sets = {r.doc_id: shingles_of(r.text) for r in lined}
+    similar = [(prints[a], prints[b]) for a in sets for b in sets if a < b and sets[a] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    label = reach(set(prints.values()), near + similar)
     best = {}
     for i, p in sorted(prints.items()):
         best.setdefault(label[p], i)

@@ -1,8 +1,7 @@
 """Removal of long repeated byte strings by an index family of suffix arrays.
 
-Only equality of a suffix's first `length` bytes (a window) matters here, so suffixes are ordered by a
-digest of that prefix instead of byte by byte: equal prefixes still stand side by side, and arrays of
-digests merge like any sorted lists.
+A match is long if it has `length` bytes, so suffixes are compared by their first `length` bytes (a window): arrays are in
+the order of those bytes, equal windows stand side by side, and arrays merge like any sorted lists.
 
 Not every suffix travels. A window's key is the least hash of its `GRAM`-byte strings. Equal windows
 have equal keys, and neighbouring windows mostly share one, so windows fall into runs of one key, about
@@ -169,41 +168,70 @@ def sampled_suffixes(documents: DataFrame, length: int) -> DataFrame:
     return documents.select("row_id", "row_mark", "text").mapInArrow(run, "key long, digest long, row_id long, row_mark long, place long")
 
 
+def _windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings put together, and where in that each of their windows begins."""
+    sizes = np.array([len(x) for x in strings])
+    begins, n = np.cumsum(sizes) - sizes, sizes - length + 1
+    upto = np.cumsum(n)
+    return np.frombuffer(b"".join(strings), np.uint8), np.repeat(begins - (upto - n), n) + np.arange(upto[-1])
+
+
 class IndexFamily:
-    """Suffix arrays in levels of geometric sizes; each entry is a digest pair and a window number."""
+    """Suffix arrays in levels of geometric sizes over texts that come in batches.
 
-    def __init__(self):
+    An array holds places of suffixes (windows) in the order of their bytes; a window's number is its place
+    among all windows added. Suffixes are compared byte by byte, over the `length` that makes a match long.
+    Memory: the texts, 16 bytes a window, and the bytes of two slices of SLICE windows.
+    """
+
+    SLICE = 1 << 16
+
+    def __init__(self, length: int):
+        self.length = length
+        self.data = np.empty(0, np.uint8)
         self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.repeated: list[np.ndarray] = []
         self.windows = 0
 
-    def add(self, digests: np.ndarray, numbers: np.ndarray) -> None:
-        """Index a batch: sort it, find its windows that repeat in it or on any level, merge equal levels."""
-        self.windows += len(numbers)
-        order = np.argsort(digests, kind="stable")
-        array = digests[order], numbers[order]
-        same = np.flatnonzero(array[0][1:] == array[0][:-1])
-        self.repeated += [array[1][same], array[1][same + 1]]
-        for digest, number in self.levels.values():
-            self._merge_scan(array, (digest, number))
-        level = 0
-        while level in self.levels:
-            other = self.levels.pop(level)
-            both = np.concatenate([array[0], other[0]])
-            order = np.argsort(both, kind="stable")
-            array = both[order], np.concatenate([array[1], other[1]])[order]
-            level += 1
-        self.levels[level] = array
-
-    def _merge_scan(self, a: tuple, b: tuple) -> None:
-        low, high = (np.searchsorted(b[0], a[0], side) for side in ("left", "right"))
-        hit = high > low
-        if hit.any():
-            self.repeated.append(a[1][hit])
-            marks = np.zeros(len(b[0]) + 1, np.int64)
-            np.add.at(marks, low[hit], 1)
-            np.add.at(marks, high[hit], -1)
-            self.repeated.append(b[1][np.cumsum(marks[:-1]) > 0])
+    def _suffixes(self, places: np.ndarray) -> np.ndarray:
+        # All are of one width, so that trailing zero bytes, which this type ignores, make no difference.
+        return np.lib.stride_tricks.sliding_window_view(self.data, self.length)[places].view(f"S{self.length}").ravel()
+
+    def _slices(self, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(places), self.SLICE):
+            yield at, self._suffixes(places[at : at + self.SLICE])
+
+    def add(self, strings: list[bytes]) -> None:
+        """Index a batch: build its suffix array, scan it against those of all levels for long matches, merge equal levels."""
+        raw, places = _windows(strings, self.length)
+        places = places + len(self.data)
+        self.data = np.concatenate([self.data, raw])
+        suffixes = self._suffixes(places)
+        order = np.argsort(suffixes, kind="stable")
+        places, numbers, suffixes = places[order], self.windows + order, suffixes[order]
+        self.windows += len(places)
+        same = np.flatnonzero(suffixes[1:] == suffixes[:-1])
+        self.repeated += [numbers[same], numbers[same + 1]]
+        for level in self.levels.values():
+            self._merge_scan(suffixes, numbers, level)
+        array, height = (places, numbers), 0
+        while height in self.levels:
+            array, height = self._merged(self.levels.pop(height), array), height + 1
+        self.levels[height] = array
+
+    def _merge_scan(self, suffixes: np.ndarray, numbers: np.ndarray, level: tuple[np.ndarray, np.ndarray]) -> None:
+        def among(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+        for at, there in self._slices(level[0]):
+            lo, hi = np.searchsorted(suffixes, there[0], "left"), np.searchsorted(suffixes, there[-1], "right")
+            if lo < hi:
+                mine = suffixes[lo:hi]
+                self.repeated += [numbers[lo:hi][among(mine, there)], level[1][at : at + len(there)][among(there, mine)]]
+
+    def _merged(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        before = np.concatenate([sum(np.searchsorted(there, mine) for _, there in self._slices(a[0])) for _, mine in self._slices(b[0])])
+        return np.insert(a[0], before, b[0]), np.insert(a[1], before, b[1])
 
 
 _DIGEST = np.dtype("c16")
@@ -211,12 +239,7 @@ _DIGEST = np.dtype("c16")
 
 def window_digests(strings: list[bytes], length: int) -> np.ndarray:
     """128-bit digests of all windows of some strings, as a dtype that numpy sorts and compares as a pair."""
-    raw = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(x) for x in strings])
-    begins = np.cumsum(sizes) - sizes
-    n = sizes - length + 1
-    upto = np.cumsum(n)
-    at = np.repeat(begins - (upto - n), n) + np.arange(upto[-1])
+    raw, at = _windows(strings, length)
     out = np.empty(len(at), _DIGEST)
     # Two 53-bit numbers each are exact as doubles, and complex numbers sort by both in turn.
     out.real = _combined(_ladder(raw, length, 0), length, at, 0) >> np.uint64(11)
@@ -245,13 +268,12 @@ def repeated_edges(strings: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, pending, waiting, last = IndexFamily(), [], [], 0, None
+        family, rows, pending, waiting, last = IndexFamily(length), [], [], 0, None
 
         def index() -> None:
             nonlocal pending, waiting
             if pending:
-                digests = window_digests(pending, length)
-                family.add(digests, family.windows + np.arange(len(digests)))
+                family.add(pending)
                 pending, waiting = [], 0
 
         def close() -> pa.RecordBatch | None:
@@ -270,7 +292,7 @@ def repeated_edges(strings: DataFrame, length: int) -> DataFrame:
                 if key != last and family.windows + waiting >= BATCH_WINDOWS:
                     if (found := close()) is not None:
                         yield found
-                    family, rows = IndexFamily(), []
+                    family, rows = IndexFamily(length), []
                 last = key
                 count = len(text) - length + 1
                 rows.append((row_id, mark, place >> 9, count))
@@ -334,7 +356,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, hot_runs: int = HOT_
     length stay whole. A row is known by its doc_id and its text's hash; rows that repeat another are
     copies of it, so all their windows repeat and the shared intervals are right for each. Result:
     doc_id, n_bytes, n_removed, n_spans, kept (binary). Memory: one text and one batch; the
-    family of one key holds 24 bytes for each window of the key's differing runs, of which there are at most
+    family of one key holds some 20 bytes for each window of the key's differing runs, of which there are at most
     hot_runs. Windows of keys with more are spread by digest.
     """
     if not GRAM < length < 256:

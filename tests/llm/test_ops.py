@@ -241,17 +241,20 @@ def test_spread_semi_join(spark):
     assert sorted(map(tuple, common.spread_semi_join(rows, keys, ["key"], "count", 3000).collect())) == sorted(want)
 
 
-def test_index_family():
-    rng = np.random.default_rng(1)
-    family, every = suffix_dedup.IndexFamily(), []
-    for k in range(13):
-        x = rng.integers(0, 4000, 200).astype(float) + 0j
-        family.add(x, np.arange(200) + 200 * k)
-        every.append(x)
-    x = np.concatenate(every)
-    names, times = np.unique(x, return_counts=True)
-    assert set(np.concatenate(family.repeated).tolist()) == set(np.flatnonzero(np.isin(x, names[times > 1])).tolist())
-    assert sorted(family.levels) == [0, 2, 3] and sum(len(v[1]) for v in family.levels.values()) == 2600
+def test_index_family(monkeypatch):
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "SLICE", 64)
+    rng, length = np.random.default_rng(1), 6
+    family, every = suffix_dedup.IndexFamily(length), []
+    for _ in range(13):
+        strings = [bytes(rng.integers(0, 3, 6 + rng.integers(0, 30)).tolist()) for _ in range(10)]
+        family.add(strings)
+        every += [x[i : i + length] for x in strings for i in range(len(x) - length + 1)]
+    times = collections.Counter(every)
+    assert set(np.concatenate(family.repeated).tolist()) == {i for i, x in enumerate(every) if times[x] > 1}
+    assert sorted(family.levels) == [0, 2, 3] and sum(len(v[1]) for v in family.levels.values()) == len(every)
+    for places, numbers in family.levels.values():
+        held = [family.data[p : p + length].tobytes() for p in places]
+        assert held == sorted(held) == [every[n] for n in numbers]
 
 
 def base_of(text):

@@ -59,10 +59,10 @@ def tiles(vectors: DataFrame, id_column: str, vector_column: str, rows: int) ->
             for dim in np.unique(sizes[sizes > 0]).tolist():
                 of = np.flatnonzero(sizes == dim)
                 x = flat[starts[of][:, None] + np.arange(dim)]
-                with np.errstate(all="ignore"):
-                    square = (x * x).sum(axis=1)
-                good = np.isfinite(x).all(axis=1) & (square > 0) & np.isfinite(square)
-                held.setdefault(dim, []).append((ids[of[good]], x[good]))
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                # A power of two times a vector has the same cosines; its squares neither vanish nor overflow.
+                x = np.ldexp(x[good], -np.frexp(np.abs(x[good]).max(axis=1, initial=0.0))[1][:, None])
+                held.setdefault(dim, []).append((ids[of[good]], x))
                 while sum(len(p[0]) for p in held[dim]) >= rows:
                     all_ids, all_x = (np.concatenate([p[i] for p in held[dim]]) for i in (0, 1))
                     held[dim] = [(all_ids[rows:], all_x[rows:])]

@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most 2 bits have a value within 1 bit of both. So each distinct
 fingerprint emits itself and its 64 one-bit variants, and equal variants meet after a shuffle. Rows of a variant
 are distinct fingerprints, at most 65, however many documents share them; they all lie within 2 bits
-of one another, so links from the first of them to the others keep every connection.
+of one another, so links from the first of them to the others keep every connection. With a radius of one
+bit, a variant that is itself a fingerprint is linked with the others of its bucket.
 """
 
 from __future__ import annotations
@@ -72,9 +73,12 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             linked = ~opens
             a, b = heads[linked], fp[linked]
             near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+            if radius == 1:
+                near &= a == variant[linked]
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
 
-    dealt = variants.repartition("variant").sortWithinPartitions("variant", "fp")
+    # The variant's own fingerprint, if it is one, comes first.
+    dealt = variants.repartition("variant").sortWithinPartitions("variant", F.col("fp") != F.col("variant"), "fp")
     return dealt.mapInArrow(collide, "a long, b long").distinct()
 
 

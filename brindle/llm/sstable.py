@@ -3,15 +3,15 @@
 A shard file holds, in this order: data blocks, the sparse block index, the Bloom filter, the footer.
 
 - Keys: one byte (0 for a null identifier, else 1), the identifier as a big-endian 64-bit integer
-  with its sign bit flipped, and a big-endian 32-bit ordinal that tells repeated identifiers apart.
-  Byte order is therefore identifier order, nulls first.
+  with its sign bit flipped, and two big-endian 32-bit numbers that tell repeated identifiers apart: the
+  shard and an ordinal in it. Byte order is therefore identifier order, nulls first, over all shards.
 - Data block: zstd of entries followed by their restart offsets. An entry is the length of the
   prefix shared with the key before it, the length of the rest, the number of ids (three varints),
   the key's rest, and the ids as little-endian 16-bit integers, or 32-bit ones where the footer says
   so. Every 16th entry (a restart) has its whole key.
 - Block index: per block its last key, offset, compressed and raw size, raw size of its entries.
 - Bloom filter: about 10 bits a key, 7 probes derived from one XXH128 of the key.
-- Footer (fixed size): offsets and sizes of index and filter, documents, ids, id width, magic.
+- Footer (fixed size): offsets and sizes of index and filter, documents, ids, id width, shard, magic.
 """
 
 from __future__ import annotations
@@ -33,22 +33,23 @@ from brindle.llm.common import attempt, new_folder
 from brindle.llm.tokenizing import encoder, rounds
 
 MAGIC = b"BRNDLSST"
-FOOTER = struct.Struct("<QQQQQQB7x8s")
-INDEX_ENTRY = struct.Struct("<13sQIII")
+FOOTER = struct.Struct("<QQQQQQB3xI8s")
+KEY = struct.Struct(">BQII")
+INDEX_ENTRY = struct.Struct(f"<{KEY.size}sQIII")
 RESTART_EVERY = 16
 PROBES = 7
 
 
-def encode_key(identifier: int | None, ordinal: int = 0) -> bytes:
+def encode_key(identifier: int | None, shard: int = 0, ordinal: int = 0) -> bytes:
     """Order-preserving key of a document."""
     flipped = 0 if identifier is None else (identifier + (1 << 63)) & ((1 << 64) - 1)
-    return struct.pack(">BQI", identifier is not None, flipped, ordinal)
+    return KEY.pack(identifier is not None, flipped, shard, ordinal)
 
 
-def decode_key(key: bytes) -> tuple[int | None, int]:
-    """Identifier and ordinal of a key."""
-    there, flipped, ordinal = struct.unpack(">BQI", key)
-    return (flipped - (1 << 63) if there else None), ordinal
+def decode_key(key: bytes) -> tuple[int | None, int, int]:
+    """Identifier, shard and ordinal of a key."""
+    there, flipped, shard, ordinal = KEY.unpack(key)
+    return (flipped - (1 << 63) if there else None), shard, ordinal
 
 
 def _varint(n: int) -> bytes:
@@ -85,8 +86,8 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard; entries must come in key order. Memory: one block, the index and 16 bytes a key."""
 
-    def __init__(self, sink, width: int = 2, block_bytes: int = 65536):
-        self.sink, self.width, self.block_bytes = sink, width, block_bytes
+    def __init__(self, sink, shard: int = 0, width: int = 2, block_bytes: int = 65536):
+        self.sink, self.shard, self.width, self.block_bytes = sink, shard, width, block_bytes
         self.packer = zstandard.ZstdCompressor(level=1)
         self.offset = self.documents = self.ids = 0
         self.index: list[bytes] = []
@@ -132,12 +133,12 @@ class ShardWriter:
         index = b"".join(self.index)
         bits = max(64, 10 * self.documents)
         bloom = np.zeros(bits // 8 + 1, np.uint8)
-        for at in range(0, len(self.keys), 13):
-            for bit in _probes(bytes(self.keys[at : at + 13]), bits):
+        for at in range(0, len(self.keys), KEY.size):
+            for bit in _probes(bytes(self.keys[at : at + KEY.size]), bits):
                 bloom[bit >> 3] |= 1 << (bit & 7)
         self.sink.write(index)
         self.sink.write(bloom.tobytes())
-        self.sink.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), bits, self.documents, self.ids, self.width, MAGIC))
+        self.sink.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), bits, self.documents, self.ids, self.width, self.shard, MAGIC))
 
 
 class ShardReader:
@@ -148,16 +149,19 @@ class ShardReader:
         self.file = store.open_input_file(path)
         end = self.file.size()
         foot = FOOTER.unpack(self.file.read_at(FOOTER.size, end - FOOTER.size))
-        index_at, index_size, self.bloom_at, self.bits, self.documents, self.ids, self.width, magic = foot
+        index_at, index_size, self.bloom_at, self.bits, self.documents, self.ids, self.width, self.shard, magic = foot
         if magic != MAGIC:
             raise ValueError(f"{uri} isn't a shard")
         raw = self.file.read_at(index_size, index_at)
         self.index = [INDEX_ENTRY.unpack_from(raw, at) for at in range(0, index_size, INDEX_ENTRY.size)]
         self.last_keys = [x[0] for x in self.index]
+        self.bloom: bytes | None = None
 
     def may_hold(self, key: bytes) -> bool:
-        """The Bloom filter's answer: false only for keys that aren't there."""
-        return all(self.file.read_at(1, self.bloom_at + (bit >> 3))[0] >> (bit & 7) & 1 for bit in _probes(key, self.bits))
+        """The Bloom filter's answer: false only for keys that aren't there. The filter is read once."""
+        if self.bloom is None:
+            self.bloom = self.file.read_at(self.bits // 8 + 1, self.bloom_at)
+        return all(self.bloom[bit >> 3] >> (bit & 7) & 1 for bit in _probes(key, self.bits))
 
     def _load(self, block: int) -> tuple[memoryview, int]:
         _, offset, packed, raw, entries = self.index[block]
@@ -175,7 +179,7 @@ class ShardReader:
 
     def get(self, identifier: int | None, ordinal: int = 0) -> np.ndarray | None:
         """A document's ids: filter, binary search of the index, then of the block's restarts."""
-        key = encode_key(identifier, ordinal)
+        key = encode_key(identifier, self.shard, ordinal)
         block = bisect.bisect_left(self.last_keys, key)
         if block == len(self.index) or not self.may_hold(key):
             return None
@@ -206,7 +210,7 @@ class ShardReader:
                 yield last, ids
 
 
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
 def write_token_shards(documents: DataFrame, folder: str, vocabulary: str, end_id: int, width: int = 2) -> list:
@@ -217,7 +221,7 @@ def write_token_shards(documents: DataFrame, folder: str, vocabulary: str, end_i
     Range partitioning orders the shards; the hash and the row's place are further sort keys, so that
     even one identifier that holds a third of all rows spreads over shards. Each task writes a file of its own name and renames
     it when whole, so a lost or repeated attempt leaves no torn shard. Returns the manifest: one row
-    per shard (shard, path, n_docs, n_ids) in key order.
+    per shard (shard, path, n_docs, n_ids, first_id, last_id) in key order.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,26 +229,28 @@ def write_token_shards(documents: DataFrame, folder: str, vocabulary: str, end_i
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         own, final = f"{path}/.attempt-{shard:06d}-{tried}", f"{path}/shard-{shard:06d}.sst"
-        encode, last, ordinal, writer = encoder(vocabulary).encode, object(), 0, None
+        encode, first, last, ordinal, writer = encoder(vocabulary).encode, None, object(), 0, None
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, b, texts in rounds(batch.column(1)):
                 if writer is None:
                     sink = store.open_output_stream(own)
-                    writer = ShardWriter(sink, width)
+                    writer, first = ShardWriter(sink, shard, width), names[a]
                 ids, ends = encode(texts, end_id)
                 start = 0
                 for name, end in zip(names[a:b], ends.tolist(), strict=True):
                     ordinal = ordinal + 1 if name == last else 0
                     last = name
-                    writer.add(encode_key(name, ordinal), ids[start:end])
+                    writer.add(encode_key(name, shard, ordinal), ids[start:end])
                     start = end
         if writer is not None:
             writer.close()
             sink.close()
             store.move(own, final)
-            row = [[shard], [f"{folder}/shard-{shard:06d}.sst"], [writer.documents], [writer.ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), *map(pa.array, row[2:])], ["shard", "path", "n_docs", "n_ids"])
+            row = [f"{folder}/shard-{shard:06d}.sst", writer.documents, writer.ids, first, last]
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            arrays = [pa.array([shard], pa.int32()), *(pa.array([x], k) for x, k in zip(row, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in MANIFEST.split(", ")])
 
     keyed = documents.select("doc_id", "text").withColumns({"_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     order = [F.asc_nulls_first("doc_id"), F.asc("_h"), F.asc("_row")]
@@ -252,6 +258,19 @@ def write_token_shards(documents: DataFrame, folder: str, vocabulary: str, end_i
     return sorted(dealt.mapInArrow(write, MANIFEST).collect(), key=lambda x: x.shard)
 
 
+def lookup(manifest: list, identifier: int | None) -> list[np.ndarray]:
+    """Ids of every document of an identifier: binary search of the shards' ranges, then of the shards that may hold it."""
+    rank = lambda x: (x is not None, x or 0)
+    found, at = [], bisect.bisect_left(manifest, rank(identifier), key=lambda m: rank(m.last_id))
+    while at < len(manifest) and rank(manifest[at].first_id) <= rank(identifier):
+        reader, ordinal = ShardReader(manifest[at].path), 0
+        while (ids := reader.get(identifier, ordinal)) is not None:
+            found.append(ids)
+            ordinal += 1
+        at += 1
+    return found
+
+
 def read_token_shards(spark: SparkSession, manifest: list) -> DataFrame:
     """Read shards back: doc_id, start (ids before the document), n_tokens, ids_crc32, shard."""
     starts, total = [], 0

@@ -4,13 +4,15 @@ Both vocabularies split a text into pre-tokens before any merge, and no pre-toke
 space or line feed between two characters that aren't white space. Encoding such pieces by
 themselves therefore gives exactly the ids of the whole text. Prose repeats its pieces, so each
 batch encodes every distinct piece once, keeps the frequent ones for the next batch, and puts the
-texts' ids together with array operations. Texts with any other white space, and tokenizers of any
-other set-up, are encoded whole.
+texts' ids together with array operations. Texts with any other white space, texts that hold the
+string of an added token (such as <|endoftext|>, which the library reads as that token), and tokenizers
+of any other set-up, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -62,12 +64,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        # A special token's string in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.spaced = self.by_piece = False
         vocabulary = self.tokenizer.get_vocab()
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for x, i in vocabulary.items() if x[0] == "\u0120"]] = True
         rare = next((x for x in "\x01\u00f7\u00a7\u00b6" if len(self._whole(x)) == 1), None)
@@ -184,12 +186,18 @@ class Encoder:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if self.by_piece:
             # An empty text has one empty piece, which would count as white space.
-            full = [i for i, x in enumerate(texts) if x]
+            whole = {i for i, x in enumerate(texts) if self.added and self.added.search(x)}
+            full = [i for i, x in enumerate(texts) if x and i not in whole]
             sizes = np.zeros(len(texts), np.int64)
             ids = np.empty(0, np.uint32)
             if full:
                 ids, ends = self._by_piece([texts[i] for i in full])
                 sizes[full] = np.diff(ends, prepend=0)
+            if whole:
+                parts = np.split(ids, np.cumsum(sizes)[:-1])
+                for i in whole:
+                    parts[i] = self._whole(texts[i])
+                sizes, ids = np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
         else:
             parts = [self._whole(x) for x in texts]
             sizes, ids = np.array([len(x) for x in parts], np.int64), np.concatenate(parts)

@@ -33,13 +33,12 @@ def of(docs):
 
 def whole(name):
     t = Tokenizer.from_file(tokenizing.tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name, texts):
-    cases = [*texts, "<|endoftext|> x", "a\r\nb", " lead", "q\n", "don't it's", "÷ 1÷2 \x01 x", "\u00a0x y\u2003z"]
+    cases = [*texts, "<|endoftext|> x", "hello <|endoftext|> world", "<|endoftext|>", "a\r\nb", " lead", "q\n", "don't it's", "÷ 1÷2 \x01 x", "\u00a0x y\u2003z"]
     ids, ends = tokenizing.encoder(name).encode(cases, 2)
     encode = whole(name)
     assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [[*encode(x or ""), 2] for x in cases]
@@ -62,6 +61,18 @@ def test_token_shards(docs, empty, spark, tmp_path):
         hits = [x.tolist() for r in readers if (x := r.get(i)) is not None]
         assert hits == [ids]
     assert all(r.get(10**9) is None for r in readers) and sum(r.documents for r in readers) == len(want)
+    # Identifiers over all shards, one of them repeated in more than a shard, and the null one.
+    hot = docs.select("doc_id", "text").union(spark.range(60).select(F.lit(3).cast("long"), F.concat(F.lit("copy "), F.col("id").cast("string"))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = sstable.write_token_shards(hot.repartition(3), f"file://{tmp_path}/hot", "byte_bpe_50k.json", 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = collections.defaultdict(list)
+    for i, t in of(hot):
+        every[i].append([*encode(t), 2])
+    assert sum(m.first_id is not None and m.first_id <= 3 <= m.last_id for m in manifest) > 1
+    assert all(sorted(x.tolist() for x in sstable.lookup(manifest, i)) == sorted(ids) for i, ids in every.items()) and sstable.lookup(manifest, 10**9) == []
+    keys = [k for m in manifest for k, _ in sstable.ShardReader(m.path)]
+    assert keys == sorted(set(keys)) and len(keys) == hot.count()
 
 
 def test_nearest(spark):

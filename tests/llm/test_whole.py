@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import neighbours, secret_scan, url_filter
+from brindle.llm import neighbours, secret_scan, simhash, url_filter
 
 
 @pytest.mark.parametrize("first", ["-", "_", "=", "+", "/", "==", "--client-key="])
@@ -71,3 +71,19 @@ def test_repeated_candidates_take_one_place(spark):
     want = sorted(best, key=lambda i: (-best[i], i))[:5]
     found = neighbours.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()
     assert [r.vec_id for r in found] == want and all(abs(r.score - best[r.vec_id]) < 1e-12 for r in found)
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200])
+def test_extreme_magnitudes_take_part(spark, size):
+    rng = np.random.default_rng(4)
+    vectors = [(rng.normal(size=8) * (size if i % 2 else 1.0)).tolist() for i in range(20)]
+    found = neighbours.nearest(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), F.col("vec_id") == 1, 5).orderBy("rank").collect()
+    unit = np.array(vectors) / np.abs(vectors).max(axis=1, keepdims=True)
+    score = neighbours.cosines(np.repeat(unit[1:2], 20, 0), unit)
+    assert [r.vec_id for r in found] == [i for i in np.argsort(-score).tolist() if i != 1][:5]
+
+
+def test_links_of_radius_one(spark):
+    prints = [5, 8, 12, 13, 77, 76, 1 << 40]
+    links = simhash.ball_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 1).collect()
+    assert {frozenset(x) for x in links} == {frozenset((a, b)) for a in prints for b in prints if (a ^ b).bit_count() == 1}

@@ -1,7 +1,8 @@
 """Quality rules: base counts, then divergence from language references, all in SQL functions.
 
 A document is compared with its language's reference by two histograms: character classes, and the
-language's most common words. The distance is Jensen-Shannon (base 2, so 0 to 1). References are the
+language's most common words. The distance is Jensen-Shannon's, the square root of the divergence (base 2, so 0 to 1);
+the two distances together are the root of the sum of their squares. References are the
 mean histograms over all documents of the language that pass the base rules; shares, not counts, are
 averaged, so one very long document weighs no more than another.
 """
@@ -23,14 +24,12 @@ CLASSES = {
 }
 #: Common words of a language's histogram; all its other words are one more class.
 COMMON_WORDS = 12
-#: The common words are sought among words of at most so many characters, which keeps their count small.
-COMMON_CHARS = 5
 #: A document is judged by characters from so many word characters on, and by words from so many words on.
 MIN_CHARS, MIN_WORDS = 200, 80
 #: Documents that a language needs for a reference.
 MIN_DOCUMENTS = 20
-#: A document is rejected if its characters' divergence, or that and its words' together, is over this.
-MAX_CHARS_DIVERGENCE, MAX_DIVERGENCE = 0.08, 0.09
+#: A document is rejected if its characters' distance, or that and its words' together, is over this.
+MAX_CHARS_DISTANCE, MAX_DISTANCE = 0.283, 0.3
 
 
 def let(value: Column, body) -> Column:
@@ -92,11 +91,11 @@ def class_shares(text: Column, word_chars: Column) -> Column:
 
 
 def common_words(documents: DataFrame) -> DataFrame:
-    """The most common words of each language, counted over all its documents: _lang, _common (array)."""
+    """The most common words of each language, of letters only, counted over all its documents: _lang, _common (array)."""
     words = documents.select(F.col("lang").alias("_lang"), F.explode(words_of(F.col("text"))).alias("word"))
-    counted = words.where(F.length("word") <= COMMON_CHARS).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n")).where("word rlike '^\\\\p{L}+$'")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
-    top = counted.where("word rlike '^\\\\p{Ll}+$'").withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
     return top.groupBy("_lang").agg(F.array_sort(F.collect_list("word")).alias("_common"))
 
 
@@ -134,11 +133,11 @@ def _mean(shares: str, n: int) -> Column:
 
 
 def _distance(shares: str, reference: str) -> Column:
-    return F.when(F.col(shares).isNotNull() & F.col(reference).isNotNull(), divergence(F.arrays_zip(F.col(shares).alias("p"), F.col(reference).alias("q"))))
+    return F.when(F.col(shares).isNotNull() & F.col(reference).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), divergence(F.arrays_zip(F.col(shares).alias("p"), F.col(reference).alias("q"))))))
 
 
 def quality(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Base counts, divergences and verdict for every document.
+    """Base counts, distances and verdict for every document.
 
     Takes text and lang. keep: columns of documents that the result has too (all, if none are named), unless
     they bear a result's name, when the result replaces them. Null texts have no words. A null or rare language has no reference, and its
@@ -146,24 +145,65 @@ def quality(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     get equal results; an empty table gives an empty result. What is joined is a row for each
     language, broadcast behind a check of their number; beyond it, the join shuffles and splits hot languages.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_divergence", "words_divergence", "kept"]
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", "kept"]
     chosen = documents if keep is None else documents.select(*dict.fromkeys([*keep, "text", "lang"]))
     documents, names = shield(chosen, ("text", "lang"), tuple(results))
     names = names if keep is None else {c: name for c, name in names.items() if c in keep}
     columns = list(names.values())
     common = Written(common_words(documents.where("lang is not null")), "common").df
-    n = common.count()
-    judged = measured(documents.join(broadcast_if_small(common, n), documents["lang"] == common["_lang"], "left").drop("_lang"))
+    judged = measured(documents.join(broadcast_if_small(common, common.count()), documents["lang"] == common["_lang"], "left").drop("_lang"))
     judged = Written(judged.select(*dict.fromkeys([*columns, "lang"]), *results[:6], "_class_shares", "_word_shares"), "measured").df
     # The histograms' means: a sum for each language and class, made in each task first.
     sums = judged.where("lang is not null and _class_shares is not null").groupBy(F.col("lang").alias("_lang"))
     means = sums.agg(F.count(F.lit(1)).alias("_n"), _mean("_class_shares", len(CLASSES) + 1).alias("_class_means"), _mean("_word_shares", COMMON_WORDS + 1).alias("_word_means"))
     references = Written(means.where(F.col("_n") >= MIN_DOCUMENTS).drop("_n"), "references").df
-    known = judged.join(broadcast_if_small(references, n), judged["lang"] == references["_lang"], "left")
+    known = judged.join(broadcast_if_small(references, references.count()), judged["lang"] == references["_lang"], "left")
     found = known.withColumns({
-        "chars_divergence": _distance("_class_shares", "_class_means"),
-        "words_divergence": F.when(~F.col("base_failed"), _distance("_word_shares", "_word_means")),
+        "chars_distance": _distance("_class_shares", "_class_means"),
+        "words_distance": F.when(~F.col("base_failed"), _distance("_word_shares", "_word_means")),
     })
-    chars, words = (F.coalesce(c, F.lit(0.0)) for c in ("chars_divergence", "words_divergence"))
-    near = (chars <= MAX_CHARS_DIVERGENCE) & (chars + words <= MAX_DIVERGENCE)
+    chars, words = (F.coalesce(c, F.lit(0.0)) for c in ("chars_distance", "words_distance"))
+    near = (chars <= MAX_CHARS_DISTANCE) & (F.sqrt(chars * chars + words * words) <= MAX_DISTANCE)
     return found.select(*[F.col(name).alias(c) for c, name in names.items()], *results[:-1], (~F.col("base_failed") & near).alias("kept"))
+
+
+def _oracle() -> str:
+    """The whole verdict in DuckDB's SQL; doc_id is unique in its table."""
+    word, letters = r"[^\x20\x09-\x0D]+", r"\p{L}+"
+    classes = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?''\"()-]", r"[#*$%&|<>@^~_=+/\\\[\]{}`]"]
+    counts = ", ".join(f"(length(text) - length(regexp_replace(text, '{c}', '', 'g')))::DOUBLE / word_chars" for c in classes)
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0.0::DOUBLE END"
+    distance = f"sqrt(greatest(0.0::DOUBLE, sum({half('p')} + {half('q')}) / 2))"
+    return f"""
+    WITH d AS (
+        SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM documents),
+    windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    held AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
+    counted AS (
+        SELECT d.doc_id, lang, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+               CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(held.n, 0) AS BIGINT) AS n_repeat_words
+        FROM d LEFT JOIN held USING (doc_id)),
+    base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+    common AS (
+        SELECT lang, word FROM (SELECT lang, unnest(w) AS word FROM d WHERE lang IS NOT NULL) WHERE regexp_full_match(word, '{letters}') GROUP BY lang, word
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {COMMON_WORDS}),
+    shares AS (SELECT doc_id, lang, [{counts}] AS s FROM base WHERE NOT base_failed AND word_chars >= {MIN_CHARS}),
+    chars AS (
+        SELECT doc_id, lang, 'c' || i AS k, CASE WHEN i <= 5 THEN s[i] ELSE greatest(0.0::DOUBLE, 1 - list_sum(s)) END AS p
+        FROM (SELECT *, unnest(range(1, 7)) AS i FROM shares)),
+    each AS (SELECT doc_id, base.lang AS lang, word AS k, len(list_filter(w, lambda x: x = word)) / n_words AS p FROM base JOIN common ON base.lang = common.lang WHERE n_words >= {MIN_WORDS}),
+    words AS (SELECT * FROM each UNION ALL SELECT doc_id, lang, '', 1 - sum(p) FROM each GROUP BY doc_id, lang),
+    means AS (
+        SELECT lang, k, avg(p) AS q FROM (SELECT * FROM chars UNION ALL SELECT words.* FROM words SEMI JOIN shares USING (doc_id)) AS x
+        WHERE lang IN (SELECT lang FROM shares GROUP BY lang HAVING count(*) >= {MIN_DOCUMENTS}) GROUP BY lang, k),
+    near_chars AS (SELECT doc_id, {distance} AS x FROM chars JOIN means USING (lang, k) GROUP BY doc_id),
+    near_words AS (SELECT doc_id, {distance} AS x FROM words JOIN means USING (lang, k) GROUP BY doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND coalesce(c.x, 0) <= {MAX_CHARS_DISTANCE} AND sqrt(coalesce(c.x, 0) ** 2 + coalesce(n.x, 0) ** 2) <= {MAX_DISTANCE} AS kept
+    FROM base LEFT JOIN near_chars c USING (doc_id) LEFT JOIN near_words n USING (doc_id)"""
+
+
+ORACLE = _oracle()

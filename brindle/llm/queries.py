@@ -52,7 +52,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
-    return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("chars_distance", "words_distance")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op3_nearest_neighbours": """
         SELECT q.vec_id AS query_id,

@@ -341,6 +341,19 @@ def test_mixing(spark, docs, empty):
             assert 0 <= taken[s] - passes[s] * tokens[s] < 12 + 1e-3 * tokens[s] or abs(taken[s] - passes[s] * tokens[s]) < 12
             counts = {times[(i, x)] for i, _, x in rows if x == s}
             assert counts <= {math.floor(passes[s] + 1e-6), math.floor(passes[s] + 1e-6) + 1}
+    # A budget: no source is passed more often than the limit, whatever the budget and the target.
+    for budget, most in ((3 * total, 4.0), (10 * total, 2.0), (0.5 * total, 1.5)):
+        out = mixing.mix(df, 0.99, most, budget).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+        taken = {r.source: r.n for r in out}
+        assert all(taken[s] <= most * tokens[s] + 12 for s in tokens)
+        assert abs(sum(taken.values()) - min(budget, most * total)) <= 12 * 3 + 1e-6 * total
+        # The least exponent that the limit allows, or one that meets the target.
+        weights = {s: taken[s] / sum(taken.values()) for s in tokens}
+        near_limit = max(taken[s] / tokens[s] for s in tokens) > most * 0.99 - 12 / min(tokens.values())
+        assert near_limit or -sum(w * math.log(w) for w in weights.values()) > 0.98 * math.log(3)
+    # Known numbers of tokens weigh instead of words.
+    weighed = mixing.mix(df.withColumn("t", F.when(F.col("source") == "tiny", 1000).otherwise(1)), 0.0, 1e9, tokens=F.col("t"))
+    assert weighed.columns == ["doc_id", "text", "source", "t", "epoch", "block"] and weighed.count() == 1000
     result = mixing.mix(docs)
     assert result.columns == [*[c for c in docs.columns if c not in ("epoch", "block")], "epoch", "block"]
     counted = collections.Counter((repr(r.doc_id), repr(r.text)) for r in result.where("epoch = 1").collect())

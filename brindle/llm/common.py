@@ -23,8 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         app = spark.sparkContext.applicationId
         base = _OWN_FOLDERS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="brindle-"))
-    elif "://" not in base and base.startswith("/"):
-        base = "file://" + base
+    elif "://" not in base:
+        # A plain path belongs to the cluster's default file system, as everywhere in Spark.
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and "://" not in base else base
     return base.rstrip("/")
 
 

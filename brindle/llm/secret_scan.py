@@ -21,7 +21,8 @@ LEAST_ASSIGNED = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Character classes of candidates, the first that fits: whole-string pattern, bits from which a window is random.
+#: Character classes of candidates, the first that fits: whole-string pattern, bits from which a window is random. Numbers (dates,
+#: telephone and account numbers) have no window over the bits of their class: their highest possible entropy is 3.3 bits.
 CLASSES = (("^[0-9+/_=-]+$", 99.0), ("^[0-9a-fA-F]+$", 3.0), ("^[a-z_=+/-]+$|^[A-Z_=+/-]+$", 4.1), (".*", 3.85))
 #: Whole candidates that are no secrets: identifiers of known shapes, runs of separators, paths.
 ALLOWED = (

@@ -67,6 +67,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
 
     seeds: host, trust, distrust (the teleport vectors); links: src, dst, n. A link hands on its share
     of its source's trust, and its share of its target's distrust. Result: host, trust, distrust.
+    Seeds aren't scaled to sum to 1, so that a host's own pages weigh alike in both scores, and a host without links on
+    hands nothing on: against PageRank that gives such mass back to the seeds, all scores are smaller by one factor.
     Links are kept once a direction; a round is one join on the giving host, whose unique
     scores meet links that adaptive execution can split, and one partial sum. Each round's changes add up to
     DAMPING times the last one's at most, so rounds end by the bound that the seeds' sum gives; beyond it is an error.

@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brindle.llm.common import HOT_PART, SALTS, Written, spread_semi_join
+from brindle.llm.common import Written, spread_join, spread_semi_join
 from brindle.llm.components import connected_components
 from brindle.llm.simhash import SEED, SLICE, ball_links, fingerprint
 
 WORDS = 5
 #: Bands of so many minimal hashes each.
 BANDS, ROWS = 24, 4
+#: Share of equal bytes of signatures from which sets are compared: at similarity 0.8 a pair falls below it once in a million.
+LIKELY = 0.6
 #: A bucket's first text meets all others. Later rounds compare all pairs left if they are so many for each text and band at most;
 #: else so many times more of the next texts meet the others.
 PAIRS_A_MEMBER, WIDEN = 10, 8
@@ -37,40 +39,53 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(every)
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """One signed hash a band of the set's minimal hashes; none for the empty set."""
-    if not len(shingles):
-        return []
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """Least value of a set under each of the hash functions."""
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     step = max(1, SLICE // len(_MULTIPLIERS))
     for at in range(0, len(shingles), step):
         part = shingles[at : at + step]
         least = np.minimum(least, ((part ^ (part >> np.uint64(29)))[None, :] * _MULTIPLIERS[:, None]).min(axis=1))
+    return least
+
+
+def bands(shingles: np.ndarray, least: np.ndarray | None = None) -> list[int]:
+    """One signed hash a band of the set's minimal hashes; none for the empty set."""
+    if not len(shingles):
+        return []
+    least = minima(shingles) if least is None else least
     found = [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
     return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
+def signature(least: np.ndarray) -> bytes:
+    """One byte of each minimal hash: sets of Jaccard similarity s agree in a share of s of them, give or take chance."""
+    return (least >> np.uint64(40)).astype(np.uint8).tobytes()
+
+
 def similar(a: Column, b: Column) -> Column:
     """Whether sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
     return 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """fp, n_shingles and bands of every row beside its other columns; rows: text and columns that stay."""
+    """fp, n_shingles, bands and signature of every row beside its other columns; rows: text and columns that stay."""
     kept = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long", "n_shingles int", "bands array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long", "n_shingles int", "bands array<long>", "signature binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, found = [], [], []
+            prints, sizes, found, signatures = [], [], [], []
             for x in batch.column("text"):
                 text = x.as_py()
                 shingles = shingle_set(text)
                 prints.append(fingerprint(text, WORDS))
                 sizes.append(len(shingles))
-                found.append(bands(shingles))
-            columns = [*(batch.column(f.name) for f in kept), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "fp", "n_shingles", "bands"])
+                least = minima(shingles)
+                found.append(bands(shingles, least))
+                signatures.append(signature(least))
+            columns = [*(batch.column(f.name) for f in kept), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "fp", "n_shingles", "bands", "signature"])
 
     return rows.select("text", *[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
@@ -91,58 +106,89 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return Written(labels.join(merged, "label", "left").select("fp", F.coalesce("_least", "label").alias("label")), "near-labels").df
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame, compared: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """Members, with labels, of the buckets that still hold uncompared texts of different labels; those buckets, the largest one's size, their pairs of different labels."""
+def _open_buckets(members: DataFrame, labels: DataFrame, compared: int) -> tuple[DataFrame, int, int]:
+    """Members, with labels, of the buckets that still hold uncompared texts of different labels; the largest bucket's size; their pairs of different labels."""
     labelled = members.join(labels, "fp")
     alike = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
     sizes = Written(sizes.where((F.col("kinds") > 1) & (F.col("n") > compared + 1)).select("bucket", "n", ((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")), "bucket-sizes").df
     total, largest, pairs = sizes.agg(F.sum("n"), F.max("n"), F.sum("pairs")).first()
-    kept = Written(spread_semi_join(labelled.select("bucket", "key", "fp", "n_shingles", "label"), sizes, ["bucket"], "n", total or 0), "buckets").df
-    return kept, sizes, largest or 0, int(pairs or 0)
+    kept = spread_semi_join(labelled.select(*members.columns, "label"), sizes, ["bucket"], "n", total or 0)
+    return Written(kept, "buckets").df, largest or 0, int(pairs or 0)
 
 
-def _pairs(members: DataFrame, sizes: DataFrame, compared: int, width: int) -> DataFrame:
-    """Pairs of a bucket's next texts with the later ones, where labels differ and sizes allow the similarity. Hot buckets are salted."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+def _pairs(members: DataFrame, compared: int, width: int) -> DataFrame:
+    """Pairs of a bucket's next texts with the later ones, where labels differ and sizes allow the similarity.
+
+    The order in a bucket: those with the least share of shingles of their own come first. Two texts have no more shingles
+    in common than either shares with any text. Hot buckets are salted.
+    """
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "key"))
     heads = members.withColumn("_rank", rank).where(F.col("_rank") <= compared + width).where(F.col("_rank") > compared)
-    total = sizes.agg(F.sum("n")).first()[0]
-    hot = F.broadcast(sizes.where(F.col("n") > total / HOT_PART).select("bucket", F.lit(True).alias("_hot")))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    heads = heads.join(hot, "bucket", "left").select("bucket", F.explode(salts).alias("_salt"), *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "label")])
-    salted = members.join(hot, "bucket", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
-    near_size = 5 * F.least("n_shingles", "a_n_shingles") >= 4 * F.greatest("n_shingles", "a_n_shingles")
-    met = salted.join(heads, ["bucket", "_salt"]).where((F.col("key") > F.col("a_key")) & (F.col("label") != F.col("a_label")) & near_size)
-    return met.select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
+    heads = heads.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "n_shared", "alone", "label")])
+    met = spread_join(members, heads, ["bucket"], members.count())
+    later = (F.col("alone") > F.col("a_alone")) | ((F.col("alone") == F.col("a_alone")) & (F.col("key") > F.col("a_key")))
+    able = 9 * F.least("n_shared", "a_n_shared") >= 4 * (F.col("n_shingles") + F.col("a_n_shingles"))
+    return met.where(later & (F.col("label") != F.col("a_label")) & able).select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs whose signatures agree in LIKELY or more of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+                yield batch.select([0, 1, 2, 3]).filter(pa.array((a == b).mean(axis=1) >= LIKELY))
+
+    side = lambda x: signatures.select(F.col("key").alias(f"{x}_key"), F.col("signature").alias(f"{x}_signature"))
+    n = pairs.count()
+    both = spread_join(spread_join(pairs, side("a"), ["a_key"], n), side("b"), ["b_key"], n)
+    return both.select("a_key", "a_label", "b_key", "b_label", "a_signature", "b_signature").mapInArrow(run, "a_key long, a_label long, b_key long, b_label long")
+
+
+def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
+    there = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
+    own = there.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("_own"))
+    n = F.coalesce("_own", F.lit(0))
+    return members.join(own, "key", "left").withColumns({"n_shared": F.col("n_shingles") - n, "alone": n / F.col("n_shingles")}).drop("_own")
 
 
 def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
     """Label of every fingerprint: the least one that links reach, by SimHash within the radius or by Jaccard similarity.
 
-    sketched: key (hash of the text), fp, n_shingles, bands; texts: key and text. Rows may repeat. Texts that meet in a
-    band are a bucket. A bucket's first text is compared with all others, so a group of near copies makes as many
-    pairs as it has texts. Then only buckets that still hold different labels stay open. All pairs of different labels in
-    them are compared at once where they are few for each member; else some more first texts are, and so on.
-    So every pair that meets is linked if it is similar. Result: fp, label.
+    sketched: key (hash of the text), fp, n_shingles, bands, signature; texts: key and text. Rows may repeat. Texts that meet
+    in a band are a bucket. First each bucket's first text is compared with all others, then the text with the fewest shingles of its
+    own, which is the likeliest origin of near copies; so a group of them makes as many pairs as it has texts. Only buckets that
+    still hold different labels stay open. All pairs of different labels in them are compared at once where they are few for each
+    member; else some more first texts are, and so on. Texts with too many shingles of their own to be similar to any
+    other make no pairs. So every pair that meets is linked if it is similar. Result: fp, label.
     """
-    distinct = sketched.select("key", "fp", "n_shingles", "bands").distinct()
-    prints = sketched.select("fp").distinct()
+    distinct = Written(sketched.select("key", "fp", "n_shingles", "bands", "signature").distinct(), "distinct-texts").df
+    prints = distinct.select("fp").distinct()
     found = connected_components(ball_links(prints, radius)).select(F.col("node").alias("fp"), F.col("label").alias("_least"))
     labels = Written(prints.join(found, "fp", "left").select("fp", F.coalesce("_least", "fp").alias("label")), "near-labels").df
-    members, compared, width, sets = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles"), 0, 1, None
-    n_members = distinct.count() * BANDS
+    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"))
+    n_members, rounds, compared, width, sets = distinct.count() * BANDS, 0, 0, 1, None
     while True:
-        members, sizes, largest, remaining = _open_buckets(members, labels, compared)
+        members, largest, remaining = _open_buckets(members, labels, compared)
         if not largest:
             return labels
-        if compared:
+        if sets is None:
+            sets = Written(_sets(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
+        elif rounds == 1:
+            members = Written(_shared(members, sets), "buckets").df
+        else:
             width = largest if remaining <= PAIRS_A_MEMBER * n_members else width * WIDEN
-        pairs = Written(_pairs(members, sizes, compared, width), "pairs")
-        members, compared = members.select("bucket", "key", "fp", "n_shingles"), compared + width
-        if not pairs.df.isEmpty():
-            if sets is None:
-                sets = Written(_sets(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
+        pairs = Written(_pairs(members, compared, width), "pairs")
+        likely = Written(_likely(pairs.df, distinct.select("key", "signature")), "likely-pairs")
+        members, n = members.drop("label"), likely.df.count()
+        if n:
             side = lambda x: sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_shingles"))
-            whole = pairs.df.join(side("a"), "a_key").join(side("b"), "b_key").where(similar(F.col("a_shingles"), F.col("b_shingles")))
+            whole = spread_join(spread_join(likely.df, side("a"), ["a_key"], n), side("b"), ["b_key"], n).where(similar(F.col("a_shingles"), F.col("b_shingles")))
             labels = _relabelled(labels, whole.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
         pairs.drop()
+        likely.drop()
+        # The second round has an order of its own, so its count of compared texts begins there.
+        rounds, compared = rounds + 1, compared + width if rounds else 0

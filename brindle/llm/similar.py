@@ -24,9 +24,14 @@ WORDS = 5
 BANDS, ROWS = 24, 4
 #: Share of equal bytes of signatures from which sets are compared: at similarity 0.8 a pair falls below it once in a million.
 LIKELY = 0.6
-#: A bucket's first text meets all others. Later rounds compare all pairs left if they are so many for each text and band at most;
-#: else so many times more of the next texts meet the others.
+#: Texts that stay in open buckets get one bit of each of so many minimal hashes more. Bits of sets of similarity s agree with a
+#: probability of (1 + s) / 2; of two at 0.8, more than so many differ once in a million (4.9 standard deviations).
+BITS = 2048
+FAR_BITS = int(0.1 * BITS + 4.9 * (0.09 * BITS) ** 0.5)
+#: A bucket's first text meets all others, then so many times more of the next ones do, and so on; all pairs left are compared once they
+#: are so many for each text and band at most.
 PAIRS_A_MEMBER, WIDEN = 10, 8
+_BIT_MULTIPLIERS = np.random.default_rng(SEED + 1).integers(0, 2**63, BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -39,16 +44,21 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(every)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
     """Least value of a set under each of the hash functions."""
-    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, SLICE // len(_MULTIPLIERS))
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, SLICE // len(multipliers))
     for at in range(0, len(shingles), step):
         part = shingles[at : at + step]
-        least = np.minimum(least, ((part ^ (part >> np.uint64(29)))[None, :] * _MULTIPLIERS[:, None]).min(axis=1))
+        least = np.minimum(least, ((part ^ (part >> np.uint64(29)))[None, :] * multipliers[:, None]).min(axis=1))
     return least
 
 
+def minimum_bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS minimal hashes, packed into signed 64-bit numbers."""
+    return np.packbits((minima(shingles, _BIT_MULTIPLIERS) >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64)
+
+
 def bands(shingles: np.ndarray, least: np.ndarray | None = None) -> list[int]:
     """One signed hash a band of the set's minimal hashes; none for the empty set."""
     if not len(shingles):
@@ -95,9 +105,10 @@ def _sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 shingles = shingle_set(batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], ["key", "shingles"])
+                numbers = [pa.array([x], pa.list_(pa.int64())) for x in (shingles.view(np.int64), minimum_bits(shingles))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *numbers], ["key", "shingles", "bits"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key long, shingles array<long>, bits array<long>")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -121,15 +132,17 @@ def _pairs(members: DataFrame, compared: int, width: int) -> DataFrame:
     """Pairs of a bucket's next texts with the later ones, where labels differ and sizes allow the similarity.
 
     The order in a bucket: those with the least share of shingles of their own come first. Two texts have no more shingles
-    in common than either shares with any text. Hot buckets are salted.
+    in common than either shares with any text; those whose bits differ too much aren't similar. Hot buckets are salted.
     """
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "key"))
     heads = members.withColumn("_rank", rank).where(F.col("_rank") <= compared + width).where(F.col("_rank") > compared)
-    heads = heads.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "n_shared", "alone", "label")])
+    heads = heads.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "n_shared", "alone", "bits", "label")])
     met = spread_join(members, heads, ["bucket"], members.count())
     later = (F.col("alone") > F.col("a_alone")) | ((F.col("alone") == F.col("a_alone")) & (F.col("key") > F.col("a_key")))
     able = 9 * F.least("n_shared", "a_n_shared") >= 4 * (F.col("n_shingles") + F.col("a_n_shingles"))
-    return met.where(later & (F.col("label") != F.col("a_label")) & able).select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
+    apart = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("a_bits", F.lit(i)))) for i in range(BITS // 64)]
+    near = F.col("bits").isNull() | (sum(apart[1:], apart[0]) <= FAR_BITS)
+    return met.where(later & (F.col("label") != F.col("a_label")) & able & near).select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -148,11 +161,12 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
+    """Members with their bits, n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
     there = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
     own = there.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("_own"))
     n = F.coalesce("_own", F.lit(0))
-    return members.join(own, "key", "left").withColumns({"n_shared": F.col("n_shingles") - n, "alone": n / F.col("n_shingles")}).drop("_own")
+    known = members.drop("n_shared", "alone", "bits").join(sets.select("key", "bits"), "key").join(own, "key", "left")
+    return known.withColumns({"n_shared": F.col("n_shingles") - n, "alone": n / F.col("n_shingles")}).select(*members.columns)
 
 
 def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
@@ -161,15 +175,15 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
     sketched: key (hash of the text), fp, n_shingles, bands, signature; texts: key and text. Rows may repeat. Texts that meet
     in a band are a bucket. First each bucket's first text is compared with all others, then the text with the fewest shingles of its
     own, which is the likeliest origin of near copies; so a group of them makes as many pairs as it has texts. Only buckets that
-    still hold different labels stay open. All pairs of different labels in them are compared at once where they are few for each
-    member; else some more first texts are, and so on. Texts with too many shingles of their own to be similar to any
-    other make no pairs. So every pair that meets is linked if it is similar. Result: fp, label.
+    still hold different labels stay open. Some more first texts are compared, then all pairs of different labels at once where they
+    are few for each member, else more first texts again. Texts with too many shingles of their own, or too different minimal
+    hashes, make no pairs. So every pair that meets is linked if it is similar. Result: fp, label.
     """
     distinct = Written(sketched.select("key", "fp", "n_shingles", "bands", "signature").distinct(), "distinct-texts").df
     prints = distinct.select("fp").distinct()
     found = connected_components(ball_links(prints, radius)).select(F.col("node").alias("fp"), F.col("label").alias("_least"))
     labels = Written(prints.join(found, "fp", "left").select("fp", F.coalesce("_least", "fp").alias("label")), "near-labels").df
-    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"))
+    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"), F.lit(None).cast("array<long>").alias("bits"))
     n_members, rounds, compared, width, sets = distinct.count() * BANDS, 0, 0, 1, None
     while True:
         members, largest, remaining = _open_buckets(members, labels, compared)
@@ -179,16 +193,19 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
             sets = Written(_sets(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
         elif rounds == 1:
             members = Written(_shared(members, sets), "buckets").df
+        elif rounds > 2 and remaining <= PAIRS_A_MEMBER * n_members:
+            width = largest
         else:
-            width = largest if remaining <= PAIRS_A_MEMBER * n_members else width * WIDEN
+            width *= WIDEN
         pairs = Written(_pairs(members, compared, width), "pairs")
-        likely = Written(_likely(pairs.df, distinct.select("key", "signature")), "likely-pairs")
+        likely = Written(_likely(pairs.df, distinct.select("key", "signature")), "likely-pairs") if not rounds else pairs
         members, n = members.drop("label"), likely.df.count()
         if n:
             side = lambda x: sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_shingles"))
             whole = spread_join(spread_join(likely.df, side("a"), ["a_key"], n), side("b"), ["b_key"], n).where(similar(F.col("a_shingles"), F.col("b_shingles")))
             labels = _relabelled(labels, whole.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
         pairs.drop()
-        likely.drop()
+        if likely is not pairs:
+            likely.drop()
         # The second round has an order of its own, so its count of compared texts begins there.
         rounds, compared = rounds + 1, compared + width if rounds else 0

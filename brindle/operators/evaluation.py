@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.sources.scratch import written
 
 
 def gold_ranks(ranked: DataFrame, gold: DataFrame) -> DataFrame:
@@ -48,14 +49,16 @@ def retrieval_metrics(ranks: DataFrame, *by: str, ks: tuple[int, ...] = (1, 3, 5
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """The element at floor(n*p) of the sorted values, for each group.
 
-    Equal values are counted first; the running count then finds the element, so no group is gathered whole.
+    Equal values are counted first. The counts are range-partitioned by group and value, so that a group of many
+    values spreads over partitions; a partition's running count begins after those before it.
     """
-    from pyspark.sql import Window
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    placed = counts.withColumns({"_upto": upto, "_total": total})
+    dealt = written(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = parts.select(*by, "_part", before.alias("_before"), F.sum("_in").over(Window.partitionBy(*by)).alias("_total"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy(value))
+    placed = dealt.join(bases, [*by, "_part"]).withColumn("_upto", upto)
     at = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.col("_total") * p), F.col(value)))
     return placed.groupBy(*by).agg(F.max("_total").alias("n"), *[at(p).alias(name) for name, p in shares.items()])
 
@@ -93,6 +96,73 @@ def storage_curve(sizes: DataFrame, dims: int = 1024) -> DataFrame:
     return sizes.withColumns({"stored_dims": stored.cast("long"), "cost": cost})
 
 
+def joined_agreement(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
+    """Agreement of six fields between two tables that meet by part: catalogue rows (part, channel, vds, rdson, id, package) and
+    labels (part, channel, vds_v, rdson_mohm, id_a, package). A field counts where the label has it."""
+    names = ("channel", "vds_v", "rdson_mohm", "id_a", "package")
+    both = catalogue.join(labels.select("part", *[F.col(c).alias(f"l_{c}") for c in names]), "part")
+    cls = lambda m: T.class_of(m["conditions"])
+    some = lambda field, label, value: F.coalesce(carries(F.col(field), cls(F.col(label)), F.col(label)["value"] if value else None), F.lit(False))
+    return agreement(both, {
+        "channel": (F.col("l_channel").isNotNull(), F.col("channel").eqNullSafe(F.col("l_channel"))),
+        "vds": (F.col("l_vds_v").isNotNull(), F.coalesce(F.abs("vds") == F.abs("l_vds_v"), F.lit(False))),
+        "rdson_class": (F.col("l_rdson_mohm").isNotNull(), some("rdson", "l_rdson_mohm", False)),
+        "rdson": (F.col("l_rdson_mohm").isNotNull(), some("rdson", "l_rdson_mohm", True)),
+        "id": (F.col("l_id_a").isNotNull(), some("id", "l_id_a", True)),
+        "package": (F.size("l_package") > 0, F.size(F.array_except("l_package", F.coalesce("package", F.array().cast("array<string>")))) == 0),
+    })
+
+
+def answered(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers with their questions (both by id); an answer to no known question is left out."""
+    return answers.join(questions, "id")
+
+
+def subset_by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of some ids (one column); an id without a row fails the job."""
+    found = ids.select(key).distinct().join(rows.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no row with {key} "), F.col(key).cast("string"))).cast("boolean")
+    return found.where(F.when(F.col("_there"), True).otherwise(missing)).drop("_there")
+
+
+def seen_winners(cases: DataFrame) -> DataFrame:
+    """saw_winner and winner_in_pool of set-query cases (truth_parts, retrieved, pool): null where there is no truth or no list."""
+    meets = lambda c: F.when((F.size("truth_parts") > 0) & F.col(c).isNotNull(), F.coalesce(F.arrays_overlap("truth_parts", c), F.lit(False)))
+    return cases.withColumns({"saw_winner": meets("retrieved"), "winner_in_pool": meets("pool")})
+
+
+def mechanism(cases: DataFrame) -> DataFrame:
+    """Shares of winners retrieved, and of wrong answers that never saw the winner or had it in no pool; nulls don't count."""
+    wrong = F.col("outcome") == "wrong"
+    share = lambda passes, among: mean(F.when(among, F.when(passes, 1.0).otherwise(0.0)), 4)
+    return cases.agg(
+        share(F.col("saw_winner"), F.col("saw_winner").isNotNull()).alias("winner_retrieved"),
+        share(~F.col("saw_winner"), wrong & F.col("saw_winner").isNotNull()).alias("wrong_without_seeing_winner"),
+        share(~F.col("winner_in_pool"), wrong & F.col("winner_in_pool").isNotNull()).alias("wrong_winner_not_in_pool"),
+    )
+
+
+def hallucinated_but_correct(graded: DataFrame) -> DataFrame:
+    """Inventions, and the share of them whose figure begins with the expected value as printed (reason, found_text, value)."""
+    bad = graded.where(F.col("reason") == "hallucinated")
+    return bad.agg(F.count(F.lit(1)).alias("n"), rate(F.coalesce(starts_with_value(F.col("found_text"), F.col("value")), F.lit(False)), 4).alias("share"))
+
+
+def guarded_rates(questions: DataFrame) -> DataFrame:
+    """Share of questions the guard refuses, held out and indexed (holdout, refused)."""
+    return questions.groupBy("holdout").agg(F.count(F.lit(1)).alias("n"), rate(F.col("refused"), 4).alias("refused"))
+
+
+def with_totals(df: DataFrame, dimension: str, *aggregates: Column) -> DataFrame:
+    """A breakdown and, in the row where the dimension is null, the whole; one pass by grouping sets."""
+    return df.groupingSets([[F.col(dimension)], []], F.col(dimension)).agg(*aggregates)
+
+
+def all_names(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct names of two vocabularies (name), the longest first."""
+    return catalogue.select("name").union(labels.select("name")).distinct().orderBy(F.desc(F.length("name")), "name")
+
+
 def starts_with_value(found: Column, value: Column) -> Column:
     """The printed value begins what was found."""
     return F.startswith(found, T.number_text(value))

@@ -62,6 +62,27 @@ def set_outcome(empty: Column, guarded: Column, refused: Column, hedged: Column,
     )
 
 
+def names_part(text: Column, part: Column) -> Column:
+    """The part is named as a whole identifier; case matters, a hyphen belongs to a name."""
+    return F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9-])"), T.quoted(part), F.lit("(?![A-Za-z0-9-])")))
+
+
+def carries_value(excerpt: Column, value: Column, unit: Column, tolerance: Column | float = 0.01) -> Column:
+    """An excerpt holds a figure that would be graded right."""
+    return value_match(excerpt, value, unit, tolerance)["ok"]
+
+
+def hedged(route: Column, kind: Column, conditions: Column) -> Column:
+    """The catalogue answered with several classes although the question's filter names one."""
+    return F.coalesce((route == "catalog") & (kind == "ambiguous-conditions") & conditions.isNotNull(), F.lit(False))
+
+
+def baseline_outcome(text: Column, guarded: Column, correct: Column) -> Column:
+    """Outcome without a catalogue: refusal is read from the text, and there is no hedge."""
+    refused = F.coalesce(text.contains(T.REFUSAL), F.lit(True))
+    return set_outcome(F.lit(False), guarded, refused, F.lit(False), correct)
+
+
 def guard_refuses(named: Column, retrieved: Column) -> Column:
     """Identifiers are named, and none of them was retrieved."""
     return (F.size(named) > 0) & ~F.arrays_overlap(named, retrieved)

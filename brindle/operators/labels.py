@@ -12,7 +12,7 @@ NEW_SYMBOL = r"^[A-Z][A-Za-z0-9()]*\s+[a-z]"
 SECTION = r"^(Static|Dynamic|Thermal|Limiting|Symbol|Table)\b"
 PACKAGE_NAME = r"^[A-Z][A-Za-z0-9‐-―-]*$"
 PACKAGE_VERSION = r"(?<![A-Za-z0-9_])(SOT\d+[A-Z]?)(?![A-Za-z0-9_])"
-UNITS = {"VDS": r"^V$", "ID": r"^A$", "RDSon": "^m?[ΩΩ]"}
+UNITS = {"VDS": r"^V$", "ID": r"^A$", "RDSon": r"^m?[\u03A9\u2126]"}
 
 
 def quick_reference(documents: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def table_rows(lines: DataFrame, symbol: str) -> DataFrame:
 
 def measurements(rows: DataFrame) -> DataFrame:
     """Rows with a maximum as measurements: part, pos, value, typ, unit, conditions, text; ohms in milliohms."""
-    ohm = F.col("unit").rlike("[ΩΩ]")
+    ohm = F.col("unit").rlike(T.OHM_SIGNS)
     scale = F.when(ohm & ~F.col("unit").startswith("m"), 1000.0).otherwise(1.0)
     value, typ = F.col("max").try_cast("double") * scale, F.col("typ").try_cast("double") * scale
     unit = F.when(ohm, "mΩ").otherwise(F.col("unit"))
@@ -121,6 +121,19 @@ def parse(documents: DataFrame) -> DataFrame:
     return out.select("part", "channel", "package", "vds_v", "id_a", "rdson_mohm", empty("rdson_all"), empty("id_all"))
 
 
+def name_check_counts(labels: DataFrame, shown: int = 12) -> tuple[DataFrame, DataFrame]:
+    """How many names state figures and how many labels agree with them, and the first disagreements by part."""
+    checked = name_check(labels)
+    right = F.coalesce(F.col("vds_agrees"), F.lit(False)) & F.coalesce(F.col("rdson_agrees"), F.lit(False))
+    counts = checked.agg(F.count(F.lit(1)).alias("decoded"), F.count_if("vds_agrees").alias("vds_agrees"), F.count_if("rdson_agrees").alias("rdson_agrees"))
+    return counts, checked.where(~right).orderBy("part").limit(shown)
+
+
+def coverage(labels: DataFrame, *fields: str) -> DataFrame:
+    """Rows, and rows that have each field."""
+    return labels.agg(F.count(F.lit(1)).alias("parts"), *[F.count(F.col(f)).alias(f) for f in fields])
+
+
 def name_check(labels: DataFrame) -> DataFrame:
     """Labels against what part names state: part, vds_agrees, rdson_agrees (within a tenth)."""
     decoded = labels.withColumn("d", T.decode_name(F.col("part"))).where("d is not null")

@@ -23,9 +23,12 @@ class Vocabulary:
     classes: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, terms: DataFrame) -> Vocabulary:
-        """From catalog.vocabulary's rows: distinct terms, few whatever the number of parts."""
+    def of(cls, terms: DataFrame, max_terms: int = 100_000) -> Vocabulary:
+        """From catalog.vocabulary's rows. More distinct terms than the bound are an error, not a driver out of memory: check_plans joins instead."""
         found: dict[str, list[str]] = {}
+        terms = terms.distinct()
+        if (n := terms.count()) > max_terms:
+            raise ValueError(f"{n} terms are over the bound of {max_terms}; check plans by check_plans")
         for row in terms.orderBy("kind", "term").collect():
             found.setdefault(row["kind"], []).append(row["term"])
         ratings = tuple(sorted(map(float, found.get("rating", ()))))
@@ -85,6 +88,66 @@ def parse_plans(plans: DataFrame) -> DataFrame:
     return read.select("id", route.alias("route"), F.when(fits, F.col("p.op")).alias("op"), F.when(fits, F.col("p.field")).alias("field"), F.when(fits, F.abs("p.filters.vds")).alias("vds"), F.when(fits, F.col("p.filters.package")).alias("package"))
 
 
+def check_plans(plans: DataFrame, terms: DataFrame) -> DataFrame:
+    """Plans (id, text) read and checked against catalog.vocabulary's rows, all in joins: id, route, op, field, channel, vds, package, conditions.
+
+    An unknown rating or package makes a plan unsupported; the package takes its true spelling; unknown
+    conditions are dropped, and so are conditions on the rating.
+    """
+    schema = "route string, op string, field string, filters struct<channel:string,vds:double,package:string,conditions:string>"
+    read = parse_plans(plans).drop("vds", "package").join(plans.select("id", F.from_json(T.json_object(F.col("text")), schema, {"mode": "PERMISSIVE"}).getField("filters").alias("f")), "id")
+    key = lambda c: F.lower(T.trim(c))
+    ratings = terms.where("kind = 'rating'").select(F.col("term").cast("double").alias("_rating")).distinct()
+    names = terms.where("kind = 'package'").groupBy(key(F.col("term")).alias("_package")).agg(F.min("term").alias("_name"))
+    classes = terms.where("kind in ('rdson_class', 'id_class')").groupBy("kind", F.lower("term").alias("_class")).agg(F.min("term").alias("_conditions"))
+    asked = F.when(F.coalesce(F.col("field"), F.lit("rdson")) != "vds", F.lower(T.class_of(F.col("f.conditions"))))
+    found = (
+        read.withColumns({"_vds": F.abs("f.vds"), "_named": key(F.col("f.package")), "_asked": asked, "_kind": F.concat(F.coalesce("field", F.lit("rdson")), F.lit("_class"))})
+        .join(ratings, F.col("_vds") == F.col("_rating"), "left").join(names, F.col("_named") == F.col("_package"), "left")
+        .join(classes, (F.col("_kind") == F.col("kind")) & (F.col("_asked") == F.col("_class")), "left")
+    )
+    known = (F.col("_vds").isNull() | F.col("_rating").isNotNull()) & (F.col("_named").isNull() | F.col("_name").isNotNull())
+    fits = (F.col("route") == "catalog") & known
+    only = lambda c, name: F.when(fits, c).alias(name)
+    route_ = F.when((F.col("route") == "catalog") & ~known, "unsupported").otherwise(F.col("route"))
+    channel = F.when(F.col("f.channel").isin("N", "P"), F.col("f.channel"))
+    return found.select("id", route_.alias("route"), only(F.col("op"), "op"), only(F.col("field"), "field"), only(channel, "channel"), only(F.col("_vds"), "vds"), only(F.col("_name"), "package"), only(F.col("_conditions"), "conditions"))
+
+
+def part_questions(labels: DataFrame) -> DataFrame:
+    """Questions on single parts with their truth: id, part, dimension, split, question, value, unit, names.
+
+    labels: part, vds_v, rdson_mohm, id_a (structs with value and conditions), package. Conditions stand in the question where there are any.
+    """
+    under = lambda m: F.when(F.coalesce(m["conditions"], F.lit("")) != "", F.concat(F.lit(" at "), m["conditions"])).otherwise("")
+    part = F.col("part")
+    none = F.lit(None).cast("array<string>")
+
+    def asked(dimension: str, words: str, condition: Column, value: Column, unit: str | None, names: Column, there: Column) -> Column:
+        text = F.concat(F.lit(f"What is the {words} of "), part, condition, F.lit("?"))
+        return F.when(there, F.struct(F.lit(dimension).alias("dimension"), text.alias("question"), value.cast("double").alias("value"), F.lit(unit).cast("string").alias("unit"), names.alias("names")))
+
+    figure = lambda c: F.col(c)["value"]
+    each = F.array_compact(F.array(
+        asked("vds", "drain-source voltage rating", F.lit(""), F.col("vds_v"), "V", none, F.col("vds_v").isNotNull()),
+        asked("rdson", "on-state resistance", under(F.col("rdson_mohm")), figure("rdson_mohm"), "mΩ", none, figure("rdson_mohm").isNotNull()),
+        asked("id", "drain current", under(F.col("id_a")), figure("id_a"), "A", none, figure("id_a").isNotNull()),
+        asked("package", "package", F.lit(""), F.lit(None), None, F.col("package"), F.coalesce(F.size("package") > 0, F.lit(False))),
+    ))
+    split = F.when(T.is_holdout(part), "holdout").otherwise("indexed").alias("split")
+    return labels.select("part", split, F.inline(each)).select(F.concat_ws(":", "part", "dimension").alias("id"), "part", "dimension", "split", "question", "value", "unit", "names")
+
+
+def question_summary(questions: DataFrame) -> DataFrame:
+    """Questions and distinct parts by dimension and split."""
+    return questions.groupBy("dimension", "split").agg(F.count(F.lit(1)).alias("questions"), F.countDistinct("part").alias("parts"))
+
+
+def in_index(questions: DataFrame, chunks: DataFrame, part: str = "part") -> DataFrame:
+    """Questions whose part the index holds (chunks: document_id)."""
+    return questions.join(chunks.select(F.col("document_id").alias(part)).distinct(), part, "left_semi")
+
+
 def parse_attributes(rows: DataFrame) -> DataFrame:
     """Attribute rows from a model's text (part, text): typed fields, wrong types skipped, an object read as a list of one."""
     v = F.try_parse_json(T.json_object(F.col("text")))
@@ -99,6 +162,13 @@ def parse_attributes(rows: DataFrame) -> DataFrame:
     )
 
 
+def unreadable(rows: DataFrame) -> DataFrame:
+    """Model texts that hold no attributes, with the reason: part, reason, head."""
+    v = F.try_parse_json(T.json_object(F.col("text")))
+    reason = F.when(F.col("text").isNull() | (T.trim(F.col("text")) == ""), "empty").when(T.json_object(F.col("text")).isNull(), "no object").when(v.isNull(), "broken object")
+    return rows.select("part", reason.alias("reason"), T.preview(F.col("text"), 100).alias("head")).where("reason is not null")
+
+
 def route(question: Column, names: Iterable[str]) -> Column:
     """document when identifiers are left after known names are taken out, else set."""
     return F.when(F.size(T.named_parts(T.without_names(question, names))) > 0, "document").otherwise("set")

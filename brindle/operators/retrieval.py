@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import text as T
+from brindle.sources.scratch import written
+
 K, FUSION_K, WEIGHTS = 10, 60, (1.0, 2.0)
-#: Queries whose vectors may be broadcast to the chunks; more are met by a shuffle on a salt.
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that may be broadcast to the chunks; more queries meet the chunks in cells of a grid.
+BROADCAST_BYTES = 32 << 20
+#: Columns of that grid: each chunk is sent to one cell a block of queries, so a block's work is spread over so many tasks.
+CHUNK_BLOCKS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,21 +30,30 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.col("_dot") / (F.col("q_norm") * F.col("c_norm")))
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int = K, n_queries: int | None = None) -> DataFrame:
-    """Every query against every chunk: the k best by cosine. queries: qid, q_vec; chunks: chunk_id, document_id, vec.
+def _others(pairs: DataFrame) -> DataFrame:
+    """Pairs without those of a query and the chunk that it names as its own."""
+    return pairs.where(~F.col("chunk_id").eqNullSafe(F.col("own"))) if "own" in pairs.columns else pairs
+
+
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame:
+    """Every query against every chunk: the k best by cosine. queries: qid, q_vec and, if a query is a chunk itself, its id as own;
+    chunks: chunk_id, document_id, vec.
 
     Norms are computed once a vector. A query set within the bound goes to all chunks as a broadcast; a
-    larger one is dealt in blocks. WindowGroupLimit keeps k rows a query before the shuffle.
+    larger one meets them in a grid of query and chunk blocks. WindowGroupLimit keeps k rows a query before the shuffle.
     """
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
     c = chunks.withColumn("c_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    n = queries.count() if n_queries is None else n_queries
-    if n <= BROADCAST_QUERIES:
+    size = queries.agg(F.sum(F.lit(64) + F.size("q_vec") * 8)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         pairs = c.withColumn("_block", F.lit(0)).join(F.broadcast(q.withColumn("_block", F.lit(0))), "_block")
     else:
-        blocks = n // BROADCAST_QUERIES + 1
-        pairs = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "_block")
-    scored = _scored(pairs.withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        blocks = size // BROADCAST_BYTES + 1
+        rows = q.withColumn("_block", block("qid", blocks)).withColumn("_column", every(CHUNK_BLOCKS))
+        pairs = c.withColumn("_column", block("chunk_id", CHUNK_BLOCKS)).withColumn("_block", every(blocks)).join(rows, ["_block", "_column"])
+    scored = _scored(_others(pairs).withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
     return top_k(scored.select("qid", "chunk_id", "document_id", "score"), k, "chunk_id")
 
 
@@ -47,7 +61,7 @@ def search_within(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFram
     """The k best chunks of the one document each query names (queries: qid, q_vec, document_id)."""
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
     c = chunks.withColumn("c_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    scored = _scored(c.join(q, "document_id").withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
+    scored = _scored(_others(c.join(q, "document_id")).withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
     return top_k(scored.select("qid", "chunk_id", "document_id", "score"), k, "chunk_id")
 
 
@@ -107,9 +121,11 @@ def first_seen(searches: list[DataFrame]) -> DataFrame:
 def numbered(df: DataFrame, *order: str, name: str = "_i") -> DataFrame:
     """A gapless number from 0 over a total order, without gathering all rows in one task.
 
-    Rows are range-partitioned; each partition numbers its own rows after the counts of those before it.
+    Rows are range-partitioned and written once with their places; each partition numbers its own rows after the counts
+    of those before it.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    dealt = written(dealt, "numbered")
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", "_first", before.alias("_before"))
@@ -124,3 +140,15 @@ def stride_sample(df: DataFrame, k: int, *order: str) -> DataFrame:
         return df
     i = F.ceil(F.col("_i") * k / F.lit(n))
     return numbered(df, *order).where((i < k) & (F.floor(i * n / F.lit(k)) == F.col("_i"))).drop("_i")
+
+
+def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) and the names (name) they hold as whole tokens: doc_id, name.
+
+    Texts meet names by equal tokens, a name of several by its first one; only then is the whole name looked for.
+    """
+    token = r"[A-Za-z0-9]+"
+    read = lambda c: F.regexp_extract_all(F.lower(T.fold_dashes(c)), F.lit(token), F.lit(0))
+    wanted = names.select("name", F.get(read(F.col("name")), F.lit(0)).alias("_token"), (~F.col("name").rlike(f"^{token}$")).alias("_several")).distinct()
+    held = documents.select("doc_id", "text", F.explode(F.array_distinct(read(F.col("text")))).alias("_token"))
+    return held.join(wanted, "_token").where(~F.col("_several") | T.mentions(F.col("text"), F.col("name"))).select("doc_id", "name")

@@ -193,11 +193,11 @@ def outcome_summary(spark, sf):
 
 
 def _dense(spark, sf):
-    return S.dense_search(V.rag_queries(spark, sf).select("qid", "q_vec"), V.chunks(spark, sf))
+    return S.dense_search(V.rag_queries(spark, sf).select("qid", "q_vec", "own"), V.chunks(spark, sf))
 
 
 def _within(spark, sf):
-    q = V.rag_queries(spark, sf).where("symbol is not null").select("qid", "q_vec", F.col("symbol").alias("document_id"))
+    q = V.rag_queries(spark, sf).where("symbol is not null").select("qid", "q_vec", "own", F.col("symbol").alias("document_id"))
     return S.search_within(q, V.chunks(spark, sf))
 
 
@@ -294,8 +294,9 @@ def chunk_documents(spark, sf):
 
 @query
 def degenerate_texts(spark, sf):
-    c = V.table(spark, sf, "conversations")
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(R.is_degenerate(F.col("text"))).alias("degenerate"))
+    c = V.table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("role").alias("kind"), "text")
+    d = V.table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("kind"), "text")
+    return c.unionByName(d).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(R.is_degenerate(F.coalesce("text", F.lit("")))).alias("degenerate"))
 
 
 def _index(spark, sf):
@@ -441,4 +442,4 @@ def best_strategy(spark, sf):
 def name_mentions(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text")
     names = V.table(spark, sf, "labels").sparkSession.createDataFrame([("of",), ("los",), ("der",), ("que",)], "name string")
-    return d.join(F.broadcast(names), T.mentions(F.col("text"), F.col("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return S.mentions(d, names).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -39,10 +39,10 @@ def _extremum(source: str, op: str, unit: str, where: str, kind: str, label: str
 
 _RAG = """
     q AS (SELECT vec_id AS qid, embedding AS qv, CAST(label AS VARCHAR) AS gold,
-                 CASE WHEN vec_id % 2 = 0 THEN CAST(label AS VARCHAR) END AS symbol FROM embeddings WHERE vec_id % 25 = 0),
-    c AS (SELECT CAST(label AS VARCHAR) || '#' || CAST(vec_id AS VARCHAR) AS chunk_id, CAST(label AS VARCHAR) AS document_id, embedding AS cv
-          FROM embeddings WHERE vec_id % 25 <> 0 AND label NOT IN (3, 7)),
-    sims AS (SELECT qid, symbol, chunk_id, document_id, list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]) AS score FROM q, c),
+                 CASE WHEN vec_id % 40 = 0 THEN CAST(label AS VARCHAR) END AS symbol FROM embeddings WHERE vec_id % 20 = 0),
+    c AS (SELECT vec_id, CAST(label AS VARCHAR) || '#' || CAST(vec_id AS VARCHAR) AS chunk_id, CAST(label AS VARCHAR) AS document_id, embedding AS cv
+          FROM embeddings WHERE label NOT IN (3, 7)),
+    sims AS (SELECT qid, symbol, chunk_id, document_id, list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]) AS score FROM q JOIN c ON vec_id <> qid),
     dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= 10),
     inside AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sims WHERE symbol = document_id QUALIFY rank <= 10),
     docs AS (SELECT qid, document_id, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM dense GROUP BY qid, document_id),
@@ -163,7 +163,9 @@ ORACLES: dict[str, str] = {
     "degenerate_texts": """WITH w AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations),
         c AS (SELECT conv_id, turn, role, w, count(*) AS n FROM w GROUP BY ALL),
         d AS (SELECT conv_id, turn, role, sum(n) >= 12 AND max(n) / sum(n) > 0.3 AS bad FROM c GROUP BY ALL)
-        SELECT role, count(*) AS n, count(*) FILTER (coalesce(bad, false)) AS degenerate FROM conversations LEFT JOIN d USING (conv_id, turn, role) GROUP BY role""",
+        SELECT 'conversations' AS source, role AS kind, count(*) AS n, count(*) FILTER (coalesce(bad, false)) AS degenerate FROM conversations LEFT JOIN d USING (conv_id, turn, role) GROUP BY role
+        UNION ALL SELECT 'documents', lang, count(*), count(*) FILTER (coalesce(len(w) >= 12 AND list_max(map_values(list_histogram(w))) / len(w) > 0.3, false))
+        FROM (SELECT lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents) GROUP BY lang""",
     "ingest_replace": f"""WITH {_INDEX} SELECT document_id || '#' || index AS id, document_id, CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END AS version
         FROM idx WHERE key % 3 <> 0 OR index < 2""",
     "stale_ids": f"""WITH {_INDEX}, s AS (SELECT DISTINCT document_id, document_id || '#' || unnest(range(total, total + 80)) AS id FROM idx)

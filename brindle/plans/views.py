@@ -57,16 +57,16 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed chunks: embeddings that are no queries and whose label isn't held out."""
-    e = table(spark, sf_dir, "embeddings").where((F.col("vec_id") % 25 != 0) & ~F.col("label").isin(*HELD_OUT))
+    """Indexed chunks: all embeddings whose label isn't held out."""
+    e = table(spark, sf_dir, "embeddings").where(~F.col("label").isin(*HELD_OUT))
     return e.select(F.concat_ws("#", "label", "vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.col("embedding").alias("vec"))
 
 
 def rag_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with their gold document and the documents they name (even ids name theirs)."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 25 == 0)
+    """Queries with their own chunk, their gold document and the documents they name (every other one names its own)."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
     gold = F.col("label").cast("string")
-    return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vec"), gold.alias("gold"), F.when(F.col("vec_id") % 2 == 0, gold).alias("symbol"))
+    return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vec"), gold.alias("gold"), F.when(F.col("vec_id") % 40 == 0, gold).alias("symbol"), F.concat_ws("#", "label", "vec_id").alias("own"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

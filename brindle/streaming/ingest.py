@@ -6,39 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from brindle.sources.sinks import prune
+from brindle.sources.scratch import file_system, written
+from brindle.sources.sinks import last_rows, prune, upsert
 
 CHUNKS = "id string, document_id string, index int, total int, text string"
 
 
 def stream_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk records from a folder of JSON files, as they arrive."""
-    return spark.readStream.schema(CHUNKS).json(path)
+    """Chunk records from a folder of JSON files, as they arrive, with the time and name of their file."""
+    arrived = F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_arrived")
+    return spark.readStream.schema(CHUNKS).json(path).select("*", arrived)
 
 
 def replacing(index_path: str):
     """A foreachBatch function: rows upsert by id, stale chunks go; replaying a batch changes nothing.
 
-    The index is partitioned by a hash bucket of the document, and only the buckets of the batch's documents are
-    rewritten (dynamic partition overwrite).
+    Of rows of one id in a batch the last to arrive wins. The index is partitioned by a hash bucket of the document,
+    and only the buckets of the batch's documents are rewritten. Their new content is written beside the index first, so
+    nothing is read from files that are being overwritten; a batch that fails on the way is merged again.
+    An index that is there but can't be read is an error.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        once = batch.dropDuplicates(["id"]).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(64)))
-        schema = once.schema
-        buckets = [r["bucket"] for r in once.select("bucket").distinct().collect()]
+        placed = batch.withColumn("_order", F.struct(*(["_arrived"] if "_arrived" in batch.columns else []), F.monotonically_increasing_id()))
+        rows = placed.select(*[c.split()[0] for c in CHUNKS.split(", ")], "_order", F.pmod(F.xxhash64("document_id"), F.lit(64)).alias("bucket"))
+        once = written(last_rows(rows, "id", "_order"), "batch")
+        buckets = [r["bucket"] for r in once.select("bucket").distinct().collect()]  # 64 at most
         if not buckets:
             return
-        try:
-            old = spark.read.schema(schema).parquet(index_path).where(F.col("bucket").isin(buckets))
-            old.limit(1).count()
-        except Exception:  # the first batch finds no index
-            old = spark.createDataFrame([], schema)
-        merged = prune(old.join(once.select("id"), "id", "left_anti").select(*once.columns), once).unionByName(once)
-        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-        merged.count()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index_path)
+        merged = once.drop("_order")
+        files, target = file_system(spark, index_path)
+        if files.exists(target):
+            old = spark.read.schema(merged.schema).parquet(index_path).where(F.col("bucket").isin(buckets))
+            merged = prune(upsert(old, merged), once, order="_order")
+        else:
+            merged = prune(merged, once, order="_order")
+        whole = written(merged, "merged")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index_path)
 
     return run
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle import models
+from brindle.engine import Engine
 from brindle.functions import text as T
 from brindle.operators import catalog as C
 from brindle.operators import evaluation as E
@@ -17,6 +20,7 @@ from brindle.operators import preparation as R
 from brindle.operators import retrieval as S
 from brindle.plans import views as V
 from brindle.sources import readers, sinks
+from brindle.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,3 +447,326 @@ def name_mentions(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text")
     names = V.table(spark, sf, "labels").sparkSession.createDataFrame([("of",), ("los",), ("der",), ("que",)], "name string")
     return S.mentions(d, names).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scratch(df: DataFrame, write, label: str) -> str:
+    path = scratch_path(df.sparkSession, label)
+    write(df, path)
+    return path
+
+
+@query
+def json_scan(spark, sf):
+    # Files with a JSON array of records each.
+    p = V.parts(spark, sf).select("part", "channel", "vds", "package")
+    array = p.groupBy(F.pmod(F.xxhash64("part"), F.lit(8)).alias("b")).agg(F.to_json(F.collect_list(F.struct("part", "channel", "vds", "package"))).alias("j"))
+    path = _scratch(array, lambda df, to: df.write.partitionBy("b").text(to), "json")
+    return readers.json_records(spark, path).select("part", "channel", "vds", F.array_join("package", "|").alias("package"))
+
+
+@query
+def line_scan(spark, sf):
+    lines = V.parts(spark, sf).select(F.concat(F.lit("  "), "part", F.when(F.col("p_partkey") % 2 == 0, "\t\n\n").otherwise(" ")))
+    return readers.line_list(spark, _scratch(lines, lambda df, to: df.write.text(to), "lines"))
+
+
+@query
+def id_scan(spark, sf):
+    p = V.table(spark, sf, "part")
+    key = F.col("p_partkey") % 50
+    text = F.concat(F.lit("see PSMN"), key.cast("string"), F.lit("R0-30YLD, psmn1 and BUK"), (key + 100).cast("string"), F.lit("-40E; PMV or BSC9"))
+    return readers.identifiers(spark, _scratch(p.select(text), lambda df, to: df.write.text(to), "texts"))
+
+
+@query
+def text_readings(spark, sf):
+    d = readers.judged(V.table(spark, sf, "documents")).withColumn("plain", readers.plain_reading(F.col("text")))
+    return d.groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("layout_chars"), F.sum(F.length("plain")).alias("plain_chars"))
+
+
+@query
+def demo_questions(spark, sf):
+    return readers.demo_questions(spark).groupBy("route", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def upsert_last_wins(spark, sf):
+    old = _index(spark, sf).select("id", F.lit(0).alias("version"))
+    new = _index(spark, sf).where("key % 4 = 0").select("id", F.explode(F.array(F.lit(2), F.lit(3), F.lit(1))).alias("version"))
+    return sinks.upsert(old, new, order="version")
+
+
+@query
+def stale_last_total(spark, sf):
+    b = _index(spark, sf).withColumn("total", F.when(F.col("index") == F.col("total") - 1, F.col("total") - 1).otherwise(F.col("total") + 5))
+    return sinks.stale_ids(b).groupBy("document_id").agg(F.min(F.substring_index("id", "#", -1).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def metadata_sizes(spark, sf):
+    d = V.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("l"), F.col("n_chars").alias("n"))
+    return d.select("doc_id", sinks.metadata_bytes("l", "n").cast("long").alias("bytes"))
+
+
+@query
+def json_report(spark, sf):
+    counts = V.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.text(_scratch(counts, lambda df, to: sinks.write_report(df, to, "lang"), "report")).select(F.col("value").alias("report"))
+
+
+def _part_labels(spark, sf):
+    p = V.parts(spark, sf)
+    figure = lambda v, c: F.struct(v.cast("double").alias("value"), c.alias("conditions"))
+    key = F.col("p_partkey")
+    rdson = F.when(key % 7 != 0, figure(key % 90, F.lit("VGS = 10 V; Tj = 25 °C")))
+    return p.select("p_partkey", "part", "channel", F.col("vds").alias("vds_v"), rdson.alias("rdson_mohm"), F.when(key % 3 != 0, figure(key % 40, F.lit(""))).alias("id_a"), F.when(key % 2 == 0, F.col("package")).alias("package"))
+
+
+@query
+def part_questions(spark, sf):
+    q = P.part_questions(_part_labels(spark, sf))
+    return q.select("id", "split", "question", "value", "unit", F.array_join("names", "|").alias("names"))
+
+
+@query
+def question_summary(spark, sf):
+    return P.question_summary(P.part_questions(_part_labels(spark, sf)))
+
+
+@query
+def questions_in_index(spark, sf):
+    q = P.part_questions(_part_labels(spark, sf))
+    held = V.parts(spark, sf).where("p_partkey % 5 < 2").select(F.col("part").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("index"))
+    return P.in_index(q, held).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def metadata_present(spark, sf):
+    p = V.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("part"), F.when(F.col("page_id") % 4 != 0, F.col("html")).alias("text"))
+    return readers.with_metadata(p, "part", "text").select("page_id")
+
+
+@query
+def unreadable_rows(spark, sf):
+    key = F.col("p_partkey")
+    text = F.when(key % 4 == 0, "{broken").when(key % 4 == 1, "").when(key % 4 == 2, '{"vds": 3}').otherwise("no object at all")
+    bad = P.unreadable(V.table(spark, sf, "part").select(key.alias("part"), F.when(key % 8 == 3, "{a: [}").otherwise(text).alias("text")))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def joined_agreement(spark, sf):
+    labels = _part_labels(spark, sf).where("p_partkey % 10 <> 0").withColumn("vds_v", F.when(F.col("p_partkey") % 9 == 0, F.col("vds_v") + 1).otherwise(-F.col("vds_v")))
+    labels = labels.withColumn("id_a", F.when(F.col("id_a").isNotNull(), F.struct(F.col("id_a.value"), F.lit("VGS = 10 V; Tmb = 25 °C").alias("conditions"))))
+    return E.joined_agreement(V.catalogue(spark, sf), labels)
+
+
+def _answer_rows(spark, sf):
+    a = V.answers(spark, sf)
+    return a.select(F.col("qid").alias("id"), "text", "refused"), a.where("qid % 9 <> 0").select(F.col("qid").alias("id"), "value", "holdout", "dimension")
+
+
+@query
+def answers_to_questions(spark, sf):
+    both = E.answered(*_answer_rows(spark, sf)).withColumn("m", G.value_match(F.col("text"), F.col("value"), F.lit("V")))
+    graded = both.withColumn("reason", G.grade(F.col("m.ok"), F.col("m.found"), F.col("refused"), F.col("holdout")))
+    return graded.groupBy("dimension", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def id_subset(spark, sf):
+    answers, _ = _answer_rows(spark, sf)
+    wanted = V.table(spark, sf, "lineitem").where("l_quantity = 7").select(F.col("l_orderkey").alias("id"))
+    return E.subset_by_id(answers, wanted).select("id", "refused")
+
+
+def _cases(spark, sf):
+    li = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("retrieved"))
+    o = V.table(spark, sf, "orders").join(li, F.col("o_orderkey") == F.col("key"))
+    key = F.col("o_orderkey")
+    truth = F.when(key % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_min("retrieved"), F.lit("x")))
+    return E.seen_winners(o.select(
+        "o_orderkey", truth.alias("truth_parts"), F.when(key % 5 == 0, F.array(F.lit("other"))).otherwise(F.col("retrieved")).alias("retrieved"),
+        F.when(key % 7 == 0, F.lit(None)).when(key % 2 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("y"))).alias("pool"),
+        F.when(key % 3 == 0, "correct").otherwise("wrong").alias("outcome"),
+    ))
+
+
+@query
+def winners_seen(spark, sf):
+    return _cases(spark, sf).groupBy("saw_winner", "winner_in_pool").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mechanism_ratios(spark, sf):
+    return E.mechanism(_cases(spark, sf))
+
+
+@query
+def text_grades(spark, sf):
+    p = V.parts(spark, sf)
+    said = F.concat(F.lit("It comes in "), F.when(F.col("p_partkey") % 3 == 0, F.upper(F.get("package", F.lit(1)))).when(F.col("p_partkey") % 3 == 1, F.concat(F.get("package", F.lit(0)), F.lit("X"))).otherwise(F.get("package", F.lit(0))), F.lit("; 5 mΩ."))
+    return p.select("p_partkey", G.text_match(said, F.col("package")).alias("ok"), G.carries_value(said, F.lit(5.02), F.lit("mΩ")).alias("carries"), G.names_part(F.concat(F.col("part"), F.when(F.col("p_partkey") % 2 == 0, "-X").otherwise(".")), F.col("part")).alias("named"))
+
+
+@query
+def rates_with_totals(spark, sf):
+    return E.with_totals(_graded(spark, sf), "dimension", F.count(F.lit(1)).alias("n"), E.rate(F.col("reason") == "match").alias("rate"))
+
+
+@query
+def hallucinated_correct(spark, sf):
+    g = _graded(spark, sf).withColumn("found_text", F.concat(T.number_text(F.col("m.found")), F.lit(" V")))
+    return E.hallucinated_but_correct(g)
+
+
+@query
+def guard_rates(spark, sf):
+    q = _questions(spark, sf).withColumn("named", T.named_parts(T.without_names(F.col("question"), NAMES)))
+    held = T.is_holdout(F.col("part"))
+    return E.guarded_rates(q.select(held.alias("holdout"), G.guard_refuses(F.col("named"), F.when(held, F.array(F.lit("ZZ0"))).otherwise(F.array("part"))).alias("refused")))
+
+
+@query
+def label_coverage(spark, sf):
+    return L.coverage(_part_labels(spark, sf), "channel", "vds_v", "rdson_mohm", "id_a", "package")
+
+
+def _named_labels(spark, sf):
+    p = V.table(spark, sf, "part")
+    size = F.lpad(F.col("p_size").cast("string"), 2, "0")
+    value = F.when(F.col("p_partkey") % 10 == 0, F.col("p_size") * 2).otherwise(F.col("p_size") * 1.05)
+    return p.select(F.concat(F.lit("PSMN0"), size, F.lit("-040K"), F.col("p_partkey").cast("string")).alias("part"), F.when(F.col("p_partkey") % 4 == 0, -40.0).otherwise(F.when(F.col("p_partkey") % 4 == 1, 30.0).otherwise(40.0)).alias("vds_v"), F.struct(value.cast("double").alias("value")).alias("rdson_mohm"))
+
+
+@query
+def name_check(spark, sf):
+    return L.name_check_counts(_named_labels(spark, sf))[0]
+
+
+@query
+def name_disagreements(spark, sf):
+    return L.name_check_counts(_named_labels(spark, sf))[1]
+
+
+@query
+def reference_current(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    heat = F.when(F.col("l_linestatus") == "O", "25").otherwise("100")
+    limit = F.when(F.col("l_returnflag") == "R", "; t ≤ 10 s").otherwise("")
+    line = F.concat(F.lit("ID   drain current  VGS = 10 V; Tmb = "), heat, F.lit(" °C"), limit, F.lit("   -   -   "), F.col("l_quantity").cast("int").cast("string"), F.lit("   A"))
+    place = ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("int")
+    rows = li.select(F.col("l_orderkey").alias("part"), place.alias("pos"), line.alias("line"))
+    return L.measurements(L.reference_current(L.table_rows(rows, "ID"))).select("part", "pos", "value")
+
+
+@query
+def first_seen_chunks(spark, sf):
+    dense = _dense(spark, sf)
+    return S.first_seen([dense.where("rank % 2 = 0"), dense.where("rank <= 5")])
+
+
+@query
+def vocabulary_union(spark, sf):
+    p = V.parts(spark, sf)
+    names = lambda i: p.select(F.get("package", F.lit(i)).alias("name"))
+    return E.all_names(names(0), names(1).union(names(0)))
+
+
+@query
+def parse_datasheet(spark, sf):
+    p = V.table(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    sheet = F.concat(
+        F.when(key % 3 == 0, "P").otherwise("N"), F.lit("-channel MOSFET\n"), F.when(key % 10 != 0, "Quick reference data\n").otherwise("Data\n"),
+        F.lit("VDS    drain-source voltage    25 °C ≤ Tj ≤ 175 °C    -    -    "), size, F.lit("    V\nID     drain current    VGS = 10 V; Tmb = 100 °C    -    -    25    A\n       VGS = 10 V; Tmb = 25 °C    -    -    "), size,
+        F.lit("    A\nStatic characteristics\nRDSon  drain-source on-state resistance  VGS = 4.5 V; ID = 5 A; Tj = 25 °C   -   7   8.49   mΩ\n       VGS = 10 V; ID = 5 A; Tj = 25 °C   -   5   "),
+        F.when(key % 2 == 0, F.concat(size, F.lit("   mΩ"))).otherwise(F.concat(F.lit("0.5   Ω"))), F.lit("\nPackage outline\nOrdering information\nPX"), key.cast("string"), F.lit("    LFPAK56;   plastic\n       Power-SO8  SOT669\n"),
+    )
+    r = L.parse(p.select(F.concat(F.lit("PX"), key.cast("string")).alias("part"), sheet.alias("text")))
+    return r.select("part", "channel", "vds_v", F.col("rdson_mohm.value").alias("rdson"), F.col("rdson_mohm.unit").alias("unit"), F.col("id_a.value").alias("id"), F.size("rdson_all").cast("long").alias("n_rdson"), F.size("id_all").cast("long").alias("n_id"), F.array_join("package", "|").alias("package"))
+
+
+@query
+def anchored_chunks(spark, sf):
+    c = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    a = R.anchored(c)
+    return a.select("document_id", F.length(T.visible(F.col("text"))).cast("long").alias("visible"), F.sha2(T.preview(F.col("text"), 100), 256).alias("preview"), T.source_url(F.col("document_id"), "https://docs/").alias("url"))
+
+
+@query
+def plan_check(spark, sf):
+    e = V.table(spark, sf, "events")
+    key = F.col("event_id")
+    plan = lambda body: F.concat(F.lit('{"route":"catalog",'), body, F.lit("}"))
+    text = (
+        F.when(key % 5 == 0, plan(F.concat(F.lit('"op":"min","field":"rdson","filters":{"vds":-'), (key % 100).cast("string"), F.lit(',"conditions":"VGS = 10 V; Tj = 25 °C"}'))))
+        .when(key % 5 == 1, plan(F.lit('"op":"count","filters":{"package":" brand#11","channel":"N"}')))
+        .when(key % 5 == 2, plan(F.lit('"op":"max","field":"id","filters":{"conditions":"VGS = 7 V"}')))
+        .when(key % 5 == 3, plan(F.lit('"op":"count","filters":{"package":"nothing"}'))).otherwise('{"route":"lookup"}')
+    )
+    return P.check_plans(e.select(key.alias("id"), text.alias("text")), C.vocabulary(V.catalogue(spark, sf)))
+
+
+@query
+def set_answers(spark, sf):
+    o = V.table(spark, sf, "orders")
+    key, n = F.col("o_orderkey"), F.floor("o_totalprice").cast("int") % 5000
+    count = F.concat(F.lit("There are "), n.cast("string"), F.when(key % 3 == 0, ".5 parts").otherwise(" parts"))
+    value = F.concat(F.lit("It is "), F.when(key % 2 == 0, "-").otherwise(""), n.cast("string"), F.lit(" V"))
+    return o.select("o_orderkey", G.states_count(count, n).alias("count_right"), G.signed_value_match(value, n.cast("double"), F.lit("V")).alias("value_right"))
+
+
+@query
+def hedges(spark, sf):
+    o = V.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    h = G.hedged(F.when(key % 3 == 0, "document").otherwise("catalog"), F.when(key % 2 == 0, "ambiguous-conditions").otherwise("extremum"), F.when(key % 5 != 0, F.lit("Tj = 25 °C")))
+    return o.groupBy(h.alias("hedged")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def baseline_outcomes(spark, sf):
+    a = V.answers(spark, sf)
+    outcome = G.baseline_outcome(F.col("text"), F.col("qid") % 19 == 0, F.col("qid") % 4 == 0)
+    return a.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def decoded_responses(spark, sf):
+    e = V.table(spark, sf, "events")
+    key = F.col("event_id")
+    raw = F.when(key % 4 == 0, '{"response": " a "}').when(key % 4 == 1, '{"choices": [{"message": {"content": "b"}}]}').when(key % 4 == 2, '{"response": ""}').otherwise("cut {")
+    return e.groupBy(models.decode_response(raw).alias("said")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _engine(spark, sf):
+    """An engine over the catalogue with stub models: a text's vector is its first number, the generator reads prompts."""
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [[1.0, float(next(iter(re.findall(r"PN(\d+)", t)), 0)) % 97] for t in texts]
+
+    def generator(prompt: str) -> str:
+        if prompt.startswith("Read"):
+            return '{"channel": "N", "vds": ' + re.search(r"rated (\d+) V", prompt).group(1) + "}"
+        asked = re.findall(r"PN\d+-\d+", prompt.rsplit("Question: ", 1)[1])
+        found = re.search(rf"\[{asked[-1]}\]\n.*\nrated (\d+) V", prompt) if asked else None
+        return f"{found.group(1)} V" if found else T.REFUSAL
+
+    p = V.parts(spark, sf).where("vds is not null")
+    texts = p.select(F.concat_ws("#", "part", F.lit(0)).alias("chunk_id"), F.col("part").alias("document_id"), F.concat("part", F.lit("\nrated "), T.number_text(F.abs("vds")), F.lit(" V")).alias("text"))
+    return Engine(p.select("part", "channel", "vds", F.array().cast(readers.FIGURES).alias("rdson"), F.array().cast(readers.FIGURES).alias("id"), "package"), models.embed(texts, embedder, "text", "vec"), embedder, generator)
+
+
+@query
+def engine_answers(spark, sf):
+    p = V.parts(spark, sf).where("p_partkey % 20 = 0")
+    q = p.select(F.col("p_partkey").cast("string").alias("qid"), F.concat(F.lit("What is the rating of "), "part", F.lit("?")).alias("question"))
+    return _engine(spark, sf).answer(q).select("qid", "answer", "refused")
+
+
+@query
+def engine_extract(spark, sf):
+    engine = _engine(spark, sf)
+    found = P.parse_attributes(engine.extract(engine.catalogue.select("part")))
+    return found.select("part", "readable", "channel", "vds")

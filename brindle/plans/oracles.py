@@ -210,3 +210,87 @@ ORACLES: dict[str, str] = {
     "name_mentions": """SELECT name, count(*) AS n FROM documents, (VALUES ('of'), ('los'), ('der'), ('que')) AS v(name)
         WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || name || '($|[^A-Za-z0-9])') GROUP BY name""",
 }
+
+_LABELS = f"""{_QUESTIONS}, lab AS (SELECT p_partkey, part, vds, channel, p_brand, p_type, h % 100 < 28 AS held FROM cat
+        JOIN (SELECT part, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(part, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM qs) USING (part)),
+    pq AS (
+        SELECT part, held, 'vds' AS dimension, 'What is the drain-source voltage rating of ' || part || '?' AS question, vds AS value, 'V' AS unit, CAST(NULL AS VARCHAR) AS names FROM lab WHERE vds IS NOT NULL
+        UNION ALL SELECT part, held, 'rdson', 'What is the on-state resistance of ' || part || ' at VGS = 10 V; Tj = 25 °C?', CAST(p_partkey % 90 AS DOUBLE), 'mΩ', NULL FROM lab WHERE p_partkey % 7 <> 0
+        UNION ALL SELECT part, held, 'id', 'What is the drain current of ' || part || '?', CAST(p_partkey % 40 AS DOUBLE), 'A', NULL FROM lab WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT part, held, 'package', 'What is the package of ' || part || '?', NULL, NULL, p_brand || '|' || p_type FROM lab WHERE p_partkey % 2 = 0)"""
+
+_CASES = """
+    l AS (SELECT l_orderkey, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS got FROM lineitem GROUP BY 1),
+    c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 5 <> 0 END AS saw_winner,
+                 CASE WHEN o_orderkey % 6 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS winner_in_pool, o_orderkey % 3 <> 0 AS wrong
+          FROM orders JOIN l ON o_orderkey = l_orderkey)"""
+
+
+def _share(passes: str, among: str) -> str:
+    return f"coalesce(round(avg(CASE WHEN {among} THEN CASE WHEN {passes} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END), 4), 0.0::DOUBLE)"
+
+
+ORACLES |= {
+    "json_scan": f"WITH {CATALOGUE} SELECT part, channel, vds, p_brand || '|' || p_type AS package FROM cat",
+    "line_scan": f"WITH {CATALOGUE} SELECT part AS id FROM cat",
+    "id_scan": "SELECT DISTINCT unnest(['PSMN' || p_partkey % 50 || 'R0-30YLD', 'BUK' || (p_partkey % 50 + 100) || '-40E']) AS part FROM part",
+    "text_readings": """WITH d AS (SELECT lang, text, regexp_replace(text, '^[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+|[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+$', '', 'g') AS trimmed FROM documents)
+        SELECT lang, CASE WHEN text IS NULL THEN 'no text' WHEN length(trimmed) < 500 THEN 'too short' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS layout_chars,
+               CAST(sum(length(regexp_replace(trimmed, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS BIGINT) AS plain_chars FROM d GROUP BY 1, 2""",
+    "demo_questions": "SELECT * FROM (VALUES ('set', 'indexed', CAST(2 AS BIGINT)), ('document', 'indexed', 2), ('document', 'holdout', 1)) AS t(route, split, n)",
+    "upsert_last_wins": f"WITH {_INDEX} SELECT document_id || '#' || index AS id, CASE WHEN key % 4 = 0 THEN 3 ELSE 0 END AS version FROM idx",
+    "stale_last_total": f"WITH {_INDEX} SELECT DISTINCT document_id, CAST(total - 1 AS INTEGER) AS first, CAST(80 AS BIGINT) AS n FROM idx",
+    "metadata_sizes": """SELECT doc_id, CAST(strlen('{' || concat_ws(',', '"l":"' || lang || '"', '"n":' || n_chars) || '}') AS BIGINT) AS bytes FROM documents""",
+    "json_report": """SELECT '[' || string_agg('{"lang":"' || lang || '","n":' || n || '}', ',' ORDER BY lang) || ']' AS report FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""",
+    "part_questions": f"WITH {CATALOGUE}, {_LABELS} SELECT part || ':' || dimension AS id, CASE WHEN held THEN 'holdout' ELSE 'indexed' END AS split, question, value, unit, names FROM pq",
+    "question_summary": f"WITH {CATALOGUE}, {_LABELS} SELECT dimension, CASE WHEN held THEN 'holdout' ELSE 'indexed' END AS split, count(*) AS questions, count(DISTINCT part) AS parts FROM pq GROUP BY 1, 2",
+    "questions_in_index": f"WITH {CATALOGUE}, {_LABELS} SELECT dimension, count(*) AS n FROM pq JOIN cat USING (part) WHERE p_partkey % 5 < 2 GROUP BY dimension",
+    "metadata_present": "SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 AND url IS NOT NULL AND html IS NOT NULL",
+    "unreadable_rows": "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'no object' WHEN p_partkey % 4 = 1 THEN 'empty' WHEN p_partkey % 8 = 3 THEN 'broken object' ELSE 'no object' END AS reason, count(*) AS n FROM part WHERE p_partkey % 4 <> 2 GROUP BY 1",
+    "joined_agreement": f"""WITH {CATALOGUE},
+        lab AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN vds + 1 ELSE -vds END AS lv FROM cat WHERE p_partkey % 10 <> 0),
+        has AS (SELECT part, bool_or(cls = 'Tj = 25 °C; VGS = 10 V') AS c, list(v) FILTER (cls = 'Tj = 25 °C; VGS = 10 V') AS vs FROM rd GROUP BY part),
+        ids AS (SELECT part, list(v) FILTER (cls = 'Tmb = 25 °C; VGS = 10 V') AS vs FROM idm GROUP BY part),
+        j AS (SELECT lab.*, coalesce(has.c, false) AS c,
+                     coalesce(len(list_filter(has.vs, lambda v: abs(v - p_partkey % 90) <= greatest(p_partkey % 90 * 0.01, 1e-9))) > 0, false) AS rv,
+                     coalesce(len(list_filter(ids.vs, lambda v: abs(v - p_partkey % 40) <= greatest(p_partkey % 40 * 0.01, 1e-9))) > 0, false) AS iv
+              FROM lab LEFT JOIN has USING (part) LEFT JOIN ids USING (part)),
+        f AS (SELECT 'channel' AS field, true AS agrees FROM j WHERE channel IS NOT NULL UNION ALL SELECT 'vds', abs(vds) = abs(lv) FROM j WHERE lv IS NOT NULL
+              UNION ALL SELECT 'rdson_class', c FROM j WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'rdson', rv FROM j WHERE p_partkey % 7 <> 0
+              UNION ALL SELECT 'id', iv FROM j WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'package', true FROM j WHERE p_partkey % 2 = 0)
+        SELECT field, count(*) AS n, round(avg(CASE WHEN agrees THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS rate FROM f GROUP BY field""",
+    "answers_to_questions": f"WITH {_ANSWERS} SELECT dimension, reason, count(*) AS n FROM g WHERE qid % 9 <> 0 GROUP BY 1, 2",
+    "id_subset": "SELECT o_orderkey AS id, o_orderkey % 13 = 0 AS refused FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 7)",
+    "winners_seen": f"WITH {_CASES} SELECT saw_winner, winner_in_pool, count(*) AS n FROM c GROUP BY 1, 2",
+    "mechanism_ratios": f"""WITH {_CASES} SELECT {_share('saw_winner', 'saw_winner IS NOT NULL')} AS winner_retrieved, {_share('NOT saw_winner', 'wrong AND saw_winner IS NOT NULL')} AS wrong_without_seeing_winner,
+        {_share('NOT winner_in_pool', 'wrong AND winner_in_pool IS NOT NULL')} AS wrong_winner_not_in_pool FROM c""",
+    "text_grades": "SELECT p_partkey, p_partkey % 3 <> 1 AS ok, true AS carries, p_partkey % 2 = 1 AS named FROM part",
+    "rates_with_totals": f"WITH {_ANSWERS} SELECT dimension, count(*) AS n, round(avg(CASE WHEN reason = 'match' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS rate FROM g GROUP BY GROUPING SETS ((dimension), ())",
+    "hallucinated_correct": f"""WITH {_ANSWERS} SELECT count(*) AS n, coalesce(round(avg(CASE WHEN coalesce(starts_with(CAST(CAST(found AS BIGINT) AS VARCHAR) || ' V', CAST(CAST(value AS BIGINT) AS VARCHAR)), false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4), 0.0::DOUBLE) AS share
+        FROM g WHERE reason = 'hallucinated'""",
+    "guard_rates": f"""WITH {CATALOGUE}, {_LABELS} SELECT held AS holdout, count(*) AS n, round(avg(CASE WHEN held AND p_partkey % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS refused FROM lab GROUP BY held""",
+    "label_coverage": f"WITH {CATALOGUE} SELECT count(*) AS parts, count(channel) AS channel, count(vds) AS vds_v, count(*) FILTER (p_partkey % 7 <> 0) AS rdson_mohm, count(*) FILTER (p_partkey % 3 <> 0) AS id_a, count(*) FILTER (p_partkey % 2 = 0) AS package FROM cat",
+    "name_check": "SELECT count(*) AS decoded, count(*) FILTER (p_partkey % 4 <> 1) AS vds_agrees, count(*) FILTER (p_partkey % 10 <> 0) AS rdson_agrees FROM part",
+    "name_disagreements": """SELECT 'PSMN0' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-040K' || p_partkey AS part, p_partkey % 4 <> 1 AS vds_agrees, p_partkey % 10 <> 0 AS rdson_agrees
+        FROM part WHERE p_partkey % 4 = 1 OR p_partkey % 10 = 0 ORDER BY part LIMIT 12""",
+    "reference_current": """WITH r AS (SELECT l_orderkey AS part, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS INTEGER) AS pos, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS value, l_linestatus = 'O' AS warm, l_returnflag <> 'R' AS always FROM lineitem)
+        SELECT part, pos, value FROM r QUALIFY row_number() OVER (PARTITION BY part ORDER BY (warm AND always) DESC, warm DESC, pos) = 1""",
+    "first_seen_chunks": f"""WITH {_RAG}, s AS (SELECT qid, chunk_id, 0 AS s, rank AS r FROM dense WHERE rank % 2 = 0 UNION ALL SELECT qid, chunk_id, 1, rank FROM dense WHERE rank <= 5),
+        f AS (SELECT qid, chunk_id, min(s * 1000 + r) AS place FROM s GROUP BY 1, 2) SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM f""",
+    "vocabulary_union": "SELECT p_brand AS name FROM part UNION SELECT p_type FROM part",
+    "parse_datasheet": """SELECT 'PX' || p_partkey AS part, CASE WHEN p_partkey % 3 = 0 THEN 'P' ELSE 'N' END AS channel, CAST(p_size AS DOUBLE) AS vds_v, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 500.0::DOUBLE END AS rdson, 'mΩ' AS unit,
+        CAST(p_size AS DOUBLE) AS id, CAST(2 AS BIGINT) AS n_rdson, CAST(2 AS BIGINT) AS n_id, 'LFPAK56|Power-SO8|SOT669' AS package FROM part WHERE p_partkey % 10 <> 0""",
+    "anchored_chunks": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(doc_id AS VARCHAR) || chr(10) || coalesce(text, '') AS t FROM documents)
+        SELECT document_id, CAST(least(length(t), 1800) AS BIGINT) AS visible, sha256(substr(regexp_replace(t, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'), 1, 100)) AS preview, 'https://docs/' || document_id AS url FROM a""",
+    "plan_check": f"""WITH {CATALOGUE}, e AS (SELECT event_id AS id, event_id % 5 AS m, CAST(event_id % 100 AS DOUBLE) AS v FROM events),
+        k AS (SELECT *, m = 0 AND v IN (SELECT abs(vds) FROM cat WHERE vds IS NOT NULL) AS rated, (SELECT min(p_brand) FROM cat WHERE lower(p_brand) = 'brand#11') AS brand FROM e)
+        SELECT id, CASE WHEN m = 4 THEN 'lookup' WHEN rated OR m = 2 OR (m = 1 AND brand IS NOT NULL) THEN 'catalog' ELSE 'unsupported' END AS route,
+               CASE WHEN rated THEN 'min' WHEN m = 1 AND brand IS NOT NULL THEN 'count' WHEN m = 2 THEN 'max' END AS op, CASE WHEN rated THEN 'rdson' WHEN m = 2 THEN 'id' END AS field,
+               CASE WHEN m = 1 AND brand IS NOT NULL THEN 'N' END AS channel, CASE WHEN rated THEN v END AS vds, CASE WHEN m = 1 THEN brand END AS package, CASE WHEN rated THEN 'Tj = 25 °C; VGS = 10 V' END AS conditions FROM k""",
+    "set_answers": """SELECT o_orderkey, o_orderkey % 3 <> 0 AS count_right, o_orderkey % 2 = 1 OR CAST(floor(o_totalprice) AS BIGINT) % 5000 = 0 AS value_right FROM orders""",
+    "hedges": "SELECT o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS hedged, count(*) AS n FROM orders GROUP BY 1",
+    "baseline_outcomes": "SELECT CASE WHEN o_orderkey % 19 = 0 THEN 'guard-refused' WHEN o_orderkey % 13 = 0 THEN 'model-refused' WHEN o_orderkey % 4 = 0 THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
+    "decoded_responses": "SELECT CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '__UNREADABLE_RESPONSE__' END AS said, count(*) AS n FROM events GROUP BY 1",
+    "engine_answers": f"""WITH {CATALOGUE} SELECT CAST(p_partkey AS VARCHAR) AS qid, CASE WHEN vds IS NULL THEN 'NOT_IN_CORPUS' ELSE CAST(CAST(abs(vds) AS BIGINT) AS VARCHAR) || ' V' END AS answer, vds IS NULL AS refused FROM cat WHERE p_partkey % 20 = 0""",
+    "engine_extract": f"WITH {CATALOGUE} SELECT part, true AS readable, 'N' AS channel, abs(vds) AS vds FROM cat WHERE vds IS NOT NULL",
+}

@@ -27,14 +27,14 @@ def ask(spark, rows, **spec):
 
 
 def test_extrema(spark):
-    rows = [part("LOW", rdson=((1.0, "VGS = 4.5 V; Tj = 25 °C"),)), part("WINNER", rdson=((5.0, A10),)), part("C", rdson=((9.0, "Tj = 25 °C; VGS = 10 V"),))]
-    assert ask(spark, rows, op="min", field="rdson", conditions=A10) == [("extremum", "Tj = 25 °C; VGS = 10 V", 5.0, ["WINNER"], 2)]
+    rows = [part("LOW", rdson=((1.0, "VGS = 4.5 V; Tj = 25 °C"),)), part("BEST", rdson=((5.0, A10),)), part("C", rdson=((9.0, "Tj = 25 °C; VGS = 10 V"),))]
+    assert ask(spark, rows, op="min", field="rdson", conditions=A10) == [("extremum", "Tj = 25 °C; VGS = 10 V", 5.0, ["BEST"], 2)]
     assert [x[0] for x in ask(spark, rows, op="min", field="rdson")] == ["ambiguous-conditions"] * 2
     both = [part("X", rdson=((2.4, "VGS = 10 V"), (3.6, "VGS = 4.5 V"))), part("Y", rdson=((5.0, "VGS = 10 V"), (6.0, "VGS = 4.5 V")))]
     assert {x[3][0] for x in ask(spark, both, op="min", field="rdson")} == {"X"}
     assert ask(spark, [part("A", rdson=((4.0, A10),)), part("B", rdson=((4.0, A10),))], op="min", field="rdson")[0][3] == ["A", "B"]
-    p = [part("P-SMALL", "P", -30.0, id_=((-2.4, "Tamb = 25 °C"),)), part("P-BIG", "P", -30.0, id_=((-8.8, "Tamb = 25 °C"),))]
-    assert ask(spark, p, op="max", field="id")[0][2:4] == (8.8, ["P-BIG"])
+    p = [part("WEAK", "P", -30.0, id_=((-2.4, "Tamb = 25 °C"),)), part("STRONG", "P", -30.0, id_=((-8.8, "Tamb = 25 °C"),))]
+    assert ask(spark, p, op="max", field="id")[0][2:4] == (8.8, ["STRONG"])
     assert ask(spark, rows, op="max", field="rdson", vds=1.0) == [("empty", None, None, None, 0)]
 
 
@@ -111,8 +111,8 @@ def test_chunks(spark, one):
     assert cut("short") == ["short"] and cut("") == []
     blocks = cut("\n\n".join(chr(97 + i) * 100 + "\n" + chr(97 + i) * 99 for i in range(8)))
     assert all(a.split("\n")[-1] in b for a, b in zip(blocks, blocks[1:], strict=False))
-    rows = R.chunk(spark.createDataFrame([("PART-1", "short text")], "id string, text string")).collect()
-    assert [(r.id, r.total) for r in rows] == [("PART-1#0", 1)]
+    rows = R.chunk(spark.createDataFrame([("DOC-7", "short text")], "id string, text string")).collect()
+    assert [(r.id, r.total) for r in rows] == [("DOC-7#0", 1)]
 
 
 def test_prepare(spark):

@@ -102,13 +102,17 @@ def spread_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: st
     return salted.join(keys.select(*on, F.explode(salts).alias("_salt")), [*on, "_salt"], "left_semi").select(*rows.columns)
 
 
+#: Rows of a key that one task takes in any case.
+HOT_FLOOR = 4096
+
+
 def spread_join(rows: DataFrame, unique: DataFrame, on: list[str], total: int) -> DataFrame:
     """Inner join with a table that holds few rows of a key; rows of hot keys are dealt over many tasks.
 
-    total: at least the number of rows. That bounds the hot keys, which are broadcast: 2,000 at most, whose rows of
+    total: at least the number of rows; a key is hot from a part of it on, and no less than HOT_FLOOR rows. That bounds the hot keys, which are broadcast: 2,000 at most, whose rows of
     the other table stand once a salt.
     """
-    hot = F.broadcast(Written(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total / HOT_PART).select(*on, F.lit(True).alias("_hot")), "hot-keys").df)
+    hot = F.broadcast(Written(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(total / HOT_PART, HOT_FLOOR)).select(*on, F.lit(True).alias("_hot")), "hot-keys").df)
     dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = rows.join(hot, on, "left").withColumn("_salt", dealt).drop("_hot")

@@ -128,7 +128,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame, compared: int) -> tuple
     return Written(kept, "buckets").df, largest or 0, int(pairs or 0)
 
 
-def _pairs(members: DataFrame, compared: int, width: int) -> DataFrame:
+def _pairs(members: DataFrame, bits: DataFrame | None, compared: int, width: int) -> DataFrame:
     """Pairs of a bucket's next texts with the later ones, where labels differ and sizes allow the similarity.
 
     The order in a bucket: those with the least share of shingles of their own come first. Two texts have no more shingles
@@ -136,12 +136,16 @@ def _pairs(members: DataFrame, compared: int, width: int) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("alone", "key"))
     heads = members.withColumn("_rank", rank).where(F.col("_rank") <= compared + width).where(F.col("_rank") > compared)
-    heads = heads.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "n_shared", "alone", "bits", "label")])
-    met = spread_join(members, heads, ["bucket"], members.count())
+    heads = heads.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("key", "n_shingles", "n_shared", "alone", "label")])
+    near, total = F.lit(True), members.count()
+    if bits is not None:
+        # Bits join the texts only here, so that they travel once a round.
+        members, heads = members.join(bits, "key"), heads.join(bits.select(F.col("key").alias("a_key"), F.col("bits").alias("a_bits")), "a_key")
+        apart = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("a_bits", F.lit(i)))) for i in range(BITS // 64)]
+        near = sum(apart[1:], apart[0]) <= FAR_BITS
+    met = spread_join(members, heads, ["bucket"], total)
     later = (F.col("alone") > F.col("a_alone")) | ((F.col("alone") == F.col("a_alone")) & (F.col("key") > F.col("a_key")))
     able = 9 * F.least("n_shared", "a_n_shared") >= 4 * (F.col("n_shingles") + F.col("a_n_shingles"))
-    apart = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("a_bits", F.lit(i)))) for i in range(BITS // 64)]
-    near = F.col("bits").isNull() | (sum(apart[1:], apart[0]) <= FAR_BITS)
     return met.where(later & (F.col("label") != F.col("a_label")) & able & near).select("a_key", "a_label", F.col("key").alias("b_key"), F.col("label").alias("b_label")).distinct()
 
 
@@ -161,11 +165,11 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with their bits, n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
+    """Members with n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
     there = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
     own = there.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("_own"))
     n = F.coalesce("_own", F.lit(0))
-    known = members.drop("n_shared", "alone", "bits").join(sets.select("key", "bits"), "key").join(own, "key", "left")
+    known = members.drop("n_shared", "alone").join(own, "key", "left")
     return known.withColumns({"n_shared": F.col("n_shingles") - n, "alone": n / F.col("n_shingles")}).select(*members.columns)
 
 
@@ -183,7 +187,7 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
     prints = distinct.select("fp").distinct()
     found = connected_components(ball_links(prints, radius)).select(F.col("node").alias("fp"), F.col("label").alias("_least"))
     labels = Written(prints.join(found, "fp", "left").select("fp", F.coalesce("_least", "fp").alias("label")), "near-labels").df
-    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"), F.lit(None).cast("array<long>").alias("bits"))
+    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"))
     n_members, rounds, compared, width, sets = distinct.count() * BANDS, 0, 0, 1, None
     while True:
         members, largest, remaining = _open_buckets(members, labels, compared)
@@ -197,7 +201,7 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
             width = largest
         else:
             width *= WIDEN
-        pairs = Written(_pairs(members, compared, width), "pairs")
+        pairs = Written(_pairs(members, sets.select("key", "bits") if rounds else None, compared, width), "pairs")
         likely = Written(_likely(pairs.df, distinct.select("key", "signature")), "likely-pairs") if not rounds else pairs
         members, n = members.drop("label"), likely.df.count()
         if n:

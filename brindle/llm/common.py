@@ -85,6 +85,35 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Bits of a bitmap of hashed keys, and bytes of the pieces it is broadcast in: 8 MB, however many keys there are.
+SIEVE_BITS, PIECE = 1 << 26, 256
+_MAP_BITS, _MAP_BYTES = 32_768, 4_096
+
+
+def marked(rows: DataFrame, on: str, keys: DataFrame, mark: str) -> DataFrame:
+    """Rows with a column that is true where the column on may be among the keys: where it is, and by chance elsewhere.
+
+    keys: one column, repeats don't matter. Hashed keys set bits of a bitmap of a fixed size, which is broadcast. A false mark is
+    certain. Of n keys other rows are marked with a probability of n / SIEVE_BITS at most; exact joins settle what is marked.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    set_bits = keys.select(place(F.col(keys.columns[0])).alias("_place"))
+    maps = set_bits.groupBy(F.shiftright("_place", 15).alias("_map")).agg(F.bitmap_construct_agg(F.col("_place") % _MAP_BITS).alias("_bits"))
+    n = _MAP_BYTES // PIECE
+    cut = maps.select("_map", "_bits", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    pieces = cut.select((F.col("_map") * n + F.col("_i")).alias("_piece"), F.substring("_bits", F.col("_i") * PIECE + 1, F.lit(PIECE)).alias("_bits"))
+    placed = rows.withColumn("_place", place(F.col(on)))
+    met = placed.withColumn("_piece", F.shiftright("_place", (8 * PIECE).bit_length() - 1)).join(F.broadcast(pieces), "_piece", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_place", 3) % PIECE + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_place") % 8 + 1).cast("int"))
+    return met.select(*[f"`{c}`" for c in rows.columns], F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)).alias(mark))
+
+
+def sieved(rows: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """Rows whose column on may be among the keys, so that most rows which an exact join would drop don't travel to it."""
+    return marked(rows, on, keys, "_may").where("_may").drop("_may")
+
+
 #: A key with more than this part of all rows is hot, so there are at most so many hot keys; their rows go to so many tasks.
 HOT_PART, SALTS = 2_000, 64
 

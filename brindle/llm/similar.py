@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brindle.llm.common import Written, spread_join, spread_semi_join
+from brindle.llm.common import Written, sieved, spread_join, spread_semi_join
 from brindle.llm.components import connected_components
 from brindle.llm.simhash import SEED, SLICE, ball_links, fingerprint
 
@@ -117,14 +117,13 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return Written(labels.join(merged, "label", "left").select("fp", F.coalesce("_least", "label").alias("label")), "near-labels").df
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame, compared: int) -> tuple[DataFrame, int, int]:
-    """Members, with labels, of the buckets that still hold uncompared texts of different labels; the largest bucket's size; their pairs of different labels."""
-    labelled = members.join(labels, "fp")
+def _open_buckets(labelled: DataFrame, compared: int) -> tuple[DataFrame, int, int]:
+    """Labelled members of the buckets that still hold uncompared texts of different labels; the largest bucket's size; their pairs of different labels."""
     alike = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
     sizes = Written(sizes.where((F.col("kinds") > 1) & (F.col("n") > compared + 1)).select("bucket", "n", ((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")), "bucket-sizes").df
     total, largest, pairs = sizes.agg(F.sum("n"), F.max("n"), F.sum("pairs")).first()
-    kept = spread_semi_join(labelled.select(*members.columns, "label"), sizes, ["bucket"], "n", total or 0)
+    kept = spread_semi_join(sieved(labelled, "bucket", sizes.select("bucket")), sizes, ["bucket"], "n", total or 0)
     return Written(kept, "buckets").df, largest or 0, int(pairs or 0)
 
 
@@ -166,7 +165,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Members with n_shared, the shingles that another text of open buckets has too, and alone, the share of the rest."""
-    there = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
+    there = sieved(sets, "key", members.select("key")).join(members.select("key").distinct(), "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
     own = there.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("_own"))
     n = F.coalesce("_own", F.lit(0))
     known = members.drop("n_shared", "alone").join(own, "key", "left")
@@ -187,14 +186,15 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
     prints = distinct.select("fp").distinct()
     found = connected_components(ball_links(prints, radius)).select(F.col("node").alias("fp"), F.col("label").alias("_least"))
     labels = Written(prints.join(found, "fp", "left").select("fp", F.coalesce("_least", "fp").alias("label")), "near-labels").df
-    members = distinct.select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"))
+    # Labels join the texts before they are dealt out to their bands.
+    members = distinct.join(labels, "fp").select(F.explode("bands").alias("bucket"), "key", "fp", "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("alone"), "label")
     n_members, rounds, compared, width, sets = distinct.count() * BANDS, 0, 0, 1, None
     while True:
-        members, largest, remaining = _open_buckets(members, labels, compared)
+        members, largest, remaining = _open_buckets(members, compared)
         if not largest:
             return labels
         if sets is None:
-            sets = Written(_sets(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
+            sets = Written(_sets(sieved(texts, "key", members.select("key")).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])), "shingle-sets").df
         elif rounds == 1:
             members = Written(_shared(members, sets), "buckets").df
         elif rounds > 2 and remaining <= PAIRS_A_MEMBER * n_members:
@@ -203,11 +203,12 @@ def groups(sketched: DataFrame, texts: DataFrame, radius: int = 2) -> DataFrame:
             width *= WIDEN
         pairs = Written(_pairs(members, sets.select("key", "bits") if rounds else None, compared, width), "pairs")
         likely = Written(_likely(pairs.df, distinct.select("key", "signature")), "likely-pairs") if not rounds else pairs
-        members, n = members.drop("label"), likely.df.count()
+        n = likely.df.count()
         if n:
-            side = lambda x: sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_shingles"))
+            side = lambda x: sieved(sets, "key", likely.df.select(f"{x}_key")).select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_shingles"))  # noqa: E731, B023
             whole = spread_join(spread_join(likely.df, side("a"), ["a_key"], n), side("b"), ["b_key"], n).where(similar(F.col("a_shingles"), F.col("b_shingles")))
             labels = _relabelled(labels, whole.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+            members = members.drop("label").join(labels, "fp")
         pairs.drop()
         if likely is not pairs:
             likely.drop()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import line_dedup, mixing, packing, quality, similar
-from brindle.llm.common import Written
+from brindle.llm.common import Written, marked
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Copies share a print: they come down to a row of it before they meet its label.
     of_print = sketched.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("best"))
     best = of_print.join(labels, "fp").groupBy("label").agg(F.min("best").alias("best"))
-    chosen = best.select(F.col("best.key").alias("__near_key"), F.col("best.row").alias("__near_row"))
-    keyed = docs.withColumns({"__near_key": F.xxhash64("text"), "__near_row": row})
-    return keyed.join(chosen, ["__near_key", "__near_row"], "left_semi").dropDuplicates(["__near_key", "__near_row"]).select(*[f"`{c}`" for c in docs.columns])
+    chosen = Written(best.select(F.col("best.key").alias("key"), F.col("best.row").alias("row")), "chosen").df
+    # Rows that surely stay, and stand once, don't travel: only those marked as doubtful meet the chosen ones.
+    counted = sketched.groupBy("key", "row").agg(F.count(F.lit(1)).alias("n")).join(chosen.withColumn("stays", F.lit(True)), ["key", "row"], "left")
+    doubtful = Written(counted.where((F.col("n") > 1) | F.col("stays").isNull()).select("row"), "doubtful").df
+    own = {c: f"_column_{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()], key, row.alias("row"))
+    judged = marked(keyed, "row", doubtful, "doubt")
+    settled = judged.where("doubt").join(chosen, ["key", "row"], "left_semi").dropDuplicates(["key", "row"])
+    columns = [F.col(name).alias(c) for c, name in own.items()]
+    return judged.where("not doubt").select(*columns).unionAll(settled.select(*columns))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from brindle.llm import similar
+from pyspark.sql import functions as F
+from brindle.llm import common, similar
 from tests.llm.test_ops import WORD, reach, simhash_of
 
 
@@ -41,3 +42,27 @@ def test_bands_of_long_sets_in_slices(monkeypatch):
     whole = similar.bands(shingles)
     monkeypatch.setattr(similar, "SLICE", 7 * len(similar._MULTIPLIERS))
     assert similar.bands(shingles) == whole and similar.bands(similar.shingle_set("")) == []
+
+
+def test_sieve_loses_no_key(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.xxhash64("id")).alias("key"), "id", F.lit("x").alias("_extra"))
+    keys = rows.where("id % 10 = 0").select("key")
+    wanted = {r.key for r in keys.collect()}
+    for bits in (common.SIEVE_BITS, 1 << 15):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        found = common.marked(rows, "key", keys, "may").collect()
+        assert len(found) == 20_000 and all(r.may for r in found if r.key in wanted)
+        by_chance = sum(r.may for r in found if r.key not in wanted)
+        assert by_chance < 20_000 * 2.5 * len(wanted) / bits + 20
+        kept = common.sieved(rows, "key", keys)
+        assert kept.columns == rows.columns and kept.count() == sum(r.may for r in found)
+    assert common.sieved(rows, "key", keys.where("false")).count() == 0
+
+
+def test_rows_that_repeat_or_go_alone_are_settled(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words), 1), (1, " ".join(words), 1), (2, " ".join(words), 1), (None, " ".join(words[:59]), 1), (3, "one of its own kind only", 1), (3, "quite another text with that number", 1), (4, None, 1), (5, "", 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, _place int").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in kept.collect()) == [(1, "w0 w1"), (3, "one o"), (3, "quite"), (4, "")]

@@ -64,15 +64,33 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
-def base_counts(text: Column) -> list[Column]:
-    """Columns word_chars, n_symbols, n_dup_lines of a text."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
-    return [
-        (F.length(text) - F.length(F.regexp_replace(text, f"[^{WHITE}]+", ""))).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ]
+def duplicate_lines(text: Column) -> Column:
+    """Lines with a word that equal an earlier line."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+
+def character_counts(words: Column) -> Column:
+    """Struct of word_chars, n_symbols and the classes' counts, from the words put together.
+
+    Each class is taken out in turn, so that the next one searches only what is left: lower-case letters go first,
+    and most of a text with them. No two classes share a character, and the rules' symbols are not letters.
+    """
+    glued = F.array_join(words, "")
+
+    def taken(text: Column, classes: list[str], counts: list[Column], symbols: Column | None) -> Column:
+        if not classes:
+            return F.struct(symbols.alias("n_symbols"), F.array(*counts).alias("classes"))
+        rest = F.regexp_replace(text, classes[0] + "+", "")
+
+        def go_on(left: Column) -> Column:
+            found = F.length(symbols_of(left)) if symbols is None else symbols
+            return taken(left, classes[1:], [*counts, F.length(text) - F.length(left)], found)
+
+        return let(rest, go_on)
+
+    symbols_of = lambda left: F.regexp_replace(left, "[^#*$%&|<>]+", "")
+    return let(glued, lambda g: F.struct(F.length(g).cast("long").alias("word_chars"), taken(g, list(CLASSES.values()), [], None).alias("found")))
 
 
 def divergence(pairs: Column) -> Column:
@@ -83,10 +101,9 @@ def divergence(pairs: Column) -> Column:
     )
 
 
-def class_shares(text: Column, word_chars: Column) -> Column:
-    """Shares of the character classes among the characters of words."""
-    counts = [F.length(F.regexp_replace(text, f"[^{r[1:-1] if r[0] == '[' else r}]+", "")) for r in CLASSES.values()]
-    known = [(c / word_chars).cast("double") for c in counts]
+def class_shares(counts: Column, word_chars: Column) -> Column:
+    """Shares of the character classes (counts: an array of theirs) among the characters of words."""
+    known = [(F.get(counts, F.lit(i)) / word_chars).cast("double") for i in range(len(CLASSES))]
     return F.array(*known, F.greatest(F.lit(0.0), F.lit(1.0) - sum(known[1:], known[0])))
 
 
@@ -100,32 +117,46 @@ def common_words(documents: DataFrame) -> DataFrame:
 
 
 def word_shares(words: Column, common: Column) -> Column:
-    """Shares of the common words among all words, and of the other words."""
+    """Shares of the common words among all words, and of the other words.
+
+    Words no longer than the longest common one stand between two blanks each; what goes when a word and its
+    blanks are removed tells how often it stands there.
+    """
 
-    def shares(held: Column) -> Column:
+    def shares(spaced: Column) -> Column:
+        gone = lambda c: F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))
+        held = F.transform(common, lambda c: (gone(c) / (F.octet_length(c) + 2)).cast("int"))
         n = F.size(words).cast("double")
-        each = F.transform(common, lambda c: F.size(F.filter(held, lambda x: x == c)) / n)
-        return F.concat(each, F.array(1.0 - F.size(held) / n))
+        return let(held, lambda k: F.concat(F.transform(k, lambda x: x / n), F.array(1.0 - F.aggregate(k, F.lit(0), lambda a, x: a + x) / n)))
 
-    return let(F.filter(words, lambda x: F.array_contains(common, x)), shares)
+    longest = F.array_max(F.transform(common, lambda c: F.octet_length(c)))
+    short = let(longest, lambda most: F.filter(words, lambda x: F.octet_length(x) <= most))
+    return let(F.concat(F.lit(" "), F.array_join(short, "  "), F.lit(" ")), shares)
 
 
 def measured(documents: DataFrame) -> DataFrame:
     """Base columns of every document and its two histograms; documents bring _common, their language's words."""
-    text, common = F.coalesce("text", F.lit("")), F.col("_common")
+    common = F.col("_common")
     judged = lambda w: F.struct(
         F.size(w).cast("long").alias("n"),
         repeated_words(w).alias("repeated"),
+        character_counts(w).alias("chars"),
         F.when((F.size(w) >= MIN_WORDS) & common.isNotNull(), word_shares(w, common)).alias("shares"),
     )
-    counted = documents.select("*", let(words_of(text), judged).alias("_words"), *base_counts(text))
-    named = counted.withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.repeated"), "_word_shares": F.col("_words.shares")})
+    counted = documents.select("*", let(words_of(F.col("text")), judged).alias("_words"), duplicate_lines(F.col("text")).alias("n_dup_lines"))
+    named = counted.withColumns({
+        "n_words": F.col("_words.n"),
+        "word_chars": F.col("_words.chars.word_chars"),
+        "n_symbols": F.col("_words.chars.found.n_symbols").cast("long"),
+        "n_repeat_words": F.col("_words.repeated"),
+        "_word_shares": F.col("_words.shares"),
+    })
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = ~failed & (F.col("word_chars") >= MIN_CHARS)
-    return named.drop("_words").withColumns({
+    return named.withColumns({
         "base_failed": failed,
-        "_class_shares": F.when(enough, class_shares(text, F.col("word_chars"))),
-    })
+        "_class_shares": F.when(enough, class_shares(F.col("_words.chars.found.classes"), F.col("word_chars"))),
+    }).drop("_words")
 
 
 def _mean(shares: str, n: int) -> Column:

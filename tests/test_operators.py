@@ -1,6 +1,8 @@
 """Operators on literal cases: catalogue, planner, retrieval, preparation, labels, grading, evaluation, sources and sinks."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,49 @@ def test_chunks(spark, one):
     assert [(r.id, r.total) for r in rows] == [("DOC-7#0", 1)]
 
 
+def plain_pieces(block):
+    """A block over 1,800 characters: lines packed to 1,100, a line over 1,800 in slices of 1,100 ahead of the open piece."""
+    if len(block) <= 1800:
+        return [block]
+    done, piece = [], ""
+    for line in block.split("\n"):
+        if piece and len(piece) + 1 + len(line) > 1100:
+            done, piece = [*done, piece], ""
+        if len(line) > 1800:
+            done += [line[i : i + 1100] for i in range(0, len(line), 1100)]
+        else:
+            piece = f"{piece}\n{line}" if piece else line
+    return [*done, piece] if piece else done
+
+
+def plain_tail(text):
+    lines, size = [], 0
+    for line in reversed(text.split("\n")):
+        if size + len(line) > 180:
+            break
+        lines, size = [line, *lines], size + len(line) + 1
+    return "\n".join(lines)
+
+
+def plain_chunks(text):
+    done, current = [], ""
+    for piece in [p for block in re.split("\n{2,}", text) if block.strip() for p in plain_pieces(block)]:
+        if current and len(current) + 2 + len(piece) > 1100:
+            done, current = [*done, current.strip()], plain_tail(current)
+        current = f"{current}\n\n{piece}" if current else piece
+    return [*done, current.strip()] if current.strip() else done
+
+
+def test_chunks_by_brute_force(spark):
+    """Random texts of words, long lines and long blocks, cut in plain Python."""
+    draw = random.Random(7)
+    line = lambda: "x" * draw.randrange(1801, 4000) if draw.random() < 0.05 else " ".join("w" * draw.randrange(1, 12) for _ in range(draw.randrange(1, 40)))
+    texts = ["\n\n".join("\n".join(line() for _ in range(draw.choice([1, 2, 5, 20]))) for _ in range(draw.randrange(1, 9))) for _ in range(200)]
+    found = R.chunk(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")).collect()
+    got = {(int(r.document_id), r["index"]): r.text for r in found}
+    assert got == {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(plain_chunks(t))}
+
+
 def test_prepare(spark):
     text = "Product data sheet\nVDS   drain-source voltage   Tj = 25 °C   -   30   V\n      Tj = -55 °C   -   27   V\n\n      Tj = 25 °C   -   1   V\nplain prose\n12. Legal information\nnever"
     got = R.prepare(spark.createDataFrame([("a", text)], "id string, text string")).first().text.split("\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import line_dedup, mixing, neighbours, packing, quality, secret_scan, simhash, sstable, suffix_dedup, url_filter
+from brindle.llm import conversation_repair, line_dedup, mixing, neighbours, packing, quality, secret_scan, simhash, sstable, suffix_dedup, token_counts, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by its prefixes' counts, and the code points that fit the limit."""
+    counted = token_counts.count_prefixes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fits")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding, after four rounds of refinement."""
+    return vector_codes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_shards": op2_token_shards,
@@ -76,12 +93,16 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
     "op3_nearest_neighbours": """
         SELECT q.vec_id AS query_id,
                CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY

@@ -28,7 +28,8 @@ CLASSES = (("^[0-9+/_=-]+$", 99.0), ("^[0-9a-fA-F]+$", 3.0), ("^[a-z_=+/-]+$|^[A
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[-_=+/]+$",
-    r"^/?([a-z0-9_-]{1,19}/)+[a-z0-9_-]*$",
+    # Possessive, so that Java's engine loops over the segments instead of calling itself; a segment ends at its slash either way.
+    r"^/?(?:[a-z0-9_-]{1,19}/)++[a-z0-9_-]*$",
 )
 #: Parts of candidates that are no secrets, placeholders and runs: windows that overlap one don't count.
 ALLOWED_PART = r"(?i:example|placeholder|changeme|your[_-]|dummy|sample|test[_-]?key|abcdefghij|0123456789)|(.)\1{7,}"
@@ -65,32 +66,47 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
-def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
+#: Windows that are scanned together.
+SCANNED = 4096
 
 
 def highest_entropy(candidate: Column) -> Column:
-    """Highest Shannon entropy, in bits a character, of a candidate's windows.
+    """Highest Shannon entropy, in bits a character, of a candidate's windows; 0 for a candidate without one.
 
-    The state holds the window's count of every character and the sum of n log2 n over them; a step
-    counts the character that enters and the one that leaves, and changes the sum by those two alone.
+    The state holds the sum of n log2 n over the window's counts n. A step changes it by two counts alone, those of the character that
+    enters and of the one that leaves.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    letters = F.split(candidate, "")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    weight = [n * log2(n) if n > 1 else 0.0 for n in range(WINDOW + 2)]
+    # What one more of a character that the window holds n times changes in the sum, by n.
+    gains = F.array(*[F.lit(weight[n + 1] - weight[n]) for n in range(WINDOW + 1)])
 
     def scan(code: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
-            into, out = F.get(code, i), F.when(i >= WINDOW, F.get(code, i - WINDOW)).otherwise(-1)
-            entered = F.get(state["counts"], into)
-            left = F.when(out >= 0, F.get(state["counts"], out) + (out == into).cast("int"))
-            total = state["sum"] + _weight(entered + 1) - _weight(entered) + F.coalesce(_weight(left - 1) - _weight(left), F.lit(0.0))
-            counts = F.transform(state["counts"], lambda n, k: n + (k == into).cast("int") - (k == out).cast("int"))
+            before = F.slice(code, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)))
+            count = lambda x: F.size(F.filter(before, lambda c: c == x))
+            into, full = F.get(code, i), i >= WINDOW
+            out = F.when(full, F.get(code, i - WINDOW)).otherwise("")
+            left = F.when(full, F.get(gains, count(out) - 1)).otherwise(0.0)
+            total = state["sum"] - left + F.get(gains, count(into) - (out == into).cast("int"))
             bits = F.when(i >= WINDOW - 1, F.lit(log2(WINDOW)) - total / WINDOW).otherwise(0.0)
-            return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+            return F.struct(total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, step, lambda state: state["best"])
 
-    return let(codes, scan)
+    return let(letters, scan)
+
+
+def is_random(part: Column, least: Column) -> Column:
+    """Some window of a part reaches so many bits. A block of d different characters has at most log2(d); only those that may reach it are scanned."""
+    reaches = lambda block: F.log2(F.size(F.array_distinct(F.split(block, ""))).cast("double")) >= least
+    return F.exists(blocks(part), lambda block: reaches(block) & (highest_entropy(block) >= least))
+
+
+def blocks(part: Column) -> Column:
+    """A string in pieces of SCANNED windows each (a character begins a window), so that a long one is scanned with little at a time."""
+    return F.regexp_extract_all(part, F.lit(rf"(?=(.{{1,{SCANNED + WINDOW - 1}}})).{{1,{SCANNED}}}"), F.lit(1))
 
 
 def random_strings(text: Column) -> Column:
@@ -104,7 +120,7 @@ def random_strings(text: Column) -> Column:
         for pattern in ALLOWED[1:]:
             allowed = allowed | x["found"].rlike(pattern)
         parts = F.filter(F.split(x["found"], ALLOWED_PART), lambda part: F.length(part) >= WINDOW)
-        return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, lambda part: highest_entropy(part) >= least))
+        return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, lambda part: is_random(part, least)))
 
     return F.filter(matches(text, CANDIDATE), suspicious)
 
@@ -114,7 +130,8 @@ def find_secrets(documents: DataFrame, text_column: str = "text") -> DataFrame:
 
     Offsets are code points, the end is exclusive. Null texts count as empty. Spans of the base rules
     always stay; an entropy span is added unless it lies inside one of them. The scan is a projection: no
-    shuffle, and repeated rows, ties or other columns don't matter (a column named secret_spans is replaced).
+    shuffle, and repeated rows, ties or other columns don't matter (a column named secret_spans is replaced). No pattern recurses on long
+    texts, and time is linear in a text's length.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     rules = ((ASSIGN, 2, LEAST_ASSIGNED), (ACCESS, 0, 0), (HEX, 0, 0))

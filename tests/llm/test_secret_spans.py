@@ -68,3 +68,29 @@ def test_entropy_spans_against_every_window(spark):
     assert {r.doc_id: r.spans for r in secret_scan.secret_report(rows).collect()} == want
     kinds = collections.Counter(x.split(":")[0] for w in want.values() for x in w.split(",") if x)
     assert kinds["entropy"] > 100 and all(kinds[k] > 3 for k in ("assign", "hex"))
+
+
+def test_very_long_candidates(spark):
+    """Very many characters of paths, separators, one letter, hexadecimal, base64: no recursion, no time beyond linear."""
+    rng = random.Random(31)
+    n = 600_000
+    base64 = "".join(rng.choices(secret_scan.ALPHABET[:64], k=50_000)) * (n // 50_000)
+    hexes = "".join(rng.choices("0123456789ABCDEF", k=50_000)) * (n // 50_000)
+    late = "xy" * (n // 2) + "9aF3kLq8Zx2Vb7Nm4Rt6Yw1Pc5"
+    texts = ["a/" * (n // 2), "-=" * (n // 2), "x" * n, "A1-A-" * (n // 5), base64, hexes, late, "AKIA" * (n // 4), '"' * n]
+    found = secret_scan.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)).collect()
+    spans = {r.doc_id: r.spans for r in found}
+    assert [spans[i] for i in (0, 1, 2, 3, 8)] == [""] * 5
+    assert spans[4] == f"entropy:0:{n}" and spans[5] == f"entropy:0:{n}" and spans[6] == f"entropy:0:{len(late)}" and spans[7] == f"access:0:{n}"
+
+
+def test_windows_across_blocks(one, monkeypatch):
+    """A random window that begins anywhere near a block's end is found."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(secret_scan, "SCANNED", 30)
+    secret = "9aF3kLq8Zx2Vb7Nm4Rt6"
+    for lead in range(25, 70, 7):
+        text = "ab" * 40
+        assert one(F.size(secret_scan.random_strings(F.lit(text[:lead] + secret + text[:9])))) == 1, lead
+    assert one(F.size(secret_scan.random_strings(F.lit("ab" * 400)))) == 0

@@ -24,6 +24,8 @@ BLOCKS = 1024
 ENTROPY_SHARE, MAX_REPEATS = 0.95, 2.0
 #: Exponents evaluated in one aggregate: each step narrows the bracket to a sixteenth.
 POINTS = 16
+#: Parts of a pass below this come from rounding.
+TOLERANCE = 1e-9
 
 
 def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -75,6 +77,7 @@ def mix(
     entropy_share: float = ENTROPY_SHARE,
     max_repeats: float = MAX_REPEATS,
     budget: float | None = None,
+    corpora: float | None = None,
     seed: int = 0,
     source: str = "source",
     tokens: Column | None = None,
@@ -84,7 +87,7 @@ def mix(
     Takes doc_id, text and the source column; other columns are kept. tokens: a document's number of tokens, if the
     table knows it; else the words of its text stand for them. Adds epoch (1 for the first
     pass) and block (the place of the document's block in its source's permutation); input columns of those
-    names are replaced. Without a budget (in tokens) the commonest source is passed once and no document is left
+    names are replaced. Without a budget (in tokens, or as corpora: a multiple of all tokens) the commonest source is passed once and no document is left
     out. No source is passed more than max_repeats times; a budget over that many corpora comes down to it. A null source is a source of its own. Texts without words, null ones too, weigh nothing and are taken once a
     pass. Rows that repeat are dealt alike, each as a document. A source's last, partial pass goes over
     its quota by part of one document at most, rows of one doc_id and text counted as one. Hot sources are only aggregated,
@@ -111,15 +114,16 @@ def mix(
     if not total:
         return documents.select(*again, F.lit(1).alias("epoch"), F.lit(0).alias("block"))
     shares = Written(sources.where("total > 0").withColumn("p", F.col("total") / F.lit(float(total))), "shares").df
-    corpora = None if budget is None else min(budget / total, max_repeats)
+    wished = corpora if budget is None else budget / total
+    corpora = None if wished is None else min(wished, max_repeats)
     exponent = bisect_exponent(shares, entropy_share, max_repeats, corpora)
     weight = F.pow("p", F.lit(exponent))
     norm, once = shares.agg(F.sum(weight), F.max(F.col("total") / weight)).first()
     wanted = once * norm if corpora is None else corpora * total
     quota = shares.select(*group, (F.lit(float(wanted)) * weight / F.lit(norm) / F.col("total")).alias("passes"), "total")
-    # A pass that only rounding keeps from being whole is whole.
-    whole = F.floor(F.col("passes") + 1e-9)
-    quota = quota.select(*group, whole.cast("int").alias("whole"), (F.greatest(F.col("passes") - whole, F.lit(0.0)) * F.col("total")).alias("rest"))
+    # A pass that only rounding keeps from being whole is whole, and a rest that only rounding makes is none.
+    whole, part = F.floor(F.col("passes") + TOLERANCE), F.col("passes") - F.floor(F.col("passes") + TOLERANCE)
+    quota = quota.select(*group, whole.cast("int").alias("whole"), (F.when(part > TOLERANCE, part).otherwise(0.0) * F.col("total")).alias("rest"))
     order = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed + 1), F.col("_source"), F.col("_block")), "_block")
     upto = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = blocks.select(*group, "_block", "tokens", (F.row_number().over(order) - 1).alias("block"), (upto - F.col("tokens")).alias("before"))

@@ -29,8 +29,8 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pass over every document in the mixture."""
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    """Every pass over every document in the mixture, one and a half times the corpus in all."""
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), corpora=1.5).drop("text")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,11 @@ def test_mixing(spark, docs, empty):
     # Known numbers of tokens weigh instead of words.
     weighed = mixing.mix(df.withColumn("t", F.when(F.col("source") == "tiny", 1000).otherwise(1)), 0.0, 1e9, tokens=F.col("t"))
     assert weighed.columns == ["doc_id", "text", "source", "t", "epoch", "block"] and weighed.count() == 1000
+    # Equal sources, with shares that no double holds exactly: one pass each, or the budget's, and not a row more.
+    equal = spark.range(2100).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), (F.col("id") % 21).cast("string").alias("source"))
+    assert mixing.mix(equal).count() == 2100 and mixing.mix(equal, corpora=2.0).count() == 4200
+    half = mixing.mix(equal, corpora=1.5).groupBy("source").count().collect()
+    assert {r["count"] for r in half} == {150}
     result = mixing.mix(docs)
     assert result.columns == [*[c for c in docs.columns if c not in ("epoch", "block")], "epoch", "block"]
     counted = collections.Counter((repr(r.doc_id), repr(r.text)) for r in result.where("epoch = 1").collect())

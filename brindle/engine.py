@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle import errors, models
 from brindle.functions import text as T
-from brindle.operators import catalog, grading, planning, retrieval
+from brindle.operators import catalog, grading, names, planning, retrieval
 from brindle.sources import readers, sinks
 
 STRATEGIES = ("dense", "dense+symbol", "hybrid-rrf")
@@ -20,19 +19,11 @@ STRATEGIES = ("dense", "dense+symbol", "hybrid-rrf")
 PROBES = (("quick reference data ratings drain-source voltage current resistance", 12), ("ordering information package", 6))
 
 
-def python_named_parts(question: str, names: Iterable[str]) -> list[str]:
-    """Identifiers left in one question after known names are taken out, on the driver."""
-    text = re.sub(T.DASHES, "-", question)
-    for name in sorted(names, key=len, reverse=True):
-        text = re.sub(rf"(^|[^A-Za-z0-9-]){re.escape(re.sub(T.DASHES, '-', name))}(?![A-Za-z0-9-])", r"\1 ", text, flags=re.IGNORECASE)
-    return list(dict.fromkeys(re.findall(T.IDENTIFIER, text)))
-
-
 class Engine:
     """Answers over a catalogue (readers.CATALOGUE) and a chunk index (chunk_id, document_id, text, vec).
 
     embed and generate are injected; without them only what needs no model works. symbols: identifiers that a query
-    names (Column -> Column). The vocabulary is computed once.
+    names (Column -> Column); by default what is left once the catalogue's package names are taken out. The vocabulary is computed once.
     """
 
     def __init__(
@@ -41,7 +32,7 @@ class Engine:
     ):
         self.catalogue, self.index, self.base_url = catalogue, index, base_url
         self._embed, self._generate, self._token = embed, generate, token
-        self.symbols = symbols or (lambda q: T.named_parts(T.without_names(q, self.vocabulary.packages)))
+        self.symbols = symbols
         self.spark: SparkSession = catalogue.sparkSession
 
     @cached_property
@@ -69,7 +60,7 @@ class Engine:
         if not isinstance(question, str) or not question.strip():
             raise errors.InvalidRequest("question must be a text that isn't empty")
         began = time.perf_counter()
-        found = self._ask_document(question) if python_named_parts(question, self.vocabulary.packages) else self._ask_set(question)
+        found = self._ask_document(question) if names.python_named_parts(question, self.vocabulary.packages) else self._ask_set(question)
         return {**found, "ms": round((time.perf_counter() - began) * 1000)}
 
     def _refusal(self, route: str, kind: str | None = None, spec: object = None) -> dict:
@@ -104,9 +95,17 @@ class Engine:
     def _source(self, part: str) -> dict:
         return {"part": part, "url": self.base_url + part}
 
+    def _named(self, asked: DataFrame) -> DataFrame:
+        """Questions with the identifiers they name (symbols)."""
+        if self.symbols is not None:
+            return asked.withColumn("symbols", self.symbols(F.col("question")))
+        known = self.catalogue.select(F.explode("package").alias("name"))
+        found = names.named_parts(asked.select(F.col("qid").alias("id"), F.col("question").alias("text")), known)
+        return asked.join(found.select(F.col("id").alias("qid"), F.col("named").alias("symbols")), "qid")
+
     def _searches(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         self._needs(embed=self._embed)
-        asked = models.embed(questions.select("qid", "question"), self._embed, "question", "q_vec").withColumn("symbols", self.symbols(F.col("question")))
+        asked = self._named(models.embed(questions.select("qid", "question"), self._embed, "question", "q_vec"))
         dense = retrieval.dense_search(asked.select("qid", "q_vec"), self.index)
         named = asked.select("qid", "q_vec", F.explode("symbols").alias("document_id"))
         return asked, dense, retrieval.search_within(named, self.index)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators.catalog import FIELDS, QuerySpec, candidates, extrema
+from brindle.operators.names import named_parts
 
 
 @dataclass(frozen=True)
@@ -169,9 +169,9 @@ def unreadable(rows: DataFrame) -> DataFrame:
     return rows.select("part", reason.alias("reason"), T.preview(F.col("text"), 100).alias("head")).where("reason is not null")
 
 
-def route(question: Column, names: Iterable[str]) -> Column:
-    """document when identifiers are left after known names are taken out, else set."""
-    return F.when(F.size(T.named_parts(T.without_names(question, names))) > 0, "document").otherwise("set")
+def route(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """Questions (id, text and others) with their route: document when identifiers are left after known names (name) are taken out, else set."""
+    return named_parts(questions, names).withColumn("route", F.when(F.size("named") > 0, "document").otherwise("set")).drop("named")
 
 
 def set_questions(rows: DataFrame, min_candidates: int = 4) -> DataFrame:

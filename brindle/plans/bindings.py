@@ -15,6 +15,7 @@ from brindle.operators import catalog as C
 from brindle.operators import evaluation as E
 from brindle.operators import grading as G
 from brindle.operators import labels as L
+from brindle.operators import names as N
 from brindle.operators import planning as P
 from brindle.operators import preparation as R
 from brindle.operators import retrieval as S
@@ -130,23 +131,65 @@ def _questions(spark, sf):
 NAMES = ("Power-SO8", "DFN2020MD-6", "SOT669")
 
 
+def _names(spark):
+    return spark.createDataFrame([(n,) for n in NAMES], "name string")
+
+
+def _named(spark, questions):
+    """Questions with the identifiers they name."""
+    texts = questions.select(F.col("p_partkey").alias("id"), F.col("question").alias("text"), "p_partkey", "part")
+    return N.named_parts(texts, _names(spark))
+
+
+def _asked_specs(spark, sf):
+    """Set questions, one an event: every op, field and set of filters."""
+    e, user = V.table(spark, sf, "events"), F.col("user_id")
+    op = F.when(F.col("event_id") % 4 == 0, "count").when(F.col("event_id") % 4 == 1, "min").otherwise("max")
+    field = F.when(op != "count", F.element_at(F.array(F.lit("rdson"), F.lit("id"), F.lit("vds")), (user % 3 + 1).cast("int")))
+    conditions = F.when(F.col("event_id") % 5 == 0, "VGS = 10 V; Tj = 25 °C; ID = 3 A").when(F.col("event_id") % 5 == 1, "Tmb = 25 °C; VGS = 10 V")
+    return e.select(
+        F.col("event_id").alias("qid"), op.alias("op"), field.alias("field"), F.when(F.col("event_id") % 3 == 0, "N").when(F.col("event_id") % 3 == 1, "P").alias("channel"),
+        F.when(F.col("event_id") % 7 != 0, (user % 8 * 5 + 1).cast("double")).alias("vds"), F.when(user % 4 == 0, F.concat(F.lit("brand#"), user % 5 + 1, user % 5 + 1)).alias("package"), conditions.alias("conditions"),
+    )
+
+
+@query
+def batch_set_questions(spark, sf):
+    """Answers of all events' set questions in one plan."""
+    found = C.run_queries(V.catalogue(spark, sf), _asked_specs(spark, sf))
+    return found.select("qid", "kind", "cond_class", "value", "unit", F.coalesce(F.size("parts"), F.lit(0)).alias("n_parts"), F.get("parts", F.lit(0)).alias("first_part"), "candidates")
+
+
+
 @query
 def identifiers_in_text(spark, sf):
     q = _questions(spark, sf)
-    return q.select("p_partkey", F.array_join(T.named_parts(T.without_names(F.col("question"), NAMES)), "|").alias("named"), F.array_join(T.part_numbers(F.lower("question")), "|").alias("numbers"))
+    return _named(spark, q).select("p_partkey", F.array_join("named", "|").alias("named"), F.array_join(T.part_numbers(F.lower("text")), "|").alias("numbers"))
+
+
+@query
+def vocabulary_names(spark, sf):
+    """Identifiers that are left of texts once every brand, type and every third part's own name are taken out as known names."""
+    p = V.parts(spark, sf).select("p_partkey", "part", F.explode("package").alias("name"))
+    own = p.where(F.col("p_partkey") % 3 == 0).select(F.col("part").alias("name"))
+    texts = p.groupBy(F.col("p_partkey").alias("id"), "part").agg(F.array_join(F.array_sort(F.collect_list("name")), "\u2010").alias("_kinds"), F.max("name").alias("_kind"))
+    text = F.concat(F.col("part"), F.lit(" (in "), F.lower("_kind"), F.lit(") or X"), F.col("part"), F.lit(", AB1-CD_ and "), F.col("part"), F.lit("; "), F.col("_kinds"))
+    found = N.named_parts(texts.select("id", text.alias("text")), p.select("name").unionAll(own))
+    return found.select("id", F.array_join("named", "|").alias("named"))
 
 
 @query
 def guard_refusals(spark, sf):
     q = _questions(spark, sf)
-    named = T.named_parts(T.without_names(F.col("question"), NAMES))
+    q, named = _named(spark, q), F.col("named")
     retrieved = F.when(F.col("p_partkey") % 2 == 0, F.array("part")).otherwise(F.array(F.lit("PN00000-0")))
     return q.groupBy(G.guard_refuses(named, retrieved).alias("refused")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def route_questions(spark, sf):
-    return _questions(spark, sf).select("p_partkey", P.route(F.col("question"), NAMES).alias("route"))
+    q = _questions(spark, sf).select(F.col("p_partkey").alias("id"), F.col("question").alias("text"))
+    return P.route(q, _names(spark)).select(F.col("id").alias("p_partkey"), "route")
 
 
 @query
@@ -622,7 +665,7 @@ def hallucinated_correct(spark, sf):
 
 @query
 def guard_rates(spark, sf):
-    q = _questions(spark, sf).withColumn("named", T.named_parts(T.without_names(F.col("question"), NAMES)))
+    q = _named(spark, _questions(spark, sf))
     held = T.is_holdout(F.col("part"))
     return E.guarded_rates(q.select(held.alias("holdout"), G.guard_refuses(F.col("named"), F.when(held, F.array(F.lit("ZZ0"))).otherwise(F.array("part"))).alias("refused")))
 

@@ -106,6 +106,25 @@ ORACLES: dict[str, str] = {
     "catalog_extremum_vds": f"""WITH {CATALOGUE}, v AS (SELECT part, abs(vds) AS v FROM eff WHERE ch = 'P' AND vds IS NOT NULL)
         SELECT 'extremum' AS kind, CAST(NULL AS VARCHAR) AS cond_class, max(v) AS value, 'V' AS unit,
                (SELECT string_agg(part, ',' ORDER BY part) FROM v WHERE v = (SELECT max(v) FROM v)) AS parts, count(*) AS candidates FROM v""",
+    "batch_set_questions": f"""WITH {CATALOGUE},
+        s AS (SELECT event_id AS qid, CASE event_id % 4 WHEN 0 THEN 'count' WHEN 1 THEN 'min' ELSE 'max' END AS op,
+                     CASE WHEN event_id % 4 <> 0 THEN ['rdson', 'id', 'vds'][user_id % 3 + 1] END AS field, CASE event_id % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'P' END AS ch,
+                     CASE WHEN event_id % 7 <> 0 THEN user_id % 8 * 5 + 1 END AS vds, CASE WHEN user_id % 4 = 0 THEN 'brand#' || (user_id % 5 + 1) || (user_id % 5 + 1) END AS pk,
+                     CASE WHEN event_id % 4 <> 0 AND user_id % 3 <> 2 THEN CASE event_id % 5 WHEN 0 THEN 'Tj = 25 °C; VGS = 10 V' WHEN 1 THEN 'Tmb = 25 °C; VGS = 10 V' END END AS asked FROM events),
+        d AS (SELECT *, row_number() OVER () AS k FROM (SELECT DISTINCT op, field, ch, vds, pk, asked FROM s)),
+        f AS (SELECT 'rdson' AS field, part, cls, v FROM rd UNION ALL SELECT 'id', part, cls, v FROM idm UNION ALL SELECT 'vds', part, NULL, abs(vds) FROM eff WHERE vds IS NOT NULL
+              UNION ALL SELECT 'count', part, NULL, 0 FROM eff),
+        fits AS (SELECT k, op, d.field, asked, part FROM d JOIN eff e ON (d.ch IS NULL OR e.ch = d.ch) AND (d.vds IS NULL OR abs(e.vds) = d.vds) AND (pk IS NULL OR lower(p_brand) = pk OR lower(p_type) = pk)),
+        per AS (SELECT k, op, coalesce(asked, cls) AS c, f.part, CASE op WHEN 'min' THEN min(v) ELSE max(v) END AS v
+                FROM fits JOIN f ON f.part = fits.part AND f.field = coalesce(fits.field, 'count') WHERE asked IS NULL OR cls = asked GROUP BY k, op, coalesce(asked, cls), f.part),
+        best AS (SELECT k, c, CASE op WHEN 'min' THEN min(v) ELSE max(v) END AS best, count(*) AS n FROM per GROUP BY k, op, c),
+        g AS (SELECT k, per.c, best, n, count(*) AS n_parts, min(part) AS first_part, count(*) OVER (PARTITION BY k) AS classes
+              FROM per JOIN best USING (k) WHERE per.c IS NOT DISTINCT FROM best.c AND v = best GROUP BY k, per.c, best, n)
+        SELECT qid, CASE WHEN s.op = 'count' THEN 'count' WHEN classes > 1 THEN 'ambiguous-conditions' WHEN classes = 1 THEN 'extremum' ELSE 'empty' END AS kind, g.c AS cond_class,
+               CASE WHEN s.op = 'count' THEN CAST(coalesce(n, 0) AS DOUBLE) ELSE best END AS value, CASE s.field WHEN 'rdson' THEN 'mΩ' WHEN 'id' THEN 'A' WHEN 'vds' THEN 'V' END AS unit,
+               CASE WHEN s.op <> 'count' THEN CAST(coalesce(n_parts, 0) AS INTEGER) ELSE 0 END AS n_parts, CASE WHEN s.op <> 'count' THEN first_part END AS first_part, coalesce(n, 0) AS candidates
+        FROM s JOIN d ON s.op = d.op AND s.field IS NOT DISTINCT FROM d.field AND s.ch IS NOT DISTINCT FROM d.ch AND s.vds IS NOT DISTINCT FROM d.vds
+                      AND s.pk IS NOT DISTINCT FROM d.pk AND s.asked IS NOT DISTINCT FROM d.asked LEFT JOIN g USING (k)""",
     "catalog_explain": f"""WITH {CATALOGUE}, per AS (SELECT part, min(v) AS v FROM rd WHERE ch = 'N' AND cls = 'Tj = 25 °C; VGS = 10 V' GROUP BY part),
         w AS (SELECT list(part ORDER BY part) AS parts FROM per WHERE v = (SELECT min(v) FROM per))
         SELECT 'Of the ' || (SELECT count(*) FROM per) || ' parts in this corpus, specified at Tj = 25 °C; VGS = 10 V, the lowest R_DS(on) is ' ||
@@ -129,6 +148,7 @@ ORACLES: dict[str, str] = {
         CASE p_partkey % 3 WHEN 1 THEN 'BUK7K5R1-30E' ELSE '' END AS numbers FROM qs""",
     "guard_refusals": f"""WITH {_QUESTIONS}, n AS (SELECT {_NAMED} AS named, CASE WHEN p_partkey % 2 = 0 THEN part ELSE 'PN00000-0' END AS got FROM qs)
         SELECT len(named) > 0 AND NOT list_contains(named, got) AS refused, count(*) AS n FROM n GROUP BY 1""",
+    "vocabulary_names": f"""WITH {_QUESTIONS} SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'X' || part || '|AB1' ELSE part || '|X' || part || '|AB1' END AS named FROM qs""",
     "route_questions": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'set' ELSE 'document' END AS route FROM part",
     "measures_roundtrip": """SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN floor(o_totalprice) WHEN 1 THEN floor(o_totalprice) * 1000 WHEN 2 THEN floor(o_totalprice) / 1000
             WHEN 3 THEN floor(o_totalprice) * 1000 ELSE floor(o_totalprice) END, 6) AS value,

@@ -43,75 +43,94 @@ def python_class_of(conditions: str) -> str:
     return "; ".join(sorted(t for t in kept if not re.match(r"ID\s*=", t, flags)))
 
 
+def _no_number(name: str) -> float:
+    raise ValueError(name)
+
+
 def parse_plan(text: str, vocabulary: Vocabulary) -> tuple[str, QuerySpec | None]:
-    """Route and spec of a planner's answer; what the vocabulary lacks makes it unsupported, but for conditions."""
+    """Route and spec of a planner's answer.
+
+    One grammar, here and in check_plans: op, field and filters stand in the plan or in its spec. A count's field is ignored. Filters of a wrong type, and
+    any beside the filters, are ignored; a rating or package that the vocabulary lacks makes the plan unsupported; unknown conditions are
+    dropped, and so are conditions on the rating.
+    """
     found = re.search(r"\{.*\}", text, re.DOTALL)
     try:
-        plan = json.loads(found.group()) if found else None
+        plan = json.loads(found.group(), parse_constant=_no_number) if found else None
     except ValueError:
         plan = None
-    if not isinstance(plan, dict):
-        return "unsupported", None
-    if plan.get("route") in ("lookup", "unsupported"):
-        return plan["route"], None
-    op, wanted = plan.get("op"), plan.get("field")
-    filters = plan.get("filters") if isinstance(plan.get("filters"), dict) else plan
-    if plan.get("route") != "catalog" or op not in ("min", "max", "count") or (op != "count" and wanted not in FIELDS) or (wanted is not None and wanted not in FIELDS):
+    route = plan.get("route") if isinstance(plan, dict) else None
+    if route != "catalog":
+        return "lookup" if route == "lookup" else "unsupported", None
+    body = plan["spec"] if isinstance(plan.get("spec"), dict) else plan
+    op, wanted = body.get("op"), None if body.get("op") == "count" else body.get("field")
+    if op not in ("min", "max", "count") or (op != "count" and wanted not in FIELDS):
         return "unsupported", None
+    filters = body["filters"] if isinstance(body.get("filters"), dict) else {}
     channel = filters.get("channel") if filters.get("channel") in ("N", "P") else None
     vds = filters.get("vds")
-    if vds is not None:
-        if isinstance(vds, bool) or not isinstance(vds, int | float) or abs(vds) not in vocabulary.ratings:
-            return "unsupported", None
-        vds = float(abs(vds))
-    package = filters.get("package")
+    vds = float(abs(vds)) if isinstance(vds, int | float) and not isinstance(vds, bool) else None
+    if vds is not None and vds not in vocabulary.ratings:
+        return "unsupported", None
+    package = filters.get("package") if isinstance(filters.get("package"), str) else None
     if package is not None:
-        package = next((p for p in vocabulary.packages if p.strip().lower() == str(package).strip().lower()), None)
+        package = next((p for p in vocabulary.packages if p.strip().lower() == package.strip().lower()), None)
         if package is None:
             return "unsupported", None
-    conditions = filters.get("conditions")
-    if conditions is not None and wanted != "vds":
-        key = python_class_of(str(conditions)).lower()
+    conditions = filters.get("conditions") if isinstance(filters.get("conditions"), str) and wanted != "vds" else None
+    if conditions is not None:
+        key = python_class_of(conditions).lower()
         conditions = next((c for c in vocabulary.classes.get(wanted or "rdson", ()) if c.lower() == key), None)
-    else:
-        conditions = None
     return "catalog", QuerySpec(op, wanted, channel, vds, package, conditions)
 
 
+def read_plans(plans: DataFrame) -> DataFrame:
+    """Plans (id, text) as columns by parse_plan's grammar, before the vocabulary: id, route, op, field, channel, vds, package, conditions."""
+    whole = F.try_parse_json(T.json_object(F.col("text")))
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("_v"), path, "variant")), F.lit("VOID"))
+    read = plans.select("id", whole.alias("_v"))
+    read = read.withColumn("_nested", kind("$.spec").startswith("OBJECT"))
+    either = lambda path, of: F.when(F.col("_nested"), of(f"$.spec.{path}")).otherwise(of(f"$.{path}"))
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(F.col("_v"), path, "string"))
+    number = lambda path: F.when(kind(path).rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"), F.try_variant_get(F.col("_v"), path, "double"))
+    typed = read.select(
+        "id", text("$.route").alias("_route"), either("op", text).alias("_op"), either("field", text).alias("_field"), either("filters.channel", text).alias("_channel"),
+        F.abs(either("filters.vds", number)).alias("_vds"), either("filters.package", text).alias("_package"), either("filters.conditions", text).alias("_conditions"),
+    )
+    count = F.col("_op") == "count"
+    fits = F.coalesce((F.col("_route") == "catalog") & (count | (F.col("_op").isin("min", "max") & F.col("_field").isin(*FIELDS))), F.lit(False))
+    route_ = F.when(fits, "catalog").when(F.col("_route") == "lookup", "lookup").otherwise("unsupported")
+    only = lambda c, name: F.when(fits, c).alias(name)
+    field_ = F.when(~count, F.col("_field"))
+    under = F.when(F.coalesce(field_, F.lit("rdson")) != "vds", F.col("_conditions"))
+    channel = F.when(F.col("_channel").isin("N", "P"), F.col("_channel"))
+    return typed.select("id", route_.alias("route"), only(F.col("_op"), "op"), only(field_, "field"), only(channel, "channel"), only(F.col("_vds"), "vds"), only(F.col("_package"), "package"), only(under, "conditions"))
+
+
 def parse_plans(plans: DataFrame) -> DataFrame:
-    """Plans as columns for a batch (id, text): route, op, field and filters as read, before the vocabulary."""
-    schema = "route string, op string, field string, filters struct<channel:string,vds:double,package:string,conditions:string>"
-    read = plans.withColumn("p", F.from_json(T.json_object(F.col("text")), schema, {"mode": "PERMISSIVE"}))
-    known = F.col("p.op").isin("min", "max", "count") & (F.col("p.field").isin(*FIELDS) | (F.col("p.field").isNull() & (F.col("p.op") == "count")))
-    route = F.when(F.col("p.route").isin("lookup", "unsupported"), F.col("p.route")).when((F.col("p.route") == "catalog") & known, "catalog").otherwise("unsupported")
-    fits = route == "catalog"
-    return read.select("id", route.alias("route"), F.when(fits, F.col("p.op")).alias("op"), F.when(fits, F.col("p.field")).alias("field"), F.when(fits, F.abs("p.filters.vds")).alias("vds"), F.when(fits, F.col("p.filters.package")).alias("package"))
+    """What read_plans reads of the route, the op, its field, rating and package."""
+    return read_plans(plans).select("id", "route", "op", "field", "vds", "package")
 
 
 def check_plans(plans: DataFrame, terms: DataFrame) -> DataFrame:
     """Plans (id, text) read and checked against catalog.vocabulary's rows, all in joins: id, route, op, field, channel, vds, package, conditions.
 
-    An unknown rating or package makes a plan unsupported; the package takes its true spelling; unknown
-    conditions are dropped, and so are conditions on the rating.
+    parse_plan's grammar: an unknown rating or package makes a plan unsupported; the package takes its true spelling; unknown conditions are dropped.
     """
-    schema = "route string, op string, field string, filters struct<channel:string,vds:double,package:string,conditions:string>"
-    read = parse_plans(plans).drop("vds", "package").join(plans.select("id", F.from_json(T.json_object(F.col("text")), schema, {"mode": "PERMISSIVE"}).getField("filters").alias("f")), "id")
     key = lambda c: F.lower(T.trim(c))
     ratings = terms.where("kind = 'rating'").select(F.col("term").cast("double").alias("_rating")).distinct()
     names = terms.where("kind = 'package'").groupBy(key(F.col("term")).alias("_package")).agg(F.min("term").alias("_name"))
     classes = terms.where("kind in ('rdson_class', 'id_class')").groupBy("kind", F.lower("term").alias("_class")).agg(F.min("term").alias("_conditions"))
-    asked = F.when(F.coalesce(F.col("field"), F.lit("rdson")) != "vds", F.lower(T.class_of(F.col("f.conditions"))))
+    asked = F.lower(T.class_of(F.col("conditions")))
     found = (
-        read.withColumns({"_vds": F.abs("f.vds"), "_named": key(F.col("f.package")), "_asked": asked, "_kind": F.concat(F.coalesce("field", F.lit("rdson")), F.lit("_class"))})
-        .join(ratings, F.col("_vds") == F.col("_rating"), "left").join(names, F.col("_named") == F.col("_package"), "left")
+        read_plans(plans).withColumns({"_named": key(F.col("package")), "_asked": asked, "_kind": F.concat(F.coalesce("field", F.lit("rdson")), F.lit("_class"))})
+        .join(ratings, F.col("vds") == F.col("_rating"), "left").join(names, F.col("_named") == F.col("_package"), "left")
         .join(classes, (F.col("_kind") == F.col("kind")) & (F.col("_asked") == F.col("_class")), "left")
     )
-    known = (F.col("_vds").isNull() | F.col("_rating").isNotNull()) & (F.col("_named").isNull() | F.col("_name").isNotNull())
-    fits = (F.col("route") == "catalog") & known
-    only = lambda c, name: F.when(fits, c).alias(name)
-    route_ = F.when((F.col("route") == "catalog") & ~known, "unsupported").otherwise(F.col("route"))
-    channel = F.when(F.col("f.channel").isin("N", "P"), F.col("f.channel"))
-    return found.select("id", route_.alias("route"), only(F.col("op"), "op"), only(F.col("field"), "field"), only(channel, "channel"), only(F.col("_vds"), "vds"), only(F.col("_name"), "package"), only(F.col("_conditions"), "conditions"))
+    known = (F.col("vds").isNull() | F.col("_rating").isNotNull()) & (F.col("_named").isNull() | F.col("_name").isNotNull())
+    only = lambda c, name: F.when(known, c).alias(name)
+    route_ = F.when(known, F.col("route")).otherwise("unsupported")
+    return found.select("id", route_.alias("route"), *[only(F.col(c), c) for c in ("op", "field", "channel", "vds")], only(F.col("_name"), "package"), only(F.col("_conditions"), "conditions"))
 
 
 def part_questions(labels: DataFrame) -> DataFrame:

@@ -743,10 +743,13 @@ def plan_check(spark, sf):
     key = F.col("event_id")
     plan = lambda body: F.concat(F.lit('{"route":"catalog",'), body, F.lit("}"))
     text = (
-        F.when(key % 5 == 0, plan(F.concat(F.lit('"op":"min","field":"rdson","filters":{"vds":-'), (key % 100).cast("string"), F.lit(',"conditions":"VGS = 10 V; Tj = 25 °C"}'))))
-        .when(key % 5 == 1, plan(F.lit('"op":"count","filters":{"package":" brand#11","channel":"N"}')))
-        .when(key % 5 == 2, plan(F.lit('"op":"max","field":"id","filters":{"conditions":"VGS = 7 V"}')))
-        .when(key % 5 == 3, plan(F.lit('"op":"count","filters":{"package":"nothing"}'))).otherwise('{"route":"lookup"}')
+        F.when(key % 8 == 0, plan(F.concat(F.lit('"op":"min","field":"rdson","filters":{"vds":-'), (key % 100).cast("string"), F.lit(',"conditions":"VGS = 10 V; Tj = 25 °C"}'))))
+        .when(key % 8 == 1, plan(F.lit('"op":"count","filters":{"package":" brand#11","channel":"N"}')))
+        .when(key % 8 == 2, plan(F.lit('"op":"max","field":"id","filters":{"conditions":"VGS = 7 V"}')))
+        .when(key % 8 == 3, plan(F.lit('"op":"count","filters":{"package":"nothing"}'))).when(key % 8 == 4, '{"route":"lookup"}')
+        .when(key % 8 == 5, plan(F.lit('"op":"count","field":"odd","filters":{"vds":"abc","package":7,"channel":"X"}')))
+        .when(key % 8 == 6, plan(F.lit('"op":"min","field":"rdson","vds":55555,"package":"nothing","filters":[]')))
+        .otherwise(plan(F.lit('"spec":{"op":"max","field":"vds","filters":{"vds":true,"conditions":"VGS = 10 V"}}')))
     )
     return P.check_plans(e.select(key.alias("id"), text.alias("text")), C.vocabulary(V.catalogue(spark, sf)))
 

@@ -302,10 +302,10 @@ ORACLES |= {
         CAST(p_size AS DOUBLE) AS id, CAST(2 AS BIGINT) AS n_rdson, CAST(2 AS BIGINT) AS n_id, 'LFPAK56|Power-SO8|SOT669' AS package FROM part WHERE p_partkey % 10 <> 0""",
     "anchored_chunks": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(doc_id AS VARCHAR) || chr(10) || coalesce(text, '') AS t FROM documents)
         SELECT document_id, CAST(least(length(t), 1800) AS BIGINT) AS visible, sha256(substr(regexp_replace(t, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'), 1, 100)) AS preview, 'https://docs/' || document_id AS url FROM a""",
-    "plan_check": f"""WITH {CATALOGUE}, e AS (SELECT event_id AS id, event_id % 5 AS m, CAST(event_id % 100 AS DOUBLE) AS v FROM events),
+    "plan_check": f"""WITH {CATALOGUE}, e AS (SELECT event_id AS id, event_id % 8 AS m, CAST(event_id % 100 AS DOUBLE) AS v FROM events),
         k AS (SELECT *, m = 0 AND v IN (SELECT abs(vds) FROM cat WHERE vds IS NOT NULL) AS rated, (SELECT min(p_brand) FROM cat WHERE lower(p_brand) = 'brand#11') AS brand FROM e)
-        SELECT id, CASE WHEN m = 4 THEN 'lookup' WHEN rated OR m = 2 OR (m = 1 AND brand IS NOT NULL) THEN 'catalog' ELSE 'unsupported' END AS route,
-               CASE WHEN rated THEN 'min' WHEN m = 1 AND brand IS NOT NULL THEN 'count' WHEN m = 2 THEN 'max' END AS op, CASE WHEN rated THEN 'rdson' WHEN m = 2 THEN 'id' END AS field,
+        SELECT id, CASE WHEN m = 4 THEN 'lookup' WHEN rated OR m IN (2, 5, 6, 7) OR (m = 1 AND brand IS NOT NULL) THEN 'catalog' ELSE 'unsupported' END AS route,
+               CASE WHEN rated THEN 'min' WHEN m = 1 AND brand IS NOT NULL THEN 'count' WHEN m IN (2, 7) THEN 'max' WHEN m = 5 THEN 'count' WHEN m = 6 THEN 'min' END AS op, CASE WHEN rated THEN 'rdson' WHEN m = 2 THEN 'id' WHEN m = 6 THEN 'rdson' WHEN m = 7 THEN 'vds' END AS field,
                CASE WHEN m = 1 AND brand IS NOT NULL THEN 'N' END AS channel, CASE WHEN rated THEN v END AS vds, CASE WHEN m = 1 THEN brand END AS package, CASE WHEN rated THEN 'Tj = 25 °C; VGS = 10 V' END AS conditions FROM k""",
     "set_answers": """SELECT o_orderkey, o_orderkey % 3 <> 0 AS count_right, o_orderkey % 2 = 1 OR CAST(floor(o_totalprice) AS BIGINT) % 5000 = 0 AS value_right FROM orders""",
     "hedges": "SELECT o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS hedged, count(*) AS n FROM orders GROUP BY 1",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.sources.scratch import written
 
 
+TOLERANCE = 0.01
+
+
 def gold_ranks(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """1-based rank of each question's gold document, 0 when absent (ranked: qid, document_id, rank; gold: qid, gold)."""
     hit = ranked.join(gold, "qid").where(F.col("document_id") == F.col("gold")).groupBy("qid").agg(F.min("rank").alias("hit"))
@@ -96,21 +99,42 @@ def storage_curve(sizes: DataFrame, dims: int = 1024) -> DataFrame:
     return sizes.withColumns({"stored_dims": stored.cast("long"), "cost": cost})
 
 
-def joined_agreement(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
-    """Agreement of six fields between two tables that meet by part: catalogue rows (part, channel, vds, rdson, id, package) and
-    labels (part, channel, vds_v, rdson_mohm, id_a, package). A field counts where the label has it."""
-    names = ("channel", "vds_v", "rdson_mohm", "id_a", "package")
+def joined_cells(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
+    """Six fields of catalogue rows (part, vds, rdson, id, package) beside the labels (part, vds_v, rdson_mohm, id_a, package) of their
+    parts: part, field, agrees, catalogue, label; a row where the label has the field.
+
+    The rating agrees with its sign within the tolerance; a figure where some row has its class and, within the tolerance, its magnitude; a class
+    where some row has it; packages where all names of the label, cleaned as the catalogue's are, are there.
+    """
+    names = ("vds_v", "rdson_mohm", "id_a", "package")
     both = catalogue.join(labels.select("part", *[F.col(c).alias(f"l_{c}") for c in names]), "part")
+    no_figures, no_names = F.array().cast("array<struct<value:double,unit:string,conditions:string>>"), F.array().cast("array<string>")
+    read = both.withColumns({"rdson": F.coalesce("rdson", no_figures), "id": F.coalesce("id", no_figures), "package": F.coalesce("package", no_names), "l_package": T.clean_packages(F.coalesce("l_package", no_names))})
+    label, there = F.col, lambda c: F.col(c).isNotNull()
     cls = lambda m: T.class_of(m["conditions"])
-    some = lambda field, label, value: F.coalesce(carries(F.col(field), cls(F.col(label)), F.col(label)["value"] if value else None), F.lit(False))
-    return agreement(both, {
-        "channel": (F.col("l_channel").isNotNull(), F.col("channel").eqNullSafe(F.col("l_channel"))),
-        "vds": (F.col("l_vds_v").isNotNull(), F.coalesce(F.abs("vds") == F.abs("l_vds_v"), F.lit(False))),
-        "rdson_class": (F.col("l_rdson_mohm").isNotNull(), some("rdson", "l_rdson_mohm", False)),
-        "rdson": (F.col("l_rdson_mohm").isNotNull(), some("rdson", "l_rdson_mohm", True)),
-        "id": (F.col("l_id_a").isNotNull(), some("id", "l_id_a", True)),
-        "package": (F.size("l_package") > 0, F.size(F.array_except("l_package", F.coalesce("package", F.array().cast("array<string>")))) == 0),
-    })
+    printed = lambda c: F.array_join(F.transform(c, lambda m: F.concat(T.number_text(m["value"]), F.lit(" @ "), m["conditions"])), " | ")
+    one = lambda c: F.concat(T.number_text(label(c)["value"]), F.lit(" @ "), label(c)["conditions"])
+    classes = lambda c: F.array_join(F.array_distinct(F.transform(c, cls)), " | ")
+    near = F.abs(F.col("vds") - F.col("l_vds_v")) <= F.abs("l_vds_v") * TOLERANCE
+    cells = [("vds", there("l_vds_v"), near, T.number_text(F.col("vds")), T.number_text(F.col("l_vds_v")))]
+    for field, c in (("rdson", "l_rdson_mohm"), ("id", "l_id_a")):
+        cells.append((field, there(c), carries(F.col(field), cls(label(c)), label(c)["value"], TOLERANCE), printed(field), one(c)))
+        cells.append((f"{field}_conditions", there(c), carries(F.col(field), cls(label(c))), classes(field), cls(label(c))))
+    cells.append(("package", F.size("l_package") > 0, F.size(F.array_except("l_package", "package")) == 0, F.array_join("package", "|"), F.array_join("l_package", "|")))
+    row = lambda n, p, a, said, wanted: F.struct(F.lit(n).alias("field"), p.alias("present"), F.coalesce(a, F.lit(False)).alias("agrees"), said.alias("catalogue"), wanted.alias("label"))
+    return read.select("part", F.inline(F.array(*[row(*c) for c in cells]))).where("present").drop("present")
+
+
+def joined_agreement(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows and agreement rate of each field of joined_cells."""
+    return joined_cells(catalogue, labels).groupBy("field").agg(F.count(F.lit(1)).alias("n"), rate(F.col("agrees"), 4).alias("rate"))
+
+
+def joined_disagreements(catalogue: DataFrame, labels: DataFrame) -> tuple[DataFrame, Observation]:
+    """Cells that disagree (part, field, catalogue, label), and an observation of the pass that makes them: n_FIELD and agrees_FIELD for each field."""
+    seen, fields = Observation("agreement"), ("vds", "rdson", "id", "package", "rdson_conditions", "id_conditions")
+    counts = [x for f in fields for x in (F.count_if(F.col("field") == f).alias(f"n_{f}"), F.count_if((F.col("field") == f) & F.col("agrees")).alias(f"agrees_{f}"))]
+    return joined_cells(catalogue, labels).observe(seen, *counts).where(~F.col("agrees")).drop("agrees"), seen
 
 
 def answered(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -126,19 +150,21 @@ def subset_by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def seen_winners(cases: DataFrame) -> DataFrame:
-    """saw_winner and winner_in_pool of set-query cases (truth_parts, retrieved, pool): null where there is no truth or no list."""
-    meets = lambda c: F.when((F.size("truth_parts") > 0) & F.col(c).isNotNull(), F.coalesce(F.arrays_overlap("truth_parts", c), F.lit(False)))
+    """saw_winner and winner_in_pool of set-query cases (truth_parts, retrieved, pool): null where there is no list, false where no truth is in it."""
+    truth = F.coalesce("truth_parts", F.array().cast("array<string>"))
+    meets = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(F.arrays_overlap(truth, c), F.lit(False)))
     return cases.withColumns({"saw_winner": meets("retrieved"), "winner_in_pool": meets("pool")})
 
 
 def mechanism(cases: DataFrame) -> DataFrame:
-    """Shares of winners retrieved, and of wrong answers that never saw the winner or had it in no pool; nulls don't count."""
+    """Shares of winners retrieved, and of wrong answers that never saw the winner or had it in no pool, and the graded superlatives; nulls don't count."""
     wrong = F.col("outcome") == "wrong"
     share = lambda passes, among: mean(F.when(among, F.when(passes, 1.0).otherwise(0.0)), 4)
     return cases.agg(
         share(F.col("saw_winner"), F.col("saw_winner").isNotNull()).alias("winner_retrieved"),
         share(~F.col("saw_winner"), wrong & F.col("saw_winner").isNotNull()).alias("wrong_without_seeing_winner"),
         share(~F.col("winner_in_pool"), wrong & F.col("winner_in_pool").isNotNull()).alias("wrong_winner_not_in_pool"),
+        F.count("winner_in_pool").alias("superlatives_graded"),
     )
 
 
@@ -154,8 +180,9 @@ def guarded_rates(questions: DataFrame) -> DataFrame:
 
 
 def with_totals(df: DataFrame, dimension: str, *aggregates: Column) -> DataFrame:
-    """A breakdown and, in the row where the dimension is null, the whole; one pass by grouping sets."""
-    return df.groupingSets([[F.col(dimension)], []], F.col(dimension)).agg(*aggregates)
+    """A breakdown and, in the row where is_total is true, the whole; one pass by grouping sets. A null dimension is a group like others."""
+    total = (F.grouping_id() > 0).alias("is_total")
+    return df.groupingSets([[F.col(dimension)], []], F.col(dimension)).agg(total, *aggregates)
 
 
 def all_names(catalogue: DataFrame, labels: DataFrame) -> DataFrame:

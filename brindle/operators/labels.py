@@ -122,11 +122,10 @@ def parse(documents: DataFrame) -> DataFrame:
 
 
 def name_check_counts(labels: DataFrame, shown: int = 12) -> tuple[DataFrame, DataFrame]:
-    """How many names state figures and how many labels agree with them, and the first disagreements by part."""
+    """How many names of labels with both figures state figures and how many labels agree with them, and the first disagreements on resistance, by part."""
     checked = name_check(labels)
-    right = F.coalesce(F.col("vds_agrees"), F.lit(False)) & F.coalesce(F.col("rdson_agrees"), F.lit(False))
     counts = checked.agg(F.count(F.lit(1)).alias("decoded"), F.count_if("vds_agrees").alias("vds_agrees"), F.count_if("rdson_agrees").alias("rdson_agrees"))
-    return counts, checked.where(~right).orderBy("part").limit(shown)
+    return counts, checked.where(~F.col("rdson_agrees")).orderBy("part").limit(shown)
 
 
 def coverage(labels: DataFrame, *fields: str) -> DataFrame:
@@ -135,7 +134,7 @@ def coverage(labels: DataFrame, *fields: str) -> DataFrame:
 
 
 def name_check(labels: DataFrame) -> DataFrame:
-    """Labels against what part names state: part, vds_agrees, rdson_agrees (within a tenth)."""
-    decoded = labels.withColumn("d", T.decode_name(F.col("part"))).where("d is not null")
-    near = F.abs(F.col("rdson_mohm.value") - F.col("d.rdson_mohm")) <= F.col("d.rdson_mohm") * 0.1
+    """Labels with a resistance and a rating against what part names state: part, vds_agrees (magnitudes), rdson_agrees (within a tenth)."""
+    decoded = labels.where("rdson_mohm.value is not null and vds_v is not null").withColumn("d", T.decode_name(F.col("part"))).where("d is not null")
+    near = F.abs(F.col("rdson_mohm.value") - F.col("d.rdson_mohm")) / F.col("d.rdson_mohm") <= 0.1
     return decoded.select("part", (F.abs("vds_v") == F.col("d.vds_v")).alias("vds_agrees"), near.alias("rdson_agrees"))

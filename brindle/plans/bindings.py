@@ -597,11 +597,21 @@ def unreadable_rows(spark, sf):
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _agreement_labels(spark, sf):
+    key, vds = F.col("p_partkey"), F.col("vds_v")
+    labels = _part_labels(spark, sf).where("p_partkey % 10 <> 0").withColumn("vds_v", F.when(key % 9 == 0, vds + 1).when(key % 9 == 1, vds * 1.005).when(key % 9 == 2, -vds).otherwise(vds))
+    names = F.when(key % 8 == 0, F.array(F.element_at("package", 1), F.lit("XY1;b d"))).otherwise(F.col("package"))
+    return labels.withColumn("id_a", F.when(F.col("id_a").isNotNull(), F.struct(F.col("id_a.value"), F.lit("VGS = 10 V; Tmb = 25 °C").alias("conditions")))).withColumn("package", names)
+
+
 @query
 def joined_agreement(spark, sf):
-    labels = _part_labels(spark, sf).where("p_partkey % 10 <> 0").withColumn("vds_v", F.when(F.col("p_partkey") % 9 == 0, F.col("vds_v") + 1).otherwise(-F.col("vds_v")))
-    labels = labels.withColumn("id_a", F.when(F.col("id_a").isNotNull(), F.struct(F.col("id_a.value"), F.lit("VGS = 10 V; Tmb = 25 °C").alias("conditions"))))
-    return E.joined_agreement(V.catalogue(spark, sf), labels)
+    return E.joined_agreement(V.catalogue(spark, sf), _agreement_labels(spark, sf))
+
+
+@query
+def joined_disagreements(spark, sf):
+    return E.joined_disagreements(V.catalogue(spark, sf), _agreement_labels(spark, sf))[0].select("part", "field", "label")
 
 
 def _answer_rows(spark, sf):
@@ -679,7 +689,7 @@ def _named_labels(spark, sf):
     p = V.table(spark, sf, "part")
     size = F.lpad(F.col("p_size").cast("string"), 2, "0")
     value = F.when(F.col("p_partkey") % 10 == 0, F.col("p_size") * 2).otherwise(F.col("p_size") * 1.05)
-    return p.select(F.concat(F.lit("PSMN0"), size, F.lit("-040K"), F.col("p_partkey").cast("string")).alias("part"), F.when(F.col("p_partkey") % 4 == 0, -40.0).otherwise(F.when(F.col("p_partkey") % 4 == 1, 30.0).otherwise(40.0)).alias("vds_v"), F.struct(value.cast("double").alias("value")).alias("rdson_mohm"))
+    return p.select(F.concat(F.lit("PSMN0"), size, F.lit("-040K"), F.col("p_partkey").cast("string")).alias("part"), F.when(F.col("p_partkey") % 4 == 0, -40.0).otherwise(F.when(F.col("p_partkey") % 4 == 1, 30.0).when(F.col("p_partkey") % 16 != 3, 40.0)).alias("vds_v"), F.when(F.col("p_partkey") % 16 != 2, F.struct(value.cast("double").alias("value"))).alias("rdson_mohm"))
 
 
 @query

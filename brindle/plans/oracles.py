@@ -241,11 +241,26 @@ _LABELS = f"""{_QUESTIONS}, lab AS (SELECT p_partkey, part, vds, channel, p_bran
 
 _CASES = """
     l AS (SELECT l_orderkey, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS got FROM lineitem GROUP BY 1),
-    c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 5 <> 0 END AS saw_winner,
-                 CASE WHEN o_orderkey % 6 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS winner_in_pool, o_orderkey % 3 <> 0 AS wrong
+    c AS (SELECT o_orderkey AS k, o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0 AS saw_winner,
+                 CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 6 <> 0 AND o_orderkey % 2 = 0 END AS winner_in_pool, o_orderkey % 3 <> 0 AS wrong
           FROM orders JOIN l ON o_orderkey = l_orderkey)"""
 
 
+_NUMBER = "CASE WHEN {0} = trunc({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+_AGREEMENT = f"""
+    lab AS (SELECT *, CASE p_partkey % 9 WHEN 0 THEN vds + 1 WHEN 1 THEN vds * 1.005::DOUBLE WHEN 2 THEN -vds ELSE vds END AS lv FROM cat WHERE p_partkey % 10 <> 0),
+    has AS (SELECT part, bool_or(cls = 'Tj = 25 °C; VGS = 10 V') AS c, list(v) FILTER (cls = 'Tj = 25 °C; VGS = 10 V') AS vs FROM rd GROUP BY part),
+    ids AS (SELECT part, bool_or(cls = 'Tmb = 25 °C; VGS = 10 V') AS c, list(v) FILTER (cls = 'Tmb = 25 °C; VGS = 10 V') AS vs FROM idm GROUP BY part),
+    j AS (SELECT lab.*, coalesce(has.c, false) AS rc, coalesce(ids.c, false) AS ic,
+                 coalesce(len(list_filter(has.vs, lambda v: abs(v - p_partkey % 90) <= greatest(p_partkey % 90 * 0.01, 1e-9))) > 0, false) AS rv,
+                 coalesce(len(list_filter(ids.vs, lambda v: abs(v - p_partkey % 40) <= greatest(p_partkey % 40 * 0.01, 1e-9))) > 0, false) AS iv
+          FROM lab LEFT JOIN has USING (part) LEFT JOIN ids USING (part)),
+    f AS (SELECT part, 'vds' AS field, abs(vds - lv) <= abs(lv) * 0.01::DOUBLE AS agrees, {_NUMBER.format("lv")} AS label FROM j WHERE lv IS NOT NULL
+          UNION ALL SELECT part, 'rdson_conditions', rc, 'Tj = 25 °C; VGS = 10 V' FROM j WHERE p_partkey % 7 <> 0 UNION ALL SELECT part, 'rdson', rv, p_partkey % 90 || ' @ VGS = 10 V; Tj = 25 °C' FROM j WHERE p_partkey % 7 <> 0
+          UNION ALL SELECT part, 'id_conditions', ic, 'Tmb = 25 °C; VGS = 10 V' FROM j WHERE p_partkey % 3 <> 0 UNION ALL SELECT part, 'id', iv, p_partkey % 40 || ' @ VGS = 10 V; Tmb = 25 °C' FROM j WHERE p_partkey % 3 <> 0
+          UNION ALL SELECT part, 'package', p_partkey % 8 <> 0, p_brand || CASE WHEN p_partkey % 8 = 0 THEN '|XY1' ELSE '' END FROM j WHERE p_partkey % 2 = 0)"""
+
+
 def _share(passes: str, among: str) -> str:
     return f"coalesce(round(avg(CASE WHEN {among} THEN CASE WHEN {passes} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END), 4), 0.0::DOUBLE)"
 
@@ -267,32 +282,22 @@ ORACLES |= {
     "questions_in_index": f"WITH {CATALOGUE}, {_LABELS} SELECT dimension, count(*) AS n FROM pq JOIN cat USING (part) WHERE p_partkey % 5 < 2 GROUP BY dimension",
     "metadata_present": "SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 AND url IS NOT NULL AND html IS NOT NULL",
     "unreadable_rows": "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'no object' WHEN p_partkey % 4 = 1 THEN 'empty' WHEN p_partkey % 8 = 3 THEN 'broken object' ELSE 'no object' END AS reason, count(*) AS n FROM part WHERE p_partkey % 4 <> 2 GROUP BY 1",
-    "joined_agreement": f"""WITH {CATALOGUE},
-        lab AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN vds + 1 ELSE -vds END AS lv FROM cat WHERE p_partkey % 10 <> 0),
-        has AS (SELECT part, bool_or(cls = 'Tj = 25 °C; VGS = 10 V') AS c, list(v) FILTER (cls = 'Tj = 25 °C; VGS = 10 V') AS vs FROM rd GROUP BY part),
-        ids AS (SELECT part, list(v) FILTER (cls = 'Tmb = 25 °C; VGS = 10 V') AS vs FROM idm GROUP BY part),
-        j AS (SELECT lab.*, coalesce(has.c, false) AS c,
-                     coalesce(len(list_filter(has.vs, lambda v: abs(v - p_partkey % 90) <= greatest(p_partkey % 90 * 0.01, 1e-9))) > 0, false) AS rv,
-                     coalesce(len(list_filter(ids.vs, lambda v: abs(v - p_partkey % 40) <= greatest(p_partkey % 40 * 0.01, 1e-9))) > 0, false) AS iv
-              FROM lab LEFT JOIN has USING (part) LEFT JOIN ids USING (part)),
-        f AS (SELECT 'channel' AS field, true AS agrees FROM j WHERE channel IS NOT NULL UNION ALL SELECT 'vds', abs(vds) = abs(lv) FROM j WHERE lv IS NOT NULL
-              UNION ALL SELECT 'rdson_class', c FROM j WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'rdson', rv FROM j WHERE p_partkey % 7 <> 0
-              UNION ALL SELECT 'id', iv FROM j WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'package', true FROM j WHERE p_partkey % 2 = 0)
-        SELECT field, count(*) AS n, round(avg(CASE WHEN agrees THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS rate FROM f GROUP BY field""",
+    "joined_agreement": f"WITH {CATALOGUE}, {_AGREEMENT} SELECT field, count(*) AS n, round(avg(CASE WHEN agrees THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS rate FROM f GROUP BY field",
+    "joined_disagreements": f"WITH {CATALOGUE}, {_AGREEMENT} SELECT part, field, label FROM f WHERE NOT agrees",
     "answers_to_questions": f"WITH {_ANSWERS} SELECT dimension, reason, count(*) AS n FROM g WHERE qid % 9 <> 0 GROUP BY 1, 2",
     "id_subset": "SELECT o_orderkey AS id, o_orderkey % 13 = 0 AS refused FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 7)",
     "winners_seen": f"WITH {_CASES} SELECT saw_winner, winner_in_pool, count(*) AS n FROM c GROUP BY 1, 2",
     "mechanism_ratios": f"""WITH {_CASES} SELECT {_share('saw_winner', 'saw_winner IS NOT NULL')} AS winner_retrieved, {_share('NOT saw_winner', 'wrong AND saw_winner IS NOT NULL')} AS wrong_without_seeing_winner,
-        {_share('NOT winner_in_pool', 'wrong AND winner_in_pool IS NOT NULL')} AS wrong_winner_not_in_pool FROM c""",
+        {_share('NOT winner_in_pool', 'wrong AND winner_in_pool IS NOT NULL')} AS wrong_winner_not_in_pool, count(winner_in_pool) AS superlatives_graded FROM c""",
     "text_grades": "SELECT p_partkey, p_partkey % 3 <> 1 AS ok, true AS carries, p_partkey % 2 = 1 AS named FROM part",
-    "rates_with_totals": f"WITH {_ANSWERS} SELECT dimension, count(*) AS n, round(avg(CASE WHEN reason = 'match' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS rate FROM g GROUP BY GROUPING SETS ((dimension), ())",
+    "rates_with_totals": f"WITH {_ANSWERS} SELECT dimension, grouping(dimension) = 1 AS is_total, count(*) AS n, round(avg(CASE WHEN reason = 'match' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS rate FROM g GROUP BY GROUPING SETS ((dimension), ())",
     "hallucinated_correct": f"""WITH {_ANSWERS} SELECT count(*) AS n, coalesce(round(avg(CASE WHEN coalesce(starts_with(CAST(CAST(found AS BIGINT) AS VARCHAR) || ' V', CAST(CAST(value AS BIGINT) AS VARCHAR)), false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4), 0.0::DOUBLE) AS share
         FROM g WHERE reason = 'hallucinated'""",
     "guard_rates": f"""WITH {CATALOGUE}, {_LABELS} SELECT held AS holdout, count(*) AS n, round(avg(CASE WHEN held AND p_partkey % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS refused FROM lab GROUP BY held""",
     "label_coverage": f"WITH {CATALOGUE} SELECT count(*) AS parts, count(channel) AS channel, count(vds) AS vds_v, count(*) FILTER (p_partkey % 7 <> 0) AS rdson_mohm, count(*) FILTER (p_partkey % 3 <> 0) AS id_a, count(*) FILTER (p_partkey % 2 = 0) AS package FROM cat",
-    "name_check": "SELECT count(*) AS decoded, count(*) FILTER (p_partkey % 4 <> 1) AS vds_agrees, count(*) FILTER (p_partkey % 10 <> 0) AS rdson_agrees FROM part",
+    "name_check": "SELECT count(*) AS decoded, count(*) FILTER (p_partkey % 4 <> 1) AS vds_agrees, count(*) FILTER (p_partkey % 10 <> 0) AS rdson_agrees FROM part WHERE p_partkey % 16 NOT IN (2, 3)",
     "name_disagreements": """SELECT 'PSMN0' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-040K' || p_partkey AS part, p_partkey % 4 <> 1 AS vds_agrees, p_partkey % 10 <> 0 AS rdson_agrees
-        FROM part WHERE p_partkey % 4 = 1 OR p_partkey % 10 = 0 ORDER BY part LIMIT 12""",
+        FROM part WHERE p_partkey % 10 = 0 AND p_partkey % 16 <> 2 ORDER BY part LIMIT 12""",
     "reference_current": """WITH r AS (SELECT l_orderkey AS part, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS INTEGER) AS pos, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS value, l_linestatus = 'O' AS warm, l_returnflag <> 'R' AS always FROM lineitem)
         SELECT part, pos, value FROM r QUALIFY row_number() OVER (PARTITION BY part ORDER BY (warm AND always) DESC, warm DESC, pos) = 1""",
     "first_seen_chunks": f"""WITH {_RAG}, s AS (SELECT qid, chunk_id, 0 AS s, rank AS r FROM dense WHERE rank % 2 = 0 UNION ALL SELECT qid, chunk_id, 1, rank FROM dense WHERE rank <= 5),

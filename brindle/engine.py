@@ -13,6 +13,7 @@ from brindle import errors, models
 from brindle.functions import text as T
 from brindle.operators import catalog, grading, names, planning, retrieval
 from brindle.sources import readers, sinks
+from brindle.sources.scratch import written
 
 STRATEGIES = ("dense", "dense+symbol", "hybrid-rrf")
 #: What a part's attributes are looked for by, and how many chunks each finds.
@@ -24,16 +25,18 @@ class Engine:
 
     embed and generate are injected; without them only what needs no model works. symbols: identifiers that a query
     names (Column -> Column); by default what is left once the catalogue's package names are taken out. The vocabulary is computed once.
+    Batches ask the models through a ledger (a folder; one of the session's own by default): one call a text, whatever reads the results.
     """
 
     def __init__(
         self, catalogue: DataFrame, index: DataFrame, embed: models.Embedder | None = None, generate: models.Generator | None = None,
-        symbols: Callable[[Column], Column] | None = None, token: str | None = None, base_url: str = "",
+        symbols: Callable[[Column], Column] | None = None, token: str | None = None, base_url: str = "", ledger: str | None = None,
     ):
         self.catalogue, self.index, self.base_url = catalogue, index, base_url
         self._embed, self._generate, self._token = embed, generate, token
         self.symbols = symbols
         self.spark: SparkSession = catalogue.sparkSession
+        self.ledger = models.Ledger(self.spark, ledger)
 
     @cached_property
     def vocabulary(self) -> planning.Vocabulary:
@@ -105,10 +108,11 @@ class Engine:
 
     def _searches(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         self._needs(embed=self._embed)
-        asked = self._named(models.embed(questions.select("qid", "question"), self._embed, "question", "q_vec"))
-        dense = retrieval.dense_search(asked.select("qid", "q_vec"), self.index)
+        asked = written(self._named(self.ledger.embed(questions.select("qid", "question"), self._embed, "question", "q_vec")), "asked")
+        # Both searches are read twice, for the ranking and for the evidence.
+        dense = written(retrieval.dense_search(asked.select("qid", "q_vec"), self.index), "dense")
         named = asked.select("qid", "q_vec", F.explode("symbols").alias("document_id"))
-        return asked, dense, retrieval.search_within(named, self.index)
+        return asked, dense, written(retrieval.search_within(named, self.index), "within")
 
     def retrieve(self, questions: DataFrame, strategy: str = STRATEGIES[-1]) -> DataFrame:
         """Document ranking of each question (qid, question): qid, document_id, rank."""
@@ -134,19 +138,38 @@ class Engine:
         stops = F.col("evidence").isNull() | (grading.guard_refuses(F.col("symbols"), F.coalesce("retrieved", F.array().cast("array<string>"))) if guard else F.lit(False))
         whole = whole.withColumn("_stops", stops)
         prompts = whole.where(~F.col("_stops")).select("qid", models.answer_prompt(F.col("question"), F.col("evidence")).alias("prompt"))
-        said = models.generate(prompts, self._generate).select("qid", "answer")
+        said = self.ledger.generate(prompts, self._generate).select("qid", "answer")
         joined = whole.select("qid", "retrieved").join(said, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit(T.REFUSAL)))
         return joined.select("qid", "answer", F.col("answer").contains(T.REFUSAL).alias("refused"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
 
+    def call(self, prompts: DataFrame) -> DataFrame:
+        """The model's plain answers to prompts (qid, prompt): qid, answer."""
+        self._needs(generate=self._generate)
+        return self.ledger.generate(prompts.select("qid", "prompt"), self._generate).select("qid", "answer")
+
+    def answer_sets(self, questions: DataFrame) -> DataFrame:
+        """Answers of set questions (qid, question), planned by the model and run in one plan: qid, route, kind, cond_class, value, unit, parts, candidates, refused.
+
+        A row a class, as run_query gives them. What the vocabulary doesn't bear out is refused, and never answered by the other route.
+        """
+        self._needs(generate=self._generate)
+        v = self.vocabulary
+        lead = models.planner_prompt("", list(v.packages), list(v.ratings), {f: list(c) for f, c in v.classes.items()})
+        said = self.call(questions.select("qid", F.concat(F.lit(lead), "question").alias("prompt")))
+        plans = written(planning.check_plans(said.select(F.col("qid").alias("id"), F.col("answer").alias("text")), catalog.vocabulary(self.catalogue)), "plans")
+        found = catalog.run_queries(self.catalogue, plans.where("route = 'catalog'").withColumnRenamed("id", "qid"))
+        joined = plans.select(F.col("id").alias("qid"), "route").join(found, "qid", "left")
+        return joined.withColumn("refused", F.coalesce(F.col("kind") == "empty", F.lit(True)))
+
     def ingest(self, chunks: DataFrame, token: str | None = None) -> DataFrame:
         """The index after chunks (id, document_id, index, total, text) replace their documents' chunks; stale ones go."""
         self._allowed(token)
         self._needs(embed=self._embed)
-        batch = models.embed(sinks.guarded(chunks, "document_id", "text", "index"), self._embed, "text", "vec")
+        batch = self.ledger.embed(sinks.guarded(chunks, "document_id", "text", "index"), self._embed, "text", "vec")
         renamed = batch.withColumnRenamed("id", "chunk_id").select("chunk_id", "document_id", "text", "vec")
         kept = self.index.withColumnRenamed("chunk_id", "id")
         kept = sinks.prune(kept, chunks).withColumnRenamed("id", "chunk_id").select("chunk_id", "document_id", "text", "vec")
-        self.index = sinks.upsert(kept, renamed, "chunk_id")
+        self.index = written(sinks.upsert(kept, renamed, "chunk_id"), "index")
         return self.index
 
     def extract(self, parts: DataFrame, token: str | None = None) -> DataFrame:
@@ -161,4 +184,4 @@ class Engine:
         chunks = retrieval.first_seen(searches).join(self.index.select("chunk_id", "text"), "chunk_id")
         texts = chunks.groupBy(F.col("qid").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
         prompts = texts.select("part", models.extraction_prompt(F.col("part"), F.col("texts")).alias("prompt"))
-        return models.generate(prompts, self._generate, out="text").select("part", "text")
+        return self.ledger.generate(prompts, self._generate, out="text").select("part", "text")

@@ -1,6 +1,6 @@
 """Model hooks: the caller injects embedders and generators; prompts, response decoding and retries are here.
 
-Nothing in this module reaches a network. Hooks run in Arrow batches on executors, and no other part of the library needs them.
+Nothing in this module reaches a network. Hooks run in Arrow batches on executors, and no other part of the library needs them. A ledger records their calls.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.sources.scratch import file_system, scratch_path, written
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Generator = Callable[[str], str]
@@ -82,6 +83,46 @@ def generate(df: DataFrame, generator: Generator, prompt: str = "prompt", out: s
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"]))
 
 
+class Ledger:
+    """A write-once record of one model's calls, in a folder that all executors share: each text is asked once, whatever reads the answers and however often.
+
+    Calls go by the SHA-256 of their text. Texts without a record are found by an anti-join, each once, and asked in tasks of a bounded
+    number; a task's answers are on record as soon as it commits, so a lost task repeats only its own, and a run after a failed one asks
+    only for what is missing. Two runs at once may both ask; the least answer counts then. One ledger a model.
+    """
+
+    CALLS_A_TASK = 256
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or scratch_path(spark, "ledger")
+
+    def _recorded(self, kind: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{kind}"
+        files, target = file_system(self.spark, path)
+        return self.spark.read.schema(schema).parquet(path) if files.exists(target) else self.spark.createDataFrame([], schema)
+
+    def _answered(self, df: DataFrame, kind: str, text: str, out: str, result: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """df with the answers to its texts, asked for now where the ledger has none; null texts have null answers."""
+        schema = f"_key string, _answer {result}"
+        key = F.sha2(F.col(f"`{text}`"), 256).alias("_key")
+        asked = df.select(key, F.col(f"`{text}`").alias("_text")).where("_text is not null").dropDuplicates(["_key"])
+        missing = written(asked.join(self._recorded(kind, schema).select("_key"), "_key", "left_anti"), "missing")
+        if n := missing.count():
+            answers = call(missing.repartition(-(-n // self.CALLS_A_TASK), "_key")).select("_key", "_answer")
+            # The second algorithm moves a task's file to its place when the task commits, not when all have.
+            answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.path}/{kind}")
+        once = self._recorded(kind, schema).groupBy("_key").agg(F.min("_answer").alias(out))
+        return df.withColumn("_key", key).join(once, "_key", "left").select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+    def embed(self, df: DataFrame, embedder: Embedder, text: str = "text", out: str = "embedding") -> DataFrame:
+        """models.embed, by the ledger."""
+        return self._answered(df, "embed", text, out, "array<float>", lambda asked: embed(asked, embedder, "_text", "_answer"))
+
+    def generate(self, df: DataFrame, generator: Generator, prompt: str = "prompt", out: str = "answer") -> DataFrame:
+        """models.generate, by the ledger."""
+        return self._answered(df, "generate", prompt, out, "string", lambda asked: generate(asked, generator, "_text", "_answer"))
+
+
 def decode_response(raw: Column) -> Column:
     """The text of a model's JSON response, in either of two shapes; a sentinel where there is none."""
     v = F.try_parse_json(raw)

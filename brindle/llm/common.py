@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.scratch import file_system, scratch_path
+
 #: White space of the contracts (0x20 and 0x09 to 0x0D) as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 
-_OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN_FOLDERS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="brindle-"))
-    elif "://" not in base:
-        # A plain path belongs to the cluster's default file system, as everywhere in Spark.
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and "://" not in base else base
-    return base.rstrip("/")
-
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
-    except Exception:  # the session has gone; the folder's owner cleans up
-        pass
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver process ends."""
-    path = f"{shared_folder(spark)}/brindle/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete_at_exit, spark, path)
-    return path
+    files, target = file_system(spark, path)
+    files.delete(target, True)
 
 
 class Written:
@@ -58,7 +23,7 @@ class Written:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
-        self.path = new_folder(self.spark, label)
+        self.path = scratch_path(self.spark, label)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

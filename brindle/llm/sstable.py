@@ -29,8 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import attempt, new_folder
+from brindle.llm.common import attempt
 from brindle.llm.tokenizing import encoder, rounds
+from brindle.sources.scratch import scratch_path
 
 MAGIC = b"BRNDLSST"
 FOOTER = struct.Struct("<QQQQQQB3xI8s")
@@ -305,5 +306,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def token_shards(documents: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
     """Write documents as token shards in the shared folder and describe them as read back."""
     spark = documents.sparkSession
-    manifest = write_token_shards(documents, new_folder(spark, "shards"), vocabulary, end_id)
+    manifest = write_token_shards(documents, scratch_path(spark, "shards"), vocabulary, end_id)
     return read_token_shards(spark, manifest)

@@ -19,14 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep."""
     # Columns of the input that bear a result's name travel under another.
     own = {c: c if c in ("text", "lang") else f"_column_{i}" for i, c in enumerate(docs.columns)}
-    judged = quality.quality(docs.select(*[F.col(c).alias(name) for c, name in own.items()]))
+    judged = quality.quality(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
     return judged.where("kept").select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
 def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines; n_chars follows the text."""
     own = {c: c if c in ("doc_id", "text", "source", "n_chars") else f"_column_{i}" for i, c in enumerate(docs.columns)}
-    cut = line_dedup.line_dedup(docs.select(*[F.col(c).alias(name) for c, name in own.items()]))
+    cut = line_dedup.line_dedup(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
     length = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return cut.withColumn("n_chars", length).select(*[F.col(name).alias(c) for c, name in own.items()])
 
@@ -60,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mixture's number of passes."""
     own = {c: c if c in ("doc_id", "text", "source") else f"_column_{i}" for i, c in enumerate(docs.columns)}
-    mixed = mixing.mix(docs.select(*[F.col(c).alias(name) for c, name in own.items()]))
+    mixed = mixing.mix(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
     return mixed.select(*[F.col(name).alias(c) for c, name in own.items()])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brindle import errors, models
 from brindle.functions import text as T
 from brindle.operators import catalog, grading, names, planning, retrieval
+from brindle.operators.cells import CellIndex
 from brindle.sources import readers, sinks
 from brindle.sources.scratch import written
 
@@ -37,6 +38,7 @@ class Engine:
         self.symbols = symbols
         self.spark: SparkSession = catalogue.sparkSession
         self.ledger = models.Ledger(self.spark, ledger)
+        self._cells: tuple[DataFrame, CellIndex] | None = None
 
     @cached_property
     def vocabulary(self) -> planning.Vocabulary:
@@ -106,11 +108,17 @@ class Engine:
         found = names.named_parts(asked.select(F.col("qid").alias("id"), F.col("question").alias("text")), known)
         return asked.join(found.select(F.col("id").alias("qid"), F.col("named").alias("symbols")), "qid")
 
+    def cells(self) -> CellIndex:
+        """The cells of the index as it is now; written once, until the next ingest."""
+        if self._cells is None or self._cells[0] is not self.index:
+            self._cells = (self.index, CellIndex.build(self.index))
+        return self._cells[1]
+
     def _searches(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         self._needs(embed=self._embed)
         asked = written(self._named(self.ledger.embed(questions.select("qid", "question"), self._embed, "question", "q_vec")), "asked")
         # Both searches are read twice, for the ranking and for the evidence.
-        dense = written(retrieval.dense_search(asked.select("qid", "q_vec"), self.index), "dense")
+        dense = written(self.cells().search(asked.select("qid", "q_vec"), retrieval.K), "dense")
         named = asked.select("qid", "q_vec", F.explode("symbols").alias("document_id"))
         return asked, dense, written(retrieval.search_within(named, self.index), "within")
 

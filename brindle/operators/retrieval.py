@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.operators.cells import CellIndex
 from brindle.sources.scratch import written
 
 K, FUSION_K, WEIGHTS = 10, 60, (1.0, 2.0)
-#: Bytes of query vectors that may be broadcast to the chunks; more queries meet the chunks in cells of a grid.
-BROADCAST_BYTES = 32 << 20
-#: Columns of that grid: each chunk is sent to one cell a block of queries, so a block's work is spread over so many tasks.
-CHUNK_BLOCKS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,22 +36,9 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame
     """Every query against every chunk: the k best by cosine. queries: qid, q_vec and, if a query is a chunk itself, its id as own;
     chunks: chunk_id, document_id, vec.
 
-    Norms are computed once a vector. A query set within the bound goes to all chunks as a broadcast; a
-    larger one meets them in a grid of query and chunk blocks. WindowGroupLimit keeps k rows a query before the shuffle.
+    A CellIndex of the chunks is written and searched; keep one where the same chunks are searched again.
     """
-    q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
-    c = chunks.withColumn("c_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    size = queries.agg(F.sum(F.lit(64) + F.size("q_vec") * 8)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        pairs = c.withColumn("_block", F.lit(0)).join(F.broadcast(q.withColumn("_block", F.lit(0))), "_block")
-    else:
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        blocks = size // BROADCAST_BYTES + 1
-        rows = q.withColumn("_block", block("qid", blocks)).withColumn("_column", every(CHUNK_BLOCKS))
-        pairs = c.withColumn("_column", block("chunk_id", CHUNK_BLOCKS)).withColumn("_block", every(blocks)).join(rows, ["_block", "_column"])
-    scored = _scored(_others(pairs).withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
-    return top_k(scored.select("qid", "chunk_id", "document_id", "score"), k, "chunk_id")
+    return CellIndex.build(chunks).search(queries, k)
 
 
 def search_within(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from brindle.functions import text as T
 
@@ -15,6 +20,8 @@ SYMBOL_ROW = r"^(\s*)([A-Z][A-Za-z0-9()]{0,7})(\s{2,})([a-z][a-z\-\s]{2,}?)(\s{2
 DATA_ROW = r"\s(-?[\d.]+|-)\s+[^\s]*\s*(V|A|W|K/W|°C|nC|µA|mA|mΩ|Ω|nF|pF|ns|µs|mJ)\s*$"
 HAS_CONDITION = r"[A-Za-z]+\s*=\s*-?[\d.]"
 TARGET, OVERLAP, CEILING = 1100, 180, 1800
+#: Unicode's white space, as trim takes it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -58,57 +65,65 @@ def prepare(documents: DataFrame, running_head: str | None = None) -> DataFrame:
     return joined.select("id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def _split_oversize(block: Column) -> Column:
+def _pieces(block: str) -> Iterator[str]:
     """A block over the ceiling: its lines packed up to the target, a longer line in slices."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("piece"))
-
-    def step(s: Column, line: Column) -> Column:
-        full = (F.length(s["piece"]) > 0) & (F.length(s["piece"]) + 1 + F.length(line) > TARGET)
-        done = F.when(full, F.array_append(s["done"], s["piece"])).otherwise(s["done"])
-        piece = F.when(full, F.lit("")).otherwise(s["piece"])
-        slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / TARGET).cast("int")), lambda i: F.substr(line, i * TARGET + 1, F.lit(TARGET)))
-        joined = F.when(F.length(piece) > 0, F.concat(piece, F.lit("\n"), line)).otherwise(line)
-        return F.when(F.length(line) > CEILING, F.struct(F.concat(done, slices).alias("done"), piece.alias("piece"))).otherwise(
-            F.struct(done.alias("done"), joined.alias("piece"))
-        )
-
-    end = lambda s: F.when(F.length(s["piece"]) > 0, F.array_append(s["done"], s["piece"])).otherwise(s["done"])
-    packed = F.aggregate(F.split(block, "\n"), state, step, end)
-    return F.when(F.length(block) <= CEILING, F.array(block)).otherwise(packed)
-
-
-def tail(text: Column, budget: int = OVERLAP) -> Column:
-    """Last whole lines that fit the budget, each counted with the break after it."""
-    state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"), F.lit(False).alias("over"))
-
-    def step(s: Column, line: Column) -> Column:
-        over = s["over"] | (s["size"] + F.length(line) > budget)
-        kept = F.when(over, s["kept"]).otherwise(F.array_append(s["kept"], line))
-        return F.struct(kept.alias("kept"), F.when(over, s["size"]).otherwise(s["size"] + F.length(line) + 1).alias("size"), over.alias("over"))
-
-    return F.aggregate(F.reverse(F.split(text, "\n")), state, step, lambda s: F.array_join(F.reverse(s["kept"]), "\n"))
+    if len(block) <= CEILING:
+        yield block
+        return
+    start = end = at = 0  # the open piece, and where the next line begins
+    while at <= len(block):
+        stop = block.find("\n", at)
+        stop = len(block) if stop < 0 else stop
+        if end > start and stop - start > TARGET:
+            yield block[start:end]
+            start = end = at
+        if stop - at > CEILING:
+            yield from (block[i : min(i + TARGET, stop)] for i in range(at, stop, TARGET))
+            start = end = stop + 1
+        else:
+            start, end = (start if end > start else at), stop
+        at = stop + 1
+    if end > start:
+        yield block[start:end]
+
+
+def _tail(text: str) -> str:
+    """Last whole lines that fit the overlap: what follows the first line break within it."""
+    if len(text) <= OVERLAP:
+        return text
+    return text[-OVERLAP - 1 :].partition("\n")[2]
+
+
+def _packed(text: str) -> Iterator[str]:
+    current = ""
+    for block in re.split("\n{2,}", text):
+        for piece in _pieces(block) if block.strip(SPACES) else ():
+            if current and len(current) + 2 + len(piece) > TARGET:
+                yield current.strip(SPACES)
+                current = _tail(current)
+            current = f"{current}\n\n{piece}" if current else piece
+    if current.strip(SPACES):
+        yield current.strip(SPACES)
+
+
+def _cut(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else list(_packed(t)))
 
 
 def chunks_of(text: Column) -> Column:
-    """Chunks of a text: blocks packed greedily to the target, each chunk seeded with the last one's tail."""
-    blocks = F.flatten(F.transform(F.filter(F.split(T.normalise(text), r"\n{2,}"), lambda b: T.trim(b) != ""), _split_oversize))
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"))
+    """Chunks of a text: blocks packed greedily to the target, each chunk seeded with the last one's tail. Linear in the text's length.
 
-    def step(s: Column, block: Column) -> Column:
-        full = (F.length(s["current"]) > 0) & (F.length(s["current"]) + 2 + F.length(block) > TARGET)
-        done = F.when(full, F.array_append(s["done"], T.trim(s["current"]))).otherwise(s["done"])
-        current = F.when(full, tail(s["current"])).otherwise(s["current"])
-        joined = F.when(F.length(current) > 0, F.concat(current, F.lit("\n\n"), block)).otherwise(block)
-        return F.struct(done.alias("done"), joined.alias("current"))
-
-    last = lambda s: F.when(T.trim(s["current"]) != "", F.array_append(s["done"], T.trim(s["current"]))).otherwise(s["done"])
-    return F.aggregate(blocks, state, step, last)
+    In Arrow batches: Spark copies a fold's state at every step, so a fold that builds the list is quadratic.
+    """
+    return F.pandas_udf(_cut, ArrayType(StringType()))(T.normalise(text))
 
 
 def chunk(documents: DataFrame) -> DataFrame:
     """Chunk documents (id, text): id (document#index), document_id, index, total, text."""
+    # The number of chunks is in each element: beside the generator, it would need all chunks in every row.
+    counted = lambda c: F.transform(c, lambda x, i: F.struct(i.alias("index"), F.size(c).alias("total"), x.alias("text")))
     cut = documents.select(F.col("id").alias("document_id"), chunks_of(F.col("text")).alias("c"))
-    rows = cut.select("document_id", F.size("c").alias("total"), F.posexplode("c").alias("index", "text"))
+    rows = cut.select("document_id", F.inline(counted(F.col("c"))))
     return rows.select(F.concat_ws("#", "document_id", "index").alias("id"), "document_id", "index", "total", "text")
 
 

@@ -160,6 +160,17 @@ def test_chunks_by_brute_force(spark):
     assert got == {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(plain_chunks(t))}
 
 
+def test_chunks_of_long_texts(spark):
+    """Lines, blocks and runs of blanks of 4 MB: all text is cut, and nothing grows with the square of its length."""
+    units = ["word word word word word word\n", "some words here\nand here\n\n", " " * 1000 + "x", "x" * 997]
+    texts = [u * (4_000_000 // len(u)) for u in units] + ["", None, " \n\n\u3000"]
+    rows = R.chunk(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.max("index").alias("last"), F.max(F.length("text")).alias("long")
+    )
+    found = {int(r.document_id): r for r in rows.collect()}
+    assert sorted(found) == [0, 1, 2, 3] and all(r.n == r.total == r.last + 1 and r.long <= 1800 for r in found.values()) and found[3].n == -(-len(texts[3]) // 1100)
+
+
 def test_prepare(spark):
     text = "Product data sheet\nVDS   drain-source voltage   Tj = 25 °C   -   30   V\n      Tj = -55 °C   -   27   V\n\n      Tj = 25 °C   -   1   V\nplain prose\n12. Legal information\nnever"
     got = R.prepare(spark.createDataFrame([("a", text)], "id string, text string")).first().text.split("\n")

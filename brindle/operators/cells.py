@@ -224,6 +224,8 @@ class CellIndex:
             q, wanted = matrix(left["q_vec"], dims), left["cells"].to_pylist()
             q_norm, x_norm = np.sqrt(_in_order(q, q)), np.sqrt(_in_order(x, x))
             units, x_units = q / q_norm[:, None], x / x_norm[:, None]
+            # What is below the kth found before can't be among the k best.
+            least = left["kth"].to_numpy() if "kth" in left.column_names else np.full(len(q), -np.inf)
             own, places = None, {}
             if "own" in left.column_names:
                 own = left["own"].to_pylist()
@@ -242,6 +244,7 @@ class CellIndex:
                 dots = [_in_order(q[row[i : i + PAIRS]], x[j[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
                 score = np.concatenate(dots) / (q_norm[row] * x_norm[j]) if dots else np.zeros(0)
                 best = np.lexsort((j, -score, row))
+                best = best[score[best] >= least[row[best]]]
                 row, j, score = row[best], j[best], score[best]
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
                 keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
@@ -271,7 +274,7 @@ class CellIndex:
         first = written(self._meet(near, k), "first")
         home = near.groupBy("qid").agg(F.flatten(F.collect_list("cells")).alias("home"))
         # The kth of what the nearest cells gave; too few (a repeated own id) bound nothing.
-        kth = top_k(first, k, "chunk_id").groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-1.0).alias("kth"))
-        bounded = asked.join(home, "qid").join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
+        kth = top_k(first, k, "chunk_id").groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("kth"))
+        bounded = asked.join(home, "qid").join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
         rest = self._meet(written(self.routes(bounded, k), "routes"), k)
         return top_k(first.unionByName(rest), k, "chunk_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.operators import planning, retrieval
 from brindle.sources.scratch import written
 
 
@@ -99,6 +100,42 @@ def storage_curve(sizes: DataFrame, dims: int = 1024) -> DataFrame:
     return sizes.withColumns({"stored_dims": stored.cast("long"), "cost": cost})
 
 
+def first_documents(chunks: DataFrame, n: int | None) -> DataFrame:
+    """The chunks of the first n documents by id (None: all)."""
+    if n is None:
+        return chunks
+    return chunks.join(chunks.select("document_id").distinct().orderBy("document_id").limit(n), "document_id", "left_semi")
+
+
+def recall_curve(questions: DataFrame, chunks: DataFrame, sizes: dict[str, int | None], dims: int = 1024) -> DataFrame:
+    """What growth costs: a row for each size of the index (its first n documents by id; None: all), with the documents and chunks it
+    holds, its storage and cost, and the quality of dense and fused search over the questions whose gold document it holds.
+
+    questions: qid, q_vec, gold, symbol (the document a question names, or null) and, if questions are chunks themselves, own; chunks:
+    chunk_id, document_id, vec. Each size is searched as an index of its own. An index that answers no question has zeros.
+    """
+    out = None
+    for name, n in sizes.items():
+        part = first_documents(chunks, n)
+        # Semi joins meet the size's documents twice and both searches read its questions.
+        asked = written(planning.in_index(questions, part, "gold"), "asked")
+        dense = retrieval.to_documents(written(retrieval.dense_search(asked.drop("gold", "symbol"), part), "dense"))
+        within = retrieval.search_within(asked.where("symbol IS NOT NULL").withColumn("document_id", F.col("symbol")).drop("gold", "symbol"), part)
+        fused = retrieval.fuse([dense, retrieval.to_documents(within)])
+        gold = asked.select("qid", "gold")
+        quality = lambda ranked, prefix: retrieval_metrics(gold_ranks(ranked.select("qid", "document_id", "rank"), gold)).select(
+            "questions", *[F.col(c).alias(f"{prefix}_{c}") for c in ("recall_1", "recall_5", "mrr")]
+        )
+        held = storage_curve(part.agg(F.lit(name).alias("size"), F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks")), dims)
+        # One row each, joined by the size's name.
+        row = held
+        for ranked, prefix in ((dense, "dense"), (fused, "fused")):
+            scores = quality(ranked, prefix).withColumn("size", F.lit(name))
+            row = row.join(scores if prefix == "dense" else scores.drop("questions"), "size")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def joined_cells(catalogue: DataFrame, labels: DataFrame) -> DataFrame:
     """Six fields of catalogue rows (part, vds, rdson, id, package) beside the labels (part, vds_v, rdson_mohm, id_a, package) of their
     parts: part, field, agrees, catalogue, label; a row where the label has the field.

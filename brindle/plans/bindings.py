@@ -22,6 +22,7 @@ from brindle.operators import retrieval as S
 from brindle.plans import views as V
 from brindle.sources import readers, sinks
 from brindle.sources.scratch import scratch_path
+from brindle.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +430,21 @@ def index_sizes_curve(spark, sf):
     return E.storage_curve(readers.index_sizes(c, {"s": 5, "m": 100, "l": None}))
 
 
+@query
+def recall_by_size(spark, sf):
+    return E.recall_curve(V.rag_queries(spark, sf), V.chunks(spark, sf), {"s": 2, "m": 5, "l": None})
+
+
+@query
+def ingest_settled(spark, sf):
+    # Of two versions of each third document the shorter later one is met first, and an older one comes once more at the end.
+    old = _index(spark, sf).withColumn("version", F.lit("1"))
+    new = old.where("key % 3 = 0 AND index < 2").withColumns({"version": F.lit("2"), "total": F.least("total", F.lit(2))})
+    part = old.where("key % 6 = 0 AND index = 3").withColumn("version", F.lit("3"))
+    met = new.unionByName(part).unionByName(old).unionByName(old.where("key % 2 = 0"))
+    return ingest.settle(met, ingest.declarations(met)).select("id", "document_id", "version")
+
+
 @query
 def index_stats(spark, sf):
     return readers.index_stats(V.table(spark, sf, "embeddings"))

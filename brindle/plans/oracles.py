@@ -188,6 +188,9 @@ ORACLES: dict[str, str] = {
         FROM (SELECT lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents) GROUP BY lang""",
     "ingest_replace": f"""WITH {_INDEX} SELECT document_id || '#' || index AS id, document_id, CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END AS version
         FROM idx WHERE key % 3 <> 0 OR index < 2""",
+    "ingest_settled": f"""WITH {_INDEX} SELECT document_id || '#' || index AS id, document_id,
+            CASE WHEN key % 6 = 0 AND index = 3 THEN '3' WHEN key % 3 = 0 THEN '2' ELSE '1' END AS version
+        FROM idx WHERE key % 3 <> 0 OR index < 2 OR (key % 6 = 0 AND index = 3)""",
     "stale_ids": f"""WITH {_INDEX}, s AS (SELECT DISTINCT document_id, document_id || '#' || unnest(range(total, total + 80)) AS id FROM idx)
         SELECT document_id, min(id) AS first, count(*) AS n FROM s GROUP BY document_id""",
     "set_questions": f"""WITH {CATALOGUE},
@@ -215,6 +218,22 @@ ORACLES: dict[str, str] = {
     "index_sizes_curve": f"""WITH {_INDEX}, d AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY key) AS i FROM idx GROUP BY key),
         s AS (SELECT 's' AS size, count(*) AS documents, CAST(sum(n) AS BIGINT) AS chunks FROM d WHERE i <= 5 UNION ALL SELECT 'm', count(*), CAST(sum(n) AS BIGINT) FROM d WHERE i <= 100 UNION ALL SELECT 'l', count(*), CAST(sum(n) AS BIGINT) FROM d)
         SELECT *, chunks * 1024 AS stored_dims, round(greatest(0.0::DOUBLE, chunks * 1024 - 10000000.0::DOUBLE) / 100000000.0::DOUBLE * 0.05, 4) AS cost FROM s""",
+    "recall_by_size": f"""WITH {_RAG}, per AS (SELECT document_id, count(*) AS n, row_number() OVER (ORDER BY document_id) AS i FROM c GROUP BY document_id),
+        held AS (SELECT size, document_id, n FROM per JOIN (VALUES ('s', 2), ('m', 5), ('l', 1000000000)) z(size, most) ON i <= most),
+        asks AS (SELECT size, qid, gold FROM q JOIN held ON gold = document_id),
+        near AS (SELECT size, qid, symbol, chunk_id, document_id, score FROM sims JOIN held USING (document_id) JOIN asks USING (size, qid)),
+        d10 AS (SELECT *, row_number() OVER (PARTITION BY size, qid ORDER BY score DESC, chunk_id) AS rank FROM near QUALIFY rank <= 10),
+        s10 AS (SELECT *, row_number() OVER (PARTITION BY size, qid ORDER BY score DESC, chunk_id) AS rank FROM near WHERE symbol = document_id QUALIFY rank <= 10),
+        dd AS (SELECT size, qid, document_id, row_number() OVER (PARTITION BY size, qid ORDER BY min(rank)) AS rank FROM d10 GROUP BY size, qid, document_id),
+        ss AS (SELECT size, qid, document_id, row_number() OVER (PARTITION BY size, qid ORDER BY min(rank)) AS rank FROM s10 GROUP BY size, qid, document_id),
+        both_lists AS (SELECT size, qid, document_id, 1.0::DOUBLE / (60 + rank) AS p, rank AS seen FROM dd UNION ALL SELECT size, qid, document_id, 2.0::DOUBLE / (60 + rank), 100000 + rank FROM ss),
+        ff AS (SELECT size, qid, document_id, row_number() OVER (PARTITION BY size, qid ORDER BY round(sum(p), 12) DESC, min(seen)) AS rank FROM both_lists GROUP BY size, qid, document_id),
+        hits AS (SELECT a.size, a.qid, coalesce(min(dd.rank), 0) AS dr, coalesce(min(ff.rank), 0) AS fr FROM asks a
+                 LEFT JOIN dd ON dd.size = a.size AND dd.qid = a.qid AND dd.document_id = a.gold LEFT JOIN ff ON ff.size = a.size AND ff.qid = a.qid AND ff.document_id = a.gold GROUP BY a.size, a.qid),
+        scores AS (SELECT size, count(*) AS questions, {', '.join(f"round(avg(CASE WHEN {r} BETWEEN 1 AND {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS {n}_recall_{k}" for n, r in (('dense', 'dr'), ('fused', 'fr')) for k in (1, 5))},
+                   {', '.join(f"round(avg(CASE WHEN {r} > 0 THEN 1.0::DOUBLE / {r} ELSE 0.0::DOUBLE END), 4) AS {n}_mrr" for n, r in (('dense', 'dr'), ('fused', 'fr')))} FROM hits GROUP BY size),
+        sizes AS (SELECT size, count(*) AS documents, CAST(sum(n) AS BIGINT) AS chunks FROM held GROUP BY size)
+        SELECT *, chunks * 1024 AS stored_dims, round(greatest(0.0::DOUBLE, chunks * 1024 - 10000000.0::DOUBLE) / 100000000.0::DOUBLE * 0.05, 4) AS cost FROM sizes JOIN scores USING (size)""",
     "index_stats": "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dims FROM embeddings",
     "parse_plan": """SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN 'catalog' WHEN 2 THEN 'lookup' WHEN 4 THEN 'catalog' ELSE 'unsupported' END AS route,
         CASE event_id % 5 WHEN 1 THEN 'min' WHEN 4 THEN 'count' END AS op, CASE event_id % 5 WHEN 1 THEN 'rdson' END AS field,

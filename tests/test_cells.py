@@ -79,3 +79,22 @@ def test_vectors_without_cosine(spark):
     found = dense_search(asked, spark.createDataFrame(good + odd, CHUNKS), 10).collect()
     assert sorted((r.qid, r["rank"], r.chunk_id) for r in found) == [(0, 1, "a"), (0, 2, "c"), (0, 3, "b"), (1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (2, 2, "c"), (2, 3, "b")]
     assert dense_search(asked, spark.createDataFrame(odd[:4], CHUNKS), 3).count() == 0 and dense_search(asked.limit(0), spark.createDataFrame(good, CHUNKS), 3).count() == 0
+
+
+def test_recall_curve(spark):
+    """Each size searches its own documents and asks only what they hold; a size that answers no question has zeros."""
+    from brindle.operators import evaluation as E
+
+    chunks = [(f"{d}#{i}", d, [float(x), float(y), 1.0]) for d, i, x, y in [("a", 0, 9, 0), ("a", 1, 8, 0), ("b", 0, 0, 9), ("c", 0, 9, 1), ("d", 0, 0, 8)]]
+    c = spark.createDataFrame(chunks, "chunk_id string, document_id string, vec array<double>")
+    # The first question is nearest to c, but asks about a, which it names; the last one's document is nowhere.
+    asked = [(1, [9.0, 1.0, 1.0], "a", "a"), (2, [0.0, 9.0, 1.0], "b", None), (3, [0.0, 8.0, 1.0], "b", None), (4, [1.0, 1.0, 1.0], "z", None)]
+    q = spark.createDataFrame(asked, "qid long, q_vec array<double>, gold string, symbol string")
+    got = {r["size"]: r for r in E.recall_curve(q, c, {"one": 1, "two": 2, "all": None}).collect()}
+    figures = lambda r: (r.documents, r.chunks, r.questions, r.dense_recall_1, r.dense_recall_5, r.fused_recall_1)
+    assert figures(got["one"]) == (1, 2, 1, 1.0, 1.0, 1.0)
+    assert figures(got["two"]) == (2, 3, 3, 1.0, 1.0, 1.0)
+    assert figures(got["all"]) == (4, 5, 3, round(1 / 3, 4), 1.0, round(2 / 3, 4))
+    assert got["all"].stored_dims == 5 * 1024 and got["all"].cost == 0.0
+    none = E.recall_curve(q.where("gold = 'z'"), c, {"one": 1}).first()
+    assert figures(none) == (1, 2, 0, 0.0, 0.0, 0.0)

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,7 +180,22 @@ def test_prepare(spark):
 
 def test_degenerate(one):
     bad = lambda t: one(R.is_degenerate(F.lit(t)))
-    assert bad("ohm " * 20) and not bad("ohm " * 5) and not bad("The rating is 25 A at VGS = 10 V; ID = 25 A and Tj = 25 °C for this part")
+    assert bad("ohm " * 20) and not bad("ohm " * 5) and not bad("") and not bad("The rating is 25 A at VGS = 10 V; ID = 25 A and Tj = 25 °C for this part")
+
+
+def test_degenerate_shares(spark):
+    """Texts whose commonest word has a share about the limit, in three orders, against plain counts."""
+    r = random.Random(3)
+    texts = []
+    for n in (0, 1, 11, 12, 13, 40, 200):
+        for share in (0.1, 0.29, 0.3, 0.31, 0.5, 1.0):
+            often = int(n * share)
+            words = ["ohm"] * often + [f"w{r.randrange(max(1, n // r.choice([1, 2, 4])))}" for _ in range(n - often)]
+            texts += [" ".join(order) for order in (words, words[::-1], sorted(words, key=lambda _: r.random()))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.is_degenerate(F.col("t")).alias("bad")).collect()
+    for row in got:
+        words = row.t.split()
+        assert row.bad == (len(words) >= 12 and max(Counter(words).values()) / len(words) > 0.3), row
 
 
 DATASHEET = """N-channel 30 V MOSFET

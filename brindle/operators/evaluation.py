@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -114,26 +116,22 @@ def recall_curve(questions: DataFrame, chunks: DataFrame, sizes: dict[str, int |
     questions: qid, q_vec, gold, symbol (the document a question names, or null) and, if questions are chunks themselves, own; chunks:
     chunk_id, document_id, vec. Each size is searched as an index of its own. An index that answers no question has zeros.
     """
-    out = None
+    held, hits = [], []
     for name, n in sizes.items():
         part = first_documents(chunks, n)
-        # Semi joins meet the size's documents twice and both searches read its questions.
         asked = written(planning.in_index(questions, part, "gold"), "asked")
-        dense = retrieval.to_documents(written(retrieval.dense_search(asked.drop("gold", "symbol"), part), "dense"))
-        within = retrieval.search_within(asked.where("symbol IS NOT NULL").withColumn("document_id", F.col("symbol")).drop("gold", "symbol"), part)
-        fused = retrieval.fuse([dense, retrieval.to_documents(within)])
         gold = asked.select("qid", "gold")
-        quality = lambda ranked, prefix: retrieval_metrics(gold_ranks(ranked.select("qid", "document_id", "rank"), gold)).select(
-            "questions", *[F.col(c).alias(f"{prefix}_{c}") for c in ("recall_1", "recall_5", "mrr")]
-        )
-        held = storage_curve(part.agg(F.lit(name).alias("size"), F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks")), dims)
-        # One row each, joined by the size's name.
-        row = held
-        for ranked, prefix in ((dense, "dense"), (fused, "fused")):
-            scores = quality(ranked, prefix).withColumn("size", F.lit(name))
-            row = row.join(scores if prefix == "dense" else scores.drop("questions"), "size")
-        out = row if out is None else out.unionByName(row)
-    return out
+        dense = retrieval.to_documents(written(retrieval.dense_search(asked.drop("gold", "symbol"), part), "dense"))
+        named = asked.where("symbol IS NOT NULL").withColumn("document_id", F.col("symbol")).drop("gold", "symbol")
+        fused = retrieval.fuse([dense, retrieval.to_documents(retrieval.search_within(named, part))])
+        both = gold_ranks(dense, gold).withColumnRenamed("rank", "dense").join(gold_ranks(fused.drop("score"), gold).withColumnRenamed("rank", "fused"), "qid")
+        hits.append(written(both.select(F.lit(name).alias("size"), "dense", "fused"), "hits"))
+        held.append(part.select(F.lit(name).alias("size"), "document_id"))
+    whole = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    figures = {f"{c}_{f}": m for c in ("dense", "fused") for f, m in (("recall_1", mean(recall_at(F.col(c), 1))), ("recall_5", mean(recall_at(F.col(c), 5))), ("mrr", mean(reciprocal(F.col(c)))))}
+    quality = whole(hits).groupBy("size").agg(F.count(F.lit(1)).alias("questions"), *[m.alias(c) for c, m in figures.items()])
+    stored = whole(held).groupBy("size").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks"))
+    return storage_curve(stored, dims).join(quality, "size", "left").fillna(0, ["questions", *figures])
 
 
 def joined_cells(catalogue: DataFrame, labels: DataFrame) -> DataFrame:

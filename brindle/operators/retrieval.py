@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions.joins import beside
 from brindle.operators.cells import CellIndex
 from brindle.sources.scratch import written
 
@@ -129,10 +130,17 @@ def stride_sample(df: DataFrame, k: int, *order: str) -> DataFrame:
 def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
     """Documents (doc_id, text) and the names (name) they hold as whole tokens: doc_id, name.
 
-    Texts meet names by equal tokens, a name of several by its first one; only then is the whole name looked for.
+    Texts meet names by equal tokens, a name of several by its first one; only then is the whole name looked for. Tokens travel without
+    their text, which comes back by doc_id for names of several.
     """
     token = r"[A-Za-z0-9]+"
     read = lambda c: F.regexp_extract_all(F.lower(T.fold_dashes(c)), F.lit(token), F.lit(0))
-    wanted = names.select("name", F.get(read(F.col("name")), F.lit(0)).alias("_token"), (~F.col("name").rlike(f"^{token}$")).alias("_several")).distinct()
-    held = documents.select("doc_id", "text", F.explode(F.array_distinct(read(F.col("text")))).alias("_token"))
-    return held.join(wanted, "_token").where(~F.col("_several") | T.mentions(F.col("text"), F.col("name"))).select("doc_id", "name")
+    wanted = names.select("name", F.get(read(F.col("name")), F.lit(0)).alias("_token"), (~F.col("name").rlike(f"^{token}$")).alias("_several")).where("_token is not null").distinct()
+    n = wanted.agg(F.count(F.lit(1)).alias("names"), F.count_if("_several").alias("several")).first()
+    held = documents.select("doc_id", F.explode(F.array_distinct(read(F.col("text")))).alias("_token")).join(beside(wanted, n["names"]), "_token")
+    found = held.where(~F.col("_several")).select("doc_id", "name")
+    if not n["several"]:
+        return found
+    maybe = held.where("_several").select(F.col("doc_id").alias("_doc"), "name").distinct()
+    whole = documents.join(maybe, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(T.mentions(F.col("text"), F.col("name")))
+    return found.unionByName(whole.select("doc_id", "name"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions.joins import beside
 
 # A hyphen belongs to a token, so a name stands alone where no letter, digit or hyphen touches it.
 TOKEN = r"[A-Za-z0-9-]+"
@@ -40,18 +41,19 @@ def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     The vocabulary is read as a trie of two levels, both tables: a token that begins some name asks, for each length that such names have, for
     the name of so many tokens from there. Both joins are by equality, so neither a large vocabulary nor a long text makes pairs. A row
-    of the first join holds the tokens that the longest name needs, not the text.
+    of the first join holds the tokens that the longest name needs, not the text. Only the vocabulary is ever broadcast, by its counted names.
     """
     known = vocabulary(names)
-    longest = known.agg(F.max("n")).first()[0] or 0
+    most = known.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("names")).first()
+    longest = most["n"] or 0
     lengths = known.groupBy("first").agg(F.collect_set("n").alias("_lengths"))
     tokens, gaps = F.col("_tokens"), F.col("_gaps")
     read = texts.select("id", T.fold_dashes(F.col("text")).alias("_text")).select("id", _tokens(F.col("_text")).alias("_tokens"), F.split("_text", TOKEN).alias("_gaps")).where(F.size("_tokens") > 0)
     window = lambda i: F.struct(i.alias("at"), F.slice(tokens, i + 1, F.lit(longest)).alias("tokens"), F.slice(gaps, i + 1, F.lit(longest + 1)).alias("gaps"))
     places = read.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_tokens") - 1), window)).alias("_w")).select("id", "_w.*")
-    met = places.withColumn("first", F.lower(F.get("tokens", F.lit(0)))).join(lengths, "first").withColumn("n", F.explode("_lengths")).where(F.col("n") <= F.size("tokens"))
+    met = places.withColumn("first", F.lower(F.get("tokens", F.lit(0)))).join(beside(lengths, most["names"]), "first").withColumn("n", F.explode("_lengths")).where(F.col("n") <= F.size("tokens"))
     cores = met.select("id", "at", "n", _core(F.col("tokens"), F.col("gaps"), F.col("n")).alias("core"), F.lower(F.get("gaps", F.lit(0))).alias("_before"), F.lower(F.get("gaps", F.col("n"))).alias("_after"))
-    found = cores.join(known, ["core", "n"]).where(F.endswith("_before", "lead") & F.startswith("_after", "trail"))
+    found = cores.join(beside(known, most["names"]), ["core", "n"]).where(F.endswith("_before", "lead") & F.startswith("_after", "trail"))
     return found.select("id", "at", "n", F.length("lead").alias("lead"), F.length("trail").alias("trail"), "size", "name")
 
 
@@ -87,8 +89,9 @@ def without_names(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 def named_parts(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Texts (id, text and others) with named: the distinct identifiers that are left without the names, in order of their first place."""
-    left = without_names(texts.select("id", "text"), names).select("id", T.named_parts(F.col("text")).alias("named"))
-    return texts.join(left, "id")
+    # The text as it was goes along in the row: a join with the texts again would broadcast them where their files are small.
+    left = without_names(texts.withColumn("_whole", F.col("text")), names)
+    return left.select(*[F.col("_whole").alias(c) if c == "text" else F.col(f"`{c}`") for c in texts.columns], T.named_parts(F.col("text")).alias("named"))
 
 
 @lru_cache(maxsize=4)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions.joins import dealt
 
 # Fixed values that results depend on.
 NEW_SYMBOL = r"^[A-Z][A-Za-z0-9()]*\s+[a-z]"
@@ -36,8 +37,14 @@ def table_rows(lines: DataFrame, symbol: str) -> DataFrame:
     """Data rows of a symbol's block, wrapped rows too: part, pos, text, min, typ, max, unit.
 
     A block opens at the symbol and closes at a section or another symbol: the last such event before a
-    line says whether it is inside. Rows that repeat, but for white space, count once.
+    line says whether it is inside. Rows that repeat, but for white space, count once. Lines are dealt by part over as many tasks as their number needs:
+    they compress so well that Spark, going by shuffled bytes, would sort tens of times as much in a task.
     """
+    return _table_rows(dealt(lines, "part"), symbol)
+
+
+def _table_rows(lines: DataFrame, symbol: str) -> DataFrame:
+    """table_rows of lines that are dealt by part already."""
     line = T.trim(F.col("line"))
     trimmed = lines.select("part", "pos", line.alias("text")).where("text <> ''")
     starts = F.col("text").rlike(rf"^\Q{symbol}\E\s")
@@ -102,10 +109,10 @@ def packages(documents: DataFrame) -> DataFrame:
 def parse(documents: DataFrame) -> DataFrame:
     """Label row for each document (part, text) with a table and a channel: part, channel, package, vds_v,
     id_a, rdson_mohm, rdson_all, id_all."""
-    lines = quick_reference(documents)
+    lines = dealt(quick_reference(documents), "part")
     struct = F.struct("value", "typ", "unit", "conditions")
-    vds = _first(table_rows(lines, "VDS")).select("part", F.col("max").try_cast("double").alias("vds_v"))
-    ohms, amps = table_rows(lines, "RDSon"), table_rows(lines, "ID")
+    vds = _first(_table_rows(lines, "VDS")).select("part", F.col("max").try_cast("double").alias("vds_v"))
+    ohms, amps = _table_rows(lines, "RDSon"), _table_rows(lines, "ID")
     no_typ = lambda df: df.withColumn("typ", F.lit(None).cast("double"))
     one = lambda df, name: df.select("part", struct.alias(name))
     every = lambda df, name: df.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", struct.alias("m")))), lambda x: x["m"]).alias(name))

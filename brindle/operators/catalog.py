@@ -148,13 +148,13 @@ def _key(x: Column) -> Column:
     return F.lower(T.trim(x))
 
 
-def run_queries(rows: DataFrame, specs: DataFrame) -> DataFrame:
+def run_queries(rows: DataFrame, specs: DataFrame, by_part: bool = False) -> DataFrame:
     """Answer many set questions in one plan: qid, kind, cond_class, value, unit, parts, candidates; rows as run_query gives them for each.
 
     specs: qid, op, field, channel, vds, package, conditions, where null filters let every row pass. Specs that ask for the same rows share one
     key. A figure is keyed once for each set of filters that some spec uses (16 sets at most) and each of its packages, and meets the specs' keys by equality; one grouped pass by
     key, class and part, then by key and class, finds minima and maxima together. A spec's op is applied last, so that all
-    specs of a key share its groups. Repeated part rows count as run_query counts them; null ops or unknown fields find nothing.
+    specs of a key share its groups. Repeated part rows count as run_query counts them, or once a part if told by_part; null ops or unknown fields find nothing.
     """
     nothing, low = F.lit(""), F.lit(-1.0)
     asked = F.when((F.col("op") != "count") & (F.col("field") != "vds"), class_key(F.col("conditions")))
@@ -182,7 +182,7 @@ def run_queries(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
     flat = rows.select("part", channel_of().alias("channel"), F.abs("vds").alias("rating"), F.col("package").alias("names"), "rdson", "id")
     counts = keyed(flat.select("part", "channel", "rating", "names", F.lit("count").alias("_field"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("cond_class")))
-    counted = counts.groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"))
+    counted = counts.groupBy(*key).agg((F.countDistinct("part") if by_part else F.count(F.lit(1))).alias("candidates"))
     figure = "array<struct<_field:string,value:double,conditions:string>>"
     of = lambda name: F.coalesce(F.transform(name, lambda m: F.struct(F.lit(name).alias("_field"), F.abs(m["value"]).alias("value"), m["conditions"].alias("conditions"))), F.array().cast(figure))
     rating = F.when(F.col("rating").isNotNull(), F.array(F.struct(F.lit("vds").alias("_field"), F.col("rating").alias("value"), F.lit(None).cast("string").alias("conditions")))).otherwise(F.array().cast(figure))

@@ -11,6 +11,8 @@ from brindle.operators.cells import CellIndex
 from brindle.sources.scratch import written
 
 K, FUSION_K, WEIGHTS = 10, 60, (1.0, 2.0)
+#: Chunks and queries of one document that meet in one key of search_within.
+PIECE_CHUNKS, PIECE_QUERIES, PIECE_TASKS = 1024, 256, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,13 +45,36 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame
 
 
 def search_within(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame:
-    """The k best chunks of the one document each query names (queries: qid, q_vec, document_id)."""
+    """The k best chunks of the one document each query names (queries: qid, q_vec, document_id).
+
+    A document with many chunks and queries is dealt into pieces of both, so that its pairs spread over tasks.
+    """
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
     c = chunks.withColumn("c_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    scored = _scored(_others(c.join(q, "document_id")).withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
+    pairs = _pieces(c, q)
+    scored = _scored(_others(pairs).withColumn("_dot", dot(F.col("q_vec"), F.col("vec"))))
     return top_k(scored.select("qid", "chunk_id", "document_id", "score"), k, "chunk_id")
 
 
+def _pieces(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """chunks joined with queries by document_id. Documents with more pairs than a piece are dealt over pieces, each pair in one of them; a piece's
+    vectors stand once for each piece of the other side. Such documents have over 500 rows on one side, so few are broadcast.
+    """
+    sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("_chunks")).join(queries.groupBy("document_id").agg(F.count(F.lit(1)).alias("_queries")), "document_id")
+    large = sizes.where(F.col("_chunks") * F.col("_queries") > PIECE_CHUNKS * PIECE_QUERIES)
+    needed = lambda n, most: F.ceil(F.col(n) / most).cast("int").alias(n)
+    large = F.broadcast(written(large.select("document_id", needed("_chunks", PIECE_CHUNKS), needed("_queries", PIECE_QUERIES)), "large"))
+    own = lambda n, *key: F.coalesce(F.pmod(F.xxhash64(*key), F.col(n)).cast("int"), F.lit(0))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    c = chunks.join(large, "document_id", "left").withColumn("_piece", own("_chunks", "chunk_id", "vec")).withColumn("_block", every("_queries")).drop("_chunks", "_queries")
+    q = queries.join(large, "document_id", "left").withColumn("_block", own("_queries", "qid")).withColumn("_piece", every("_chunks")).drop("_chunks", "_queries")
+    key = ["document_id", "_piece", "_block"]
+    if n := large.agg(F.sum(F.col("_chunks") * F.col("_queries"))).first()[0]:
+        # Pieces are few bytes and long work, so Spark would gather them in few tasks.
+        c, q = (side.repartition(min(2 * n, PIECE_TASKS), *key) for side in (c, q))
+    return c.join(q, key)
+
+
 def to_documents(ranked: DataFrame) -> DataFrame:
     """Chunk ranking to document ranking: each document at its first place, ranked anew."""
     first = ranked.groupBy("qid", "document_id").agg(F.min("rank").alias("place"))

@@ -25,22 +25,27 @@ from brindle.sources.scratch import scratch_path, written
 #: Bytes of all centroids (as doubles), which every task holds, and of the sample that they are fitted on; cells are 4,096 at most.
 CENTROID_BYTES, SAMPLE_BYTES, MAX_CELLS, SAMPLE_A_CELL, ROUNDS = 16 << 20, 64 << 20, 4096, 32, 5
 #: Bytes of vectors (as doubles) on either side of one task's products, and entries of one product.
-BLOCK_BYTES, LEAST_BLOCK, PRODUCT = 16 << 20, 256 << 10, 1 << 21
+BLOCK_BYTES, LEAST_BLOCK, PRODUCT = 16 << 20, 256 << 10, 1 << 19
 #: Radians and cosine that rounding may move a bound by; an exact score decides whatever is within them.
 SLACK, MARGIN = 1e-5, 1e-9
-#: Pairs that are scored exactly at once.
-PAIRS = 1 << 14
+#: Pairs that are scored exactly at once, bytes of their vectors (as doubles) and of a batch of routes, and routes that one task writes.
+PAIRS, BATCH_BYTES, TASK_ROUTES = 1 << 14, 4 << 20, 200_000
 
 
 def _dot(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def usable(df: DataFrame, vec: str) -> DataFrame:
-    """Rows whose vector has a cosine: no null, finite components only, and a squared norm that is neither zero nor infinite."""
+def has_cosine(vec: str) -> Column:
+    """The vector has no null, finite components only, and a squared norm that is neither zero nor infinite."""
     clean = F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     norm = _dot(F.col(vec))
-    return df.where(F.col(vec).isNotNull() & clean & F.when(clean, (norm > 0) & (norm < float("inf"))))
+    return F.coalesce(F.col(vec).isNotNull() & clean & F.when(clean, (norm > 0) & (norm < float("inf"))), F.lit(False))
+
+
+def usable(df: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vector has a cosine."""
+    return df.where(has_cosine(vec))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -84,6 +89,81 @@ def _slices(rows: int, width: int) -> Iterator[slice]:
     return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
 
+def _first_copies(x: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that k + 1 equal vectors of their cell precede. Vectors whose sums agree by chance may stay."""
+    total = _in_order(x, np.broadcast_to(np.sqrt(np.arange(2.0, x.shape[1] + 2)), x.shape))
+    order = np.lexsort((total, cell))
+    a, b = order[1:], order[:-1]
+    same = (total[a] == total[b]) & (cell[a] == cell[b])
+    near = np.flatnonzero(same)
+    for i in range(0, len(near), PAIRS):
+        some = near[i : i + PAIRS]
+        same[some] = (x[a[some]] == x[b[some]]).all(axis=1)
+    starts = np.flatnonzero(np.r_[True, ~same])
+    nth = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.sort(order[nth <= k])
+
+
+def best_pairs(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k best vectors (chunk_id, document_id, vec and, if queries name cells, cell) of each query (qid, q_vec and maybe cells, own and kth), ties by
+    chunk_id: qid, chunk_id, document_id, score. What is below kth is left out.
+
+    All vectors have one length. Only the vectors are held as doubles; queries pass by slices, so a task's memory rests on the vectors' bytes.
+    """
+    right = right.take(pc.sort_indices(right["chunk_id"], null_placement="at_start")) if right.num_rows else right
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if left.num_rows and right.num_rows:
+        dims = pc.list_value_length(right["vec"])[0].as_py()
+        x = matrix(right["vec"], dims)
+        cell = right["cell"].to_numpy() if "cell" in right.column_names else np.zeros(len(x), np.int64)
+        right = right.select(["chunk_id", "document_id"])
+        if pc.count_distinct(right["chunk_id"], mode="all").as_py() == len(x):
+            # Of equal vectors of a cell the first k and one, for the query's own, are all that can be among the k best.
+            stay = _first_copies(x, cell, k)
+            right, x, cell = right.take(pa.array(stay)), x[stay], cell[stay]
+        ids = pc.dictionary_encode(right["chunk_id"].combine_chunks(), null_encoding="encode")
+        opens = np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
+        cells, of_cell = np.unique(cell, return_inverse=True)
+        x_norm = np.sqrt(_in_order(x, x))
+        x_units = x / x_norm[:, None]
+        step = max(1, min(PAIRS, BATCH_BYTES // (8 * dims)))
+        for part in _slices(left.num_rows, len(x)):
+            some = left.slice(part.start, part.stop - part.start)
+            q = matrix(some["q_vec"], dims)
+            q_norm = np.sqrt(_in_order(q, q))
+            near = (q / q_norm[:, None]) @ x_units.T
+            if "cells" in some.column_names:
+                named = pc.list_flatten(some["cells"]).to_numpy()
+                asking = np.repeat(np.arange(len(q)), pc.list_value_length(some["cells"]).to_numpy())
+                place = np.minimum(np.searchsorted(cells, named), len(cells) - 1)
+                held = np.zeros((len(q), len(cells)), bool)
+                held[asking, place] |= cells[place] == named
+                if not held.all():
+                    near[~held[:, of_cell]] = -np.inf
+            if "own" in some.column_names:
+                at = pc.fill_null(pc.index_in(some["own"], value_set=ids.dictionary), -1).to_numpy()
+                for i in np.flatnonzero(at >= 0):
+                    near[i, opens[at[i]] : opens[at[i] + 1]] = -np.inf
+            # What is below the kth found before can't be among the k best.
+            least = some["kth"].to_numpy() if "kth" in some.column_names else np.full(len(q), -np.inf)
+            floor = least.copy()
+            many = np.count_nonzero(near >= least[:, None] - MARGIN, axis=1) > 4 * k
+            if many.any():
+                floor[many] = np.maximum(floor[many], np.partition(near[many], -k, axis=1)[:, -k])
+            row, j = np.nonzero((near >= floor[:, None] - MARGIN) & (near > -np.inf))
+            dots = [_in_order(q[row[i : i + step]], x[j[i : i + step]]) for i in range(0, len(row), step)]
+            score = np.concatenate(dots) / (q_norm[row] * x_norm[j]) if dots else np.zeros(0)
+            best = np.lexsort((j, -score, row))
+            best = best[score[best] >= least[row[best]]]
+            row, j, score = row[best], j[best], score[best]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+            found.append((row[keep] + part.start, j[keep], score[keep]))
+    row, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    of_vector = right.take(pa.array(j, pa.int64()))
+    return pa.table({"qid": left["qid"].take(pa.array(row, pa.int64())), "chunk_id": of_vector["chunk_id"], "document_id": of_vector["document_id"], "score": pa.array(score, pa.float64())})
+
+
 @dataclass(frozen=True)
 class CellIndex:
     """Vectors of chunks (chunk_id, document_id, vec) in folders by cell, and of each cell its centroid, size and angles.
@@ -155,10 +235,11 @@ class CellIndex:
         """Queries with the tiles and cells they read: a row a query and tile, with the cells in it.
 
         Without a column kth these are the nearest cells that hold k candidates besides the query's own; with
-        it, the cells that may hold a cosine of kth or more, but for those in the column home.
+        it, the cells that may hold a cosine of kth or more, but for those in the column home, which goes.
         """
         tile, _ = self._tiles()
         later = "kth" in queries.columns
+        kept = [c for c in queries.columns if c != "home"]
         shared = self.spark.sparkContext.broadcast((self.centroids, self.sizes, self.low, self.high, tile))
         dims = self.dims
 
@@ -184,10 +265,14 @@ class CellIndex:
                     opens[1:] = (row[1:] != row[:-1]) | (tile[cell[1:]] != tile[cell[:-1]])
                     starts = np.flatnonzero(opens)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(cell, pa.int32()))
-                    taken = batch.take(pa.array(row[starts] + part.start))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, lists, pa.array(tile[cell[starts]], pa.int32())], [*taken.schema.names, "cells", "tile"])
-
-        schema = StructType([*queries.schema.fields, StructField("cells", ArrayType(IntegerType())), StructField("tile", IntegerType())])
+                    # A query's vector stands once a tile.
+                    step = max(1, BATCH_BYTES // (8 * dims))
+                    for i in range(0, len(starts), step):
+                        some = starts[i : i + step]
+                        taken = batch.select(kept).take(pa.array(row[some] + part.start))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, lists.slice(i, len(some)), pa.array(tile[cell[some]], pa.int32())], [*kept, "cells", "tile"])
+
+        schema = StructType([*[queries.schema[c] for c in kept], StructField("cells", ArrayType(IntegerType())), StructField("tile", IntegerType())])
         return queries.mapInArrow(route, schema)
 
     def _meet(self, routed: DataFrame, k: int) -> DataFrame:
@@ -208,50 +293,9 @@ class CellIndex:
         counts = self.spark.createDataFrame([(t, int(pieces[t])) for t in sorted({int(tile[c]) for c in cells})], "tile int, pieces int")
         asked = routed.join(F.broadcast(counts), "tile").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
         asked = asked.withColumn("piece", every(F.col("pieces"))).drop("pieces")
-        dims = self.dims
 
         def products(left: pa.Table, right: pa.Table) -> pa.Table:
-            right = right.take(pc.sort_indices(right["chunk_id"], null_placement="at_start"))
-            x, cell = matrix(right["vec"], dims), right["cell"].to_numpy()
-            # Of equal vectors of a cell the first k and one, for the query's own, are all that can be among the k best.
-            _, same = np.unique(np.column_stack([x, cell]), axis=0, return_inverse=True)
-            order = np.argsort(same, kind="stable")
-            starts = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
-            nth = np.empty(len(x), np.int64)
-            nth[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-            stay = np.flatnonzero(nth <= k)
-            right, x, cell = right.take(pa.array(stay)), x[stay], cell[stay]
-            q, wanted = matrix(left["q_vec"], dims), left["cells"].to_pylist()
-            q_norm, x_norm = np.sqrt(_in_order(q, q)), np.sqrt(_in_order(x, x))
-            units, x_units = q / q_norm[:, None], x / x_norm[:, None]
-            # What is below the kth found before can't be among the k best.
-            least = left["kth"].to_numpy() if "kth" in left.column_names else np.full(len(q), -np.inf)
-            own, places = None, {}
-            if "own" in left.column_names:
-                own = left["own"].to_pylist()
-                for j, i in enumerate(right["chunk_id"].to_pylist()):
-                    places.setdefault(i, []).append(j)
-            found = []
-            for part in _slices(len(q), len(x)):
-                near = units[part] @ x_units.T
-                for i, cells in enumerate(wanted[part]):
-                    near[i, ~np.isin(cell, cells)] = -np.inf
-                    if own is not None:
-                        near[i, places.get(own[part.start + i], [])] = -np.inf
-                kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
-                row, j = np.nonzero((near >= kth[:, None] - MARGIN) & (near > -np.inf))
-                row += part.start
-                dots = [_in_order(q[row[i : i + PAIRS]], x[j[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
-                score = np.concatenate(dots) / (q_norm[row] * x_norm[j]) if dots else np.zeros(0)
-                best = np.lexsort((j, -score, row))
-                best = best[score[best] >= least[row[best]]]
-                row, j, score = row[best], j[best], score[best]
-                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-                keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
-                found.append((row[keep], j[keep], score[keep]))
-            row, j, score = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
-            of_query, of_vector = left.take(pa.array(row, pa.int64())), right.take(pa.array(j, pa.int64()))
-            return pa.table({"qid": of_query["qid"], "chunk_id": of_vector["chunk_id"], "document_id": of_vector["document_id"], "score": pa.array(score, pa.float64())})
+            return best_pairs(left, right, k)
 
         known = {f.name: f for f in self.schema.fields}
         schema = StructType([routed.schema["qid"], known["chunk_id"], known["document_id"], StructField("score", DoubleType())])
@@ -276,5 +320,8 @@ class CellIndex:
         # The kth of what the nearest cells gave; too few (a repeated own id) bound nothing.
         kth = top_k(first, k, "chunk_id").groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("kth"))
         bounded = asked.join(home, "qid").join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
-        rest = self._meet(written(self.routes(bounded, k), "routes"), k)
-        return top_k(first.unionByName(rest), k, "chunk_id")
+        # Few bytes become many routes, so Spark would leave them to one task.
+        tasks = -(-near.count() * len(self._tiles()[1]) // TASK_ROUTES) or 1
+        rest = self._meet(written(self.routes(bounded.repartition(tasks, "qid"), k), "routes"), k)
+        # Written, as callers read it more than once.
+        return written(top_k(first.unionByName(rest), k, "chunk_id"), "found")

@@ -121,7 +121,7 @@ def recall_curve(questions: DataFrame, chunks: DataFrame, sizes: dict[str, int |
         part = first_documents(chunks, n)
         asked = written(planning.in_index(questions, part, "gold"), "asked")
         gold = asked.select("qid", "gold")
-        dense = retrieval.to_documents(written(retrieval.dense_search(asked.drop("gold", "symbol"), part), "dense"))
+        dense = retrieval.to_documents(retrieval.dense_search(asked.drop("gold", "symbol"), part))
         named = asked.where("symbol IS NOT NULL").withColumn("document_id", F.col("symbol")).drop("gold", "symbol")
         fused = retrieval.fuse([dense, retrieval.to_documents(retrieval.search_within(named, part))])
         both = gold_ranks(dense, gold).withColumnRenamed("rank", "dense").join(gold_ranks(fused.drop("score"), gold).withColumnRenamed("rank", "fused"), "qid")

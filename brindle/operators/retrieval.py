@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brindle.functions import text as T
 from brindle.functions.joins import beside
-from brindle.operators.cells import CellIndex
+from brindle.operators.cells import BLOCK_BYTES, CellIndex, best_pairs, has_cosine
 from brindle.sources.scratch import written
 
 K, FUSION_K, WEIGHTS = 10, 60, (1.0, 2.0)
-#: Chunks and queries of one document that meet in one key of search_within.
+#: Chunks and queries of one document that meet as rows in one key of search_within.
 PIECE_CHUNKS, PIECE_QUERIES, PIECE_TASKS = 1024, 256, 4096
 
 
@@ -47,8 +48,46 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame
 def search_within(queries: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame:
     """The k best chunks of the one document each query names (queries: qid, q_vec, document_id).
 
-    A document with many chunks and queries is dealt into pieces of both, so that its pairs spread over tasks.
+    Documents with more pairs than a piece meet as blocks of vectors, of BLOCK_BYTES on either side, so that their pairs spread over tasks and never become rows; only the k
+    best of a block do. Small documents, and vectors without a cosine or of another length than their document's longest, meet as rows.
     """
+    of = lambda df, vec, n: df.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"_{n}"), F.min(_length(vec)).alias(f"_{n}_low"), F.max(_length(vec)).alias(f"_{n}_high"), F.count(_length(vec)).alias(f"_{n}_able"))
+    sizes = of(chunks, "vec", "chunks").join(of(queries, "q_vec", "queries"), "document_id").withColumn("_large", (F.col("_chunks") * F.col("_queries") > PIECE_CHUNKS * PIECE_QUERIES) & F.col("_chunks_high").isNotNull())
+    alike = F.least("_chunks_low", "_queries_low") == F.greatest("_chunks_high", "_queries_high")
+    whole = F.col("_large") & alike & (F.col("_chunks_able") == F.col("_chunks")) & (F.col("_queries_able") == F.col("_queries"))
+    sizes = written(sizes.withColumn("_whole", F.coalesce(whole, F.lit(False))), "sizes")
+    large = sizes.where("_large").select("document_id", F.col("_chunks_high").alias("_dims"), *[F.ceil(F.col(n) * F.col("_chunks_high") * 8 / BLOCK_BYTES).cast("int").alias(n) for n in ("_chunks", "_queries")])
+    known = sizes.agg(F.count_if("_large").alias("large"), F.count_if(~F.col("_whole")).alias("rows")).first()
+    if not known["large"]:
+        return _as_rows(queries, chunks, k)
+    # Such documents have over 500 rows on one side, so few are broadcast.
+    c, q = (df.join(F.broadcast(large), "document_id", "left").withColumn("_met", F.coalesce(_length(vec) == F.col("_dims"), F.lit(False))) for df, vec in ((chunks, "vec"), (queries, "q_vec")))
+    found = _as_blocks(q.where("_met"), c.where("_met"), k, large.agg(F.sum(F.col("_chunks") * F.col("_queries"))).first()[0])
+    if known["rows"]:
+        plain = lambda df, met, of: df.where(met).select(*of.columns)
+        found = found.unionByName(_as_rows(queries, plain(c, "not _met", chunks), k).drop("rank")).unionByName(_as_rows(plain(q, "not _met", queries), plain(c, "_met", chunks), k).drop("rank"))
+    return top_k(found, k, "chunk_id")
+
+
+def _length(vec: str) -> Column:
+    """The length of a vector that has a cosine, else null."""
+    return F.when(has_cosine(vec), F.size(vec))
+
+
+def _as_blocks(queries: DataFrame, chunks: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The k best chunks of each query in every block of its document. Both sides say into how many pieces (_chunks, _queries) a document's rows are dealt."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    c = chunks.select("document_id", F.pmod(F.xxhash64("chunk_id", "vec"), "_chunks").cast("int").alias("_piece"), every("_queries").alias("_block"), "chunk_id", "vec")
+    asked = ["qid", "q_vec", *[n for n in ("own",) if n in queries.columns]]
+    q = queries.select("document_id", F.pmod(F.xxhash64("qid", "q_vec"), "_queries").cast("int").alias("_block"), every("_chunks").alias("_piece"), *asked)
+    key = ["document_id", "_piece", "_block"]
+    c, q = (side.repartition(min(2 * blocks, PIECE_TASKS), *key) for side in (c, q))
+    schema = StructType([queries.schema["qid"], chunks.schema["chunk_id"], chunks.schema["document_id"], StructField("score", DoubleType())])
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(lambda left, right: best_pairs(left, right, k), schema)
+
+
+def _as_rows(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query's document, a row a pair. A document with many chunks and queries is dealt into pieces of both."""
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
     c = chunks.withColumn("c_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
     pairs = _pieces(c, q)

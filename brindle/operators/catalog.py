@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions.joins import beside
 
 FIELDS = ("vds", "rdson", "id")
 
@@ -148,13 +149,16 @@ def _key(x: Column) -> Column:
     return F.lower(T.trim(x))
 
 
-def run_queries(rows: DataFrame, specs: DataFrame, by_part: bool = False) -> DataFrame:
+def run_queries(rows: DataFrame, specs: DataFrame, by_part: bool = False, rated: str = "vds", listed: bool = True) -> DataFrame:
     """Answer many set questions in one plan: qid, kind, cond_class, value, unit, parts, candidates; rows as run_query gives them for each.
 
     specs: qid, op, field, channel, vds, package, conditions, where null filters let every row pass. Specs that ask for the same rows share one
     key. A figure is keyed once for each set of filters that some spec uses (16 sets at most) and each of its packages, and meets the specs' keys by equality; one grouped pass by
     key, class and part, then by key and class, finds minima and maxima together. A spec's op is applied last, so that all
     specs of a key share its groups. Repeated part rows count as run_query counts them, or once a part if told by_part; null ops or unknown fields find nothing.
+
+    Keys are broadcast by their counted number, figures never; a row's figures come down to its least and greatest of a class before they are keyed.
+    rated: the column whose magnitude competes as the rating; filters go by vds. Unless listed, n_parts and first_part stand in place of parts, and no list is made.
     """
     nothing, low = F.lit(""), F.lit(-1.0)
     asked = F.when((F.col("op") != "count") & (F.col("field") != "vds"), class_key(F.col("conditions")))
@@ -165,36 +169,43 @@ def run_queries(rows: DataFrame, specs: DataFrame, by_part: bool = False) -> Dat
         "qid", "op", F.when(F.col("op") == "count", "count").otherwise(F.col("field")).alias("_field"), pattern.alias("_pattern"), F.coalesce("channel", nothing).alias("_channel"),
         F.coalesce(F.abs(F.col("vds").cast("double")), low).alias("_rating"), F.coalesce(_key(F.col("package")), nothing).alias("_package"), F.coalesce(_key(asked), nothing).alias("_class"), asked.alias("_asked"),
     )
-    used = [r[0] for r in wanted.select("_pattern").distinct().collect()]  # 16 at most
+    keys = wanted.select(*key).distinct()
+    counts_of = keys.groupBy("_pattern").count().collect()  # 16 rows at most
+    used, asked_keys = [r[0] for r in counts_of], beside(keys, sum(r[1] for r in counts_of))
     kind = "struct<_pattern:int,_channel:string,_rating:double,_package:string,_class:string>"
 
     def keyed(figures: DataFrame) -> DataFrame:
-        """Figures (part, channel, rating, names, _field, value, cond_class) under every key that may ask for them."""
+        """Figures (part, channel, rating, names, _field, cls and others) under every key that may ask for them."""
         each = []
         for p in used:
-            filters = ((0, F.col("channel"), nothing, "_channel"), (1, F.col("rating"), low, "_rating"), (3, _key(F.col("cond_class")), nothing, "_class"))
+            filters = ((0, F.col("channel"), nothing, "_channel"), (1, F.col("rating"), low, "_rating"), (3, F.col("cls"), nothing, "_class"))
             channel, rating, cls = ((value if p >> i & 1 else other).alias(name) for i, value, other, name in filters)
             lead = (F.lit(p).alias("_pattern"), channel, rating)
-            names = F.array_compact(F.array_distinct(F.transform("names", _key))) if p >> 2 & 1 else F.array(nothing)
+            names = F.col("names") if p >> 2 & 1 else F.array(nothing)
             each.append(F.transform(names, lambda name: F.struct(*lead, name.alias("_package"), cls)))  # noqa: B023
         found = F.coalesce(F.flatten(F.array(*[F.coalesce(x, F.array().cast(f"array<{kind}>")) for x in each])), F.array().cast(f"array<{kind}>")) if each else F.array().cast(f"array<{kind}>")
-        return figures.withColumn("_k", F.explode(found)).select("part", "_field", "value", "cond_class", "_k.*").join(wanted.select(*key).distinct(), key)
+        kept = [c for c in figures.columns if c not in ("channel", "rating", "names", "cls")]
+        return figures.withColumn("_k", F.explode(found)).select(*kept, "_k.*").join(asked_keys, key)
 
-    flat = rows.select("part", channel_of().alias("channel"), F.abs("vds").alias("rating"), F.col("package").alias("names"), "rdson", "id")
-    counts = keyed(flat.select("part", "channel", "rating", "names", F.lit("count").alias("_field"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("cond_class")))
+    names = F.array_compact(F.array_distinct(F.transform("package", _key)))
+    flat = rows.select("part", channel_of().alias("channel"), F.abs("vds").alias("rating"), names.alias("names"), F.abs(rated).alias("rated"), "rdson", "id")
+    counts = keyed(flat.select("part", "channel", "rating", "names", F.lit("count").alias("_field"), F.lit(None).cast("string").alias("cls")))
     counted = counts.groupBy(*key).agg((F.countDistinct("part") if by_part else F.count(F.lit(1))).alias("candidates"))
     figure = "array<struct<_field:string,value:double,conditions:string>>"
     of = lambda name: F.coalesce(F.transform(name, lambda m: F.struct(F.lit(name).alias("_field"), F.abs(m["value"]).alias("value"), m["conditions"].alias("conditions"))), F.array().cast(figure))
-    rating = F.when(F.col("rating").isNotNull(), F.array(F.struct(F.lit("vds").alias("_field"), F.col("rating").alias("value"), F.lit(None).cast("string").alias("conditions")))).otherwise(F.array().cast(figure))
+    rating = F.when(F.col("rated").isNotNull(), F.array(F.struct(F.lit("vds").alias("_field"), F.col("rated").alias("value"), F.lit(None).cast("string").alias("conditions")))).otherwise(F.array().cast(figure))
     long = flat.withColumn("_m", F.explode(F.concat(rating, of("rdson"), of("id")))).select("part", "channel", "rating", "names", "_m.*")
-    figures = keyed(long.select("part", "channel", "rating", "names", "_field", "value", F.when(F.col("_field") != "vds", T.class_of(F.col("conditions"))).alias("cond_class")))
+    classed = long.withColumn("cond_class", F.when(F.col("_field") != "vds", T.class_of(F.col("conditions"))))
+    ends = classed.groupBy("part", "channel", "rating", "names", "_field", "cond_class").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    figures = keyed(ends.withColumn("cls", _key(F.col("cond_class"))))
     # A named class is one group however its figures spell it; the rating has no classes.
     group = F.when((F.col("_pattern").bitwiseAND(F.lit(8)) == 0) & (F.col("_field") != "vds"), F.col("cond_class"))
-    per_part = figures.select(*key, "part", "value", F.coalesce(group, nothing).alias("_group"), group.isNull().alias("_whole")).groupBy(*key, "_group", "_whole", "part").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    per_part = figures.select(*key, "part", "low", "high", F.coalesce(group, nothing).alias("_group"), group.isNull().alias("_whole")).groupBy(*key, "_group", "_whole", "part").agg(F.min("low").alias("min"), F.max("high").alias("max")).repartition(*key, "part")
     best = per_part.groupBy(*key, "_group", "_whole").agg(F.min("min").alias("_min"), F.max("max").alias("_max"), F.count(F.lit(1)).alias("candidates"))
     tied = per_part.join(best, [*key, "_group", "_whole"]).where((F.col("min") == F.col("_min")) | (F.col("max") == F.col("_max")))
-    ties = lambda x: F.array_sort(F.collect_list(F.when(F.col(x) == F.col(f"_{x}"), F.col("part"))))
-    groups = tied.groupBy(*key, "_group", "_whole", "_min", "_max", "candidates").agg(ties("min").alias("_min_parts"), ties("max").alias("_max_parts"))
+    at = lambda x: F.when(F.col(x) == F.col(f"_{x}"), F.col("part"))
+    ties = {"parts": lambda x: F.array_sort(F.collect_list(at(x)))} if listed else {"n_parts": lambda x: F.count(at(x)).cast("int"), "first_part": lambda x: F.min(at(x))}
+    groups = tied.groupBy(*key, "_group", "_whole", "_min", "_max", "candidates").agg(*[f(x).alias(f"_{x}_{c}") for c, f in ties.items() for x in ("min", "max")])
     # Classes are counted a key, so that nothing moves once the groups have met their specs.
     answers = wanted.where("op <> 'count'").join(groups.withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy(*key))), key, "left")
     classes = F.coalesce("_classes", F.lit(0))
@@ -204,11 +215,11 @@ def run_queries(rows: DataFrame, specs: DataFrame, by_part: bool = False) -> Dat
     extrema_ = answers.select(
         "qid", F.when(classes > 1, "ambiguous-conditions").when(classes == 1, "extremum").otherwise("empty").alias("kind"),
         F.when(F.col("candidates").isNotNull(), F.coalesce("_asked", F.when(~F.col("_whole"), F.col("_group")))).alias("cond_class"), pick("_min", "_max").alias("value"), F.element_at(units, F.col("_field")).alias("unit"),
-        pick("_min_parts", "_max_parts").alias("parts"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"),
+        *[pick(f"_min_{c}", f"_max_{c}").alias(c) for c in ties], F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"),
     )
     n = F.coalesce("candidates", F.lit(0)).cast("long")
     null = lambda kind: F.lit(None).cast(kind)
-    totals = wanted.where("op = 'count'").join(counted, key, "left").select("qid", F.lit("count").alias("kind"), null("string").alias("cond_class"), n.cast("double").alias("value"), null("string").alias("unit"), null("array<string>").alias("parts"), n.alias("candidates"))
+    totals = wanted.where("op = 'count'").join(counted, key, "left").select("qid", F.lit("count").alias("kind"), null("string").alias("cond_class"), n.cast("double").alias("value"), null("string").alias("unit"), *[null(extrema_.schema[c].dataType).alias(c) for c in ties], n.alias("candidates"))
     return extrema_.unionByName(totals)
 
 
